@@ -1,5 +1,7 @@
 """DuckDB SQL that gives the same rows as the queries, where SQL can express them."""
 
+from marketloom.llm.url_filter import RULES, SOFT, SOFT_LIMIT, STRICT
+
 OP1 = """
 WITH sized AS (
   SELECT doc_id, source, text, octet_length(encode(coalesce(text, '')))::BIGINT AS n,
@@ -74,11 +76,33 @@ crc_table AS (
 crcs AS (
   SELECT key, xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT,
     list_transform(range(octet_length(encode(text))), lambda i: ('0x' || substr(hexed, 2 * i + 1, 2))::UBIGINT)),
-    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])))::BIGINT AS text_crc32
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255)::BIGINT + 1])))::BIGINT AS text_crc32
   FROM (SELECT key, any_value(text) AS text, hex(encode(any_value(text))) AS hexed FROM sized GROUP BY key), crc_table)
 SELECT doc_id, size, text_crc32, 'bytes' AS law, shard::INT AS shard,
        row_number() OVER (PARTITION BY shard ORDER BY place, doc_id, key) - 1 AS slot, NULL::INT AS grown_shard
 FROM sized JOIN placed USING (key) JOIN crcs USING (key)
 """
 
-ORACLES: dict[str, str] = {"op1_mix_sources": OP1, "op4_exact_dedup": OP4, "op5_sharding": OP5}
+#: The vocabulary of the URL filter: strict terms, then soft ones.
+_STRICT = "|".join(STRICT)
+_SOFT = " + ".join(rf"{weight} * regexp_matches(low, '(^|[^\pL\pN]){term}([^\pL\pN]|$)')::INT" for term, weight in SOFT.items())
+
+OP3 = rf"""
+WITH cut AS (
+  SELECT page_id, lower(coalesce(url, '')) AS low,
+         translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages),
+rules AS (SELECT * FROM (VALUES {", ".join(f"('{rule}', '{rule.partition('/')[0]}', '/{rule.partition('/')[2]}', '{verdict}')" for verdict, rule in RULES)}) t(rule, rule_host, rule_path, verdict)),
+fits AS (
+  SELECT page_id, max_by(rule, length(rule)) AS rule, max_by(verdict, length(rule)) AS rule_verdict
+  FROM cut JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY page_id),
+hits AS (
+  SELECT page_id, {_SOFT} AS soft_weight, regexp_matches(low, '(^|[^\pL\pN])({_STRICT})([^\pL\pN]|$)') AS is_strict FROM cut)
+SELECT page_id, host, path, rule,
+       coalesce(rule_verdict, CASE WHEN is_strict OR soft_weight >= {SOFT_LIMIT} THEN 'block' ELSE 'allow' END) AS verdict,
+       soft_weight::INT AS soft_weight
+FROM cut LEFT JOIN fits USING (page_id) JOIN hits USING (page_id)
+"""
+
+ORACLES: dict[str, str] = {"op1_mix_sources": OP1, "op3_url_filter": OP3, "op4_exact_dedup": OP4, "op5_sharding": OP5}

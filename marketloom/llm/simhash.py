@@ -322,7 +322,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     named = classes.join(members, classes["fp"] == members["node"])
     ids = named.groupBy("component").agg(F.min("first_id").alias("least_id"))
     linked = members.join(ids, "component").select("node", "least_id")
-    all_classes = classes.join(linked, classes["fp"] == linked["node"], "left").select("fp", F.when(F.col("node").isNotNull(), F.col("least_id")).otherwise(F.col("first_id")).alias("component_id"))
+    all_classes = durable(classes.join(linked, classes["fp"] == linked["node"], "left").select("fp", F.when(F.col("node").isNotNull(), F.col("least_id")).otherwise(F.col("first_id")).alias("component_id")))
     # a hot fingerprint is one row on the right: adaptive execution splits the left side
     out = rows.join(all_classes.hint("merge"), "fp")
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
