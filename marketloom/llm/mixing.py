@@ -88,7 +88,7 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, *, see
         rated = docs.join(F.broadcast(rates), same)
     else:
         salted = docs.withColumn("__salt", F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(salts)))
-        spread = rates.withColumn("__rate_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long"))
+        spread = rates.withColumn("__rate_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
         rated = salted.join(spread, salted[source_col].eqNullSafe(spread["__rate_source"]) & (F.col("__salt") == F.col("__rate_salt"))).drop("__salt", "__rate_salt")
     count = F.size(F.filter(F.col("__cdf"), lambda c: c <= F.col("__u")))
     drawn = rated.withColumn("__u", hashed_uniform(seed, F.col(id_col))).withColumn("__n", count).filter("__n > 0")

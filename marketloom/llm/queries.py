@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketloom.llm import decontam, exact_dedup, mixing, quality, sharding, simhash, token_count, url_filter
+import corpus_pipeline
+from marketloom.llm import decontam, exact_dedup, html_text, mixing, pii, quality, sharding, simhash, token_count, url_filter
 from marketloom.llm.queries_sql import ORACLES
 
 #: A query: the session and the folder of the tables.
@@ -21,6 +22,11 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_documents(spark, sf_dir)).select("doc_id", "source", "copy_no", "mix_key", "text")
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return html_text.extract_text(pages).select("page_id", "url", "text", "n_chars", "n_blocks", "n_main")
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict", "soft_weight")
 
@@ -37,6 +43,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(_documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(_documents(spark, sf_dir).select("doc_id", "text"), with_text=False)
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "n_term", "base_sha256", "spans")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text")
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -51,13 +62,20 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, sf_dir))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Query] = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_main_text": op2_main_text,
     "op3_url_filter": op3_url_filter,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_sharding": op5_sharding,
     "op6_token_counts": op6_token_counts,
+    "op7_personal_data": op7_personal_data,
     "op8_quality": op8_quality,
     "op9_decontaminate": op9_decontaminate,
     "op10_simhash": op10_simhash,
+    "pipeline": pipeline,
 }
