@@ -8,8 +8,6 @@ inequality.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -171,7 +169,7 @@ def stop_triggers(stops: DataFrame, trades: DataFrame, quotes: DataFrame | None
     if quotes is not None:
         q = quotes.select("instrument", "best_bid", "best_ask")
         quoted = matched.join(q, "instrument", "left")
-        at_quote = F.isnan("first_price") & F.coalesce(F.when(_c("side") == "buy", _c("best_ask") >= _c("stop_price")).otherwise(_c("best_bid") <= _c("stop_price")), F.lit(False))
+        at_quote = (_c("first_price").isNull() | F.isnan("first_price")) & F.coalesce(F.when(_c("side") == "buy", _c("best_ask") >= _c("stop_price")).otherwise(_c("best_bid") <= _c("stop_price")), F.lit(False))
         matched = quoted.withColumn("trigger", F.when(at_quote, _c("arrival")).otherwise(_c("trigger")))
     becomes = F.when(_c("type") == "stop", "market").otherwise("limit")
     return stops.select("id", "type").join(matched.select("id", "instrument", "side", "stop_price", _c("trigger").alias("trigger_ts")), "id").select("id", "instrument", "side", "stop_price", "trigger_ts", F.when(_c("trigger_ts").isNotNull(), becomes).alias("becomes"))

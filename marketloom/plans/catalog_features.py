@@ -135,7 +135,7 @@ def b12(v: Views):
     return v("book_orders").select("id", clean.round_to_tick(F.col("price"), 0.2).alias("price"))
 
 
-@query("b13_prefix_columns", "SELECT shots AS HOME_shots, poss AS HOME_poss FROM home_stats", "HOME_poss", 4)
+@query("b13_prefix_columns", "SELECT shots AS HOME_shots, poss AS HOME_poss FROM home_stats", "HOME_poss")
 def b13(v: Views):
     return clean.prefix_columns(v("home_stats"), "HOME_", skip=1)
 

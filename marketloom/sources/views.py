@@ -57,8 +57,8 @@ SELECT p_partkey AS contract_id, p_retailprice AS s, CAST(850 + 4 * p_size AS DO
   CASE WHEN p_partkey % 2 = 0 THEN 'call' ELSE 'put' END AS option_type
 FROM part""",
     "daily_close": "SELECT event_type AS instrument, date_trunc('day', ts) AS day, max_by(value, event_id) AS close FROM events GROUP BY 1, 2",
-    "home_stats": "SELECT l_orderkey AS id, sum(l_quantity) AS shots, round(avg(l_extendedprice), 4) AS poss FROM lineitem WHERE l_returnflag = 'A' GROUP BY l_orderkey",
-    "away_stats": "SELECT l_orderkey AS id, sum(l_quantity) AS shots, round(avg(l_extendedprice), 4) AS poss FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_orderkey",
+    "home_stats": "SELECT l_orderkey AS id, sum(l_quantity) AS shots, round(avg(l_extendedprice), 6) AS poss FROM lineitem WHERE l_returnflag = 'A' GROUP BY l_orderkey",
+    "away_stats": "SELECT l_orderkey AS id, sum(l_quantity) AS shots, round(avg(l_extendedprice), 6) AS poss FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_orderkey",
     "match_score": "SELECT h.id, h.shots - a.shots AS diff, CASE WHEN h.shots > a.shots THEN 1 ELSE 0 END AS home_wins, CASE WHEN h.shots = a.shots THEN 1 ELSE 0 END AS draw, CASE WHEN h.shots < a.shots THEN 1 ELSE 0 END AS away_wins FROM home_stats h JOIN away_stats a ON h.id = a.id",
     "pred": "SELECT vec_id AS id, label AS y, CASE WHEN vec_id % 4 = 0 THEN (label + 1) % 10 ELSE label END AS p FROM embeddings",
     "scores": """

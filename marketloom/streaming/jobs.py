@@ -26,14 +26,15 @@ def stream_trade_state(sdf: DataFrame, key: str = "instrument") -> DataFrame:
     return sdf.groupBy(key).agg(F.max_by("price", F.struct("ts", "id")).alias("last_price"), F.count(F.lit(1)).alias("n_trades"), F.sum("qty").alias("volume"))
 
 
-def stream_stop_triggers(sdf: DataFrame) -> DataFrame:
+def stream_stop_triggers(sdf: DataFrame, delay: str = "2 hours") -> DataFrame:
     """Pending stops per instrument, given out when a trade's price reaches them.
 
     Input rows: ``instrument, kind ('stop' or 'trade'), id, ts, side, price``; a
     stop's price is its stop price. The state holds the pending stops and the last
     price. Within a micro-batch rows count in the order of time, then id; of
-    trades at one time only the last sets the price. Instruments without pending
-    stops that see nothing for an hour are forgotten.
+    trades at one time only the last sets the price. Rows later than ``delay`` are
+    left out; instruments without pending stops that see nothing for an hour of
+    event time are forgotten.
     """
     schema = "instrument long, id long, side string, stop_price double, trigger_ts timestamp, trade_price double"
 
@@ -57,8 +58,8 @@ def stream_stop_triggers(sdf: DataFrame) -> DataFrame:
                         del pending[i]
         state.update(([*pending], [s for s, _ in pending.values()], [p for _, p in pending.values()], last))
         if not pending:
-            state.setTimeoutDuration(3_600_000)
+            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(rows["ts"].max().timestamp() * 1000)) + 3_600_000)
         yield pd.DataFrame(out, columns=["instrument", "id", "side", "stop_price", "trigger_ts", "trade_price"])
 
     state_schema = "ids array<long>, sides array<string>, prices array<double>, last double"
-    return sdf.groupBy("instrument").applyInPandasWithState(step, schema, state_schema, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return sdf.withWatermark("ts", delay).groupBy("instrument").applyInPandasWithState(step, schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout)
