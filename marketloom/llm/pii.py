@@ -18,6 +18,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -106,15 +107,22 @@ def contexts(text: str, spans: list[Span]) -> list[tuple[str, int, list[str]]]:
 _COUNTS = "entity string, term string, context long, n long"
 
 
-def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+#: Counters that a task holds before it hands them on.
+HELD = 50_000
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Partial counts of a partition: documents by (entity, term, context), by entity and by term."""
 
-    def frame(seen: Counter) -> pd.DataFrame:
-        return pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["entity", "term", "context", "n"])
+    def flushed() -> pa.RecordBatch:
+        keys = list(seen)
+        columns = [pa.array([k[i] for k in keys], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.int64()))]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(seen.values(), pa.int64())], names=["entity", "term", "context", "n"])
 
     seen: Counter = Counter()
     for batch in batches:
-        for text in batch.iloc[:, 0]:
+        for held in batch.column(0):
+            text = held.as_py()
             if not text:
                 continue
             seen.update((None, t, None) for t in set(_WORD.findall(text.lower())))
@@ -124,10 +132,10 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 for t in terms:  # a document counts once, with the first context
                     met.setdefault((entity, t), context)
             seen.update((entity, t, context) for (entity, t), context in met.items())
-            if len(seen) > 400_000:
-                yield frame(seen)
+            if len(seen) > HELD:
+                yield flushed()
                 seen.clear()
-    yield frame(seen)
+    yield flushed()
 
 
 def disclosing_terms(docs: DataFrame, *, text_col: str = "text", least_contexts: int = LEAST_CONTEXTS, slack_bits: float = SLACK_BITS) -> DataFrame:
@@ -138,7 +146,7 @@ def disclosing_terms(docs: DataFrame, *, text_col: str = "text", least_contexts:
     towards ``least_contexts``. Counts are combined in each task before any
     shuffle.
     """
-    counts = durable(docs.select(text_col).mapInPandas(_count, _COUNTS).groupBy("entity", "term", "context").agg(F.sum("n").alias("n")))
+    counts = durable(docs.select(text_col).mapInArrow(_count, _COUNTS).groupBy("entity", "term", "context").agg(F.sum("n").alias("n")))
     total = docs.count()
     met = counts.filter("entity IS NOT NULL AND term IS NOT NULL").groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("n_contexts")).filter(F.col("n_contexts") >= least_contexts)
     of_term = counts.filter("entity IS NULL").select(F.col("term").alias("t"), F.col("n").alias("n_term"))
