@@ -304,3 +304,11 @@ def test_pipeline_equals_its_stages(spark, sf_dir):
     assert Counter(r.doc_id for r in got) == +want
     shards, _ = plain_shards(got, 24)
     assert all(r.shard == shards[hashlib.md5(r.text.encode()).hexdigest()] for r in got)
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_stages_on_odd_documents(spark, sf_dir, odd_documents, no_documents, name, stage):
+    out = stage(spark, odd_documents, sf_dir)
+    assert out.columns[:5] == odd_documents.columns if name == "shard" else out.columns == odd_documents.columns
+    assert {(r.doc_id, r.text) for r in out.collect()} <= {(r.doc_id, r.text) for r in odd_documents.collect()}
+    assert stage(spark, no_documents, sf_dir).count() == 0
