@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,19 +60,23 @@ def confusion_matrix(df: DataFrame, y: str = "y", p: str = "p", normalize: bool
 
 
 def classification_report(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
-    """Precision, recall, F1 and support by class, and their macro and weighted means (class ``macro avg``, ``weighted avg``)."""
-    cells = confusion_matrix(df, y, p)
-    hit = F.sum(F.when(_c("y") == _c("p"), _c("n")).otherwise(0))
-    true = cells.groupBy(_c("y").alias("c")).agg(hit.alias("tp"), F.sum("n").alias("support"))
-    said = cells.groupBy(_c("p").alias("c")).agg(F.sum("n").alias("predicted"))
-    ratio = lambda a, b: F.coalesce(F.try_divide(_c(a), _c(b)), F.lit(0.0))
-    rows = true.join(said, "c").select(_c("c").cast("string").alias("class"), ratio("tp", "predicted").alias("precision"), ratio("tp", "support").alias("recall"), "support")
-    rows = rows.withColumn("f1", F.coalesce(F.try_divide(2 * _c("precision") * _c("recall"), _c("precision") + _c("recall")), F.lit(0.0)))
-    names = ("precision", "recall", "f1")
-    macro = rows.agg(F.lit("macro avg").alias("class"), *[F.avg(n).alias(n) for n in names], F.sum("support").alias("support"))
-    weighted = rows.agg(F.lit("weighted avg").alias("class"), *[F.try_divide(F.sum(_c(n) * _c("support")), F.sum("support")).alias(n) for n in names], F.sum("support").alias("support"))
-    order = ["class", *names, "support"]
-    return reduce(DataFrame.unionByName, [x.select(*order) for x in (rows, macro, weighted)])
+    """Precision, recall, F1 and support by class, and their macro and weighted means (class ``macro avg``, ``weighted avg``).
+
+    Counts of (true, predicted) are dealt to both classes at once; the means are
+    weighted sums over the classes, so that the table is read and counted once.
+    """
+    counts = df.groupBy(_c(y).alias("y"), _c(p).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    none = F.lit(0).cast("long")
+    true = F.struct(_c("y").alias("c"), F.when(_c("y") == _c("p"), _c("n")).otherwise(none).alias("tp"), _c("n").alias("support"), none.alias("predicted"))
+    said = F.struct(_c("p").alias("c"), none.alias("tp"), none.alias("support"), _c("n").alias("predicted"))
+    dealt = counts.select(F.explode(F.array(true, said)).alias("x")).select("x.*").filter("c IS NOT NULL").groupBy("c").agg(*[F.sum(k).alias(k) for k in ("tp", "support", "predicted")])
+    ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    rows = dealt.select(_c("c").cast("string").alias("class"), ratio(_c("tp"), _c("predicted")).alias("precision"), ratio(_c("tp"), _c("support")).alias("recall"), "support")
+    rows = rows.withColumn("f1", ratio(2 * _c("precision") * _c("recall"), _c("precision") + _c("recall")))
+    shares = F.array(*[F.struct(name.alias("name"), w.cast("double").alias("w")) for name, w in ((_c("class"), F.lit(1)), (F.lit("macro avg"), F.lit(1)), (F.lit("weighted avg"), _c("support")))])
+    spread = rows.withColumn("x", F.explode(shares))
+    means = [F.try_divide(F.sum(_c(k) * _c("x.w")), F.sum("x.w")).alias(k) for k in ("precision", "recall", "f1")]
+    return spread.groupBy(_c("x.name").alias("class")).agg(*means, F.sum("support").alias("support"))
 
 
 def log_loss(df: DataFrame, proba: str = "proba", y: str = "y", eps: float = 1e-15) -> DataFrame:

@@ -13,14 +13,14 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 VIEWS = {
     "order_flow": """
-SELECT user_id AS obs_id, event_id,
-  CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS BIGINT) AS event_idx,
+SELECT obs_id, event_id,
+  CAST(row_number() OVER (PARTITION BY obs_id ORDER BY ts, event_id) - 1 AS BIGINT) AS event_idx,
   CAST(event_id % 6 AS INT) AS venue, CAST(event_id % 7 AS BIGINT) AS order_id, event_type AS action,
   CASE WHEN event_id % 2 = 0 THEN 'A' ELSE 'B' END AS side, event_type = 'purchase' AS trade,
   value AS price, value - CAST(0.01 AS DOUBLE) * (1 + event_id % 5) AS bid, value + CAST(0.01 AS DOUBLE) * (1 + event_id % 3) AS ask,
   CAST(1 + event_id % 50 AS DOUBLE) AS bid_size, CAST(1 + event_id % 37 AS DOUBLE) AS ask_size,
   value * (event_id % 41 - 20) AS flux
-FROM events""",
+FROM (SELECT user_id AS obs_id, event_id, ts, event_type, value FROM events) e""",
     "gaps": """
 SELECT obs_id, event_id, event_idx, CASE WHEN event_id % 11 = 0 THEN NULL ELSE price END AS price,
   CASE WHEN event_id % 17 = 0 THEN NULL WHEN event_id % 5 = 0 THEN CAST(0 AS DOUBLE) ELSE bid_size END AS bid_size,
@@ -64,11 +64,11 @@ FROM part""",
     "scores": """
 SELECT vec_id AS id, CAST(vec_id % 24 AS INT) AS y, embedding FROM embeddings""",
     "shocks": """
-SELECT l_suppkey AS sim_id,
-  CAST(row_number() OVER (PARTITION BY l_suppkey
+SELECT sim_id,
+  CAST(row_number() OVER (PARTITION BY sim_id
        ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS INT) AS step,
   (l_quantity - CAST(25.5 AS DOUBLE)) / CAST(14.43 AS DOUBLE) AS z
-FROM lineitem""",
+FROM (SELECT l_suppkey AS sim_id, * FROM lineitem) x""",
     "pixels": "SELECT DISTINCT l_orderkey AS picture, l_linenumber AS label FROM lineitem WHERE l_orderkey % 8 = 0",
     "annotated": "SELECT DISTINCT l_orderkey AS picture, l_linenumber AS label FROM lineitem WHERE l_returnflag <> 'N' AND l_orderkey % 8 = 0",
 }

@@ -305,3 +305,15 @@ def test_calendar(spark):
     df = spark.sql("SELECT TIMESTAMP '2024-01-06 20:00:00' AS ts UNION ALL SELECT TIMESTAMP '2024-07-01 08:00:00'")
     got = [(r.dayofweek, r.is_weekend, r.winter, r.summer, r.off_peak) for r in features.season_flags(features.time_features(df, "ts"), "ts").orderBy("ts").collect()]
     assert got == [(5, 1, 1, 0, 1), (0, 0, 0, 1, 0)]
+
+
+def test_all_features_share_one_exchange(spark, sf_dir):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df, _ = datasets.build_features(view(spark, sf_dir, "order_flow"))
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert plan.count(" Exchange ") == 1
+    # columns that no feature needs stay in the file
+    assert "props" not in plan
