@@ -44,6 +44,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A table scan dealt out evenly if it has fewer partitions than there are cores.
+
+    For small inputs in one file, whose rows would otherwise pass one Python
+    worker; a scan of many splits is left as it is. Only for plain scans: asking a
+    plan with shuffles for its partitions would run them.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def with_columns(df: DataFrame, **columns) -> DataFrame:
     """Add columns; one of the same name in the input gives way, whatever its case."""
     taken = {c.lower() for c in columns}

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from marketloom.llm import decontam, exact_dedup, html_text, mixing, pii, quality, sharding, simhash, token_count, url_filter
+from marketloom.llm._shared import spread
 from marketloom.llm.queries_sql import ORACLES
 
 #: A query: the session and the folder of the tables.
@@ -23,7 +24,7 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    pages = spread(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     return html_text.extract_text(pages).select("page_id", "url", "text", "n_chars", "n_blocks", "n_main")
 
 
@@ -40,26 +41,26 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_count.count_tokens(_documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+    return token_count.count_tokens(spread(_documents(spark, sf_dir))).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.find_personal_data(_documents(spark, sf_dir).select("doc_id", "text"), with_text=False)
+    found = pii.find_personal_data(spread(_documents(spark, sf_dir).select("doc_id", "text")), with_text=False)
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "n_term", "base_sha256", "spans")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    docs = spread(_documents(spark, sf_dir).select("doc_id", "text"))
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.classify(docs, model).select("doc_id", "held_out", "score", "predicted")
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.contaminated(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontam.contaminated(spread(_documents(spark, sf_dir)), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(_documents(spark, sf_dir))
+    return simhash.near_duplicates(spread(_documents(spark, sf_dir)))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
