@@ -121,9 +121,10 @@ def uncross(orders: DataFrame) -> DataFrame:
     ends = orders.filter("qty > 0").withColumn("end", F.sum("qty").over(w))
     order = F.struct("id", "price", "end")
     cuts = ends.groupBy("instrument", "end").agg(F.first(F.when(_c("side") == "buy", order), ignorenulls=True).alias("b"), F.first(F.when(_c("side") == "sell", order), ignorenulls=True).alias("s"))
-    after = Window.partitionBy("instrument").orderBy("end").rowsBetween(0, Window.unboundedFollowing)
+    # from the far end, so that the frame grows row by row
+    after = Window.partitionBy("instrument").orderBy(F.desc("end")).rowsBetween(Window.unboundedPreceding, 0)
     before = F.coalesce(F.lag("end").over(Window.partitionBy("instrument").orderBy("end")), F.lit(0))
-    segments = cuts.withColumns({"begin": before, "bid": F.first("b", ignorenulls=True).over(after), "ask": F.first("s", ignorenulls=True).over(after)})
+    segments = cuts.withColumns({"begin": before, "bid": F.last("b", ignorenulls=True).over(after), "ask": F.last("s", ignorenulls=True).over(after)})
     crossing = segments.filter("bid.price >= ask.price")
     # what each order still has where the segment begins
     initiator = F.when(_c("bid.end") >= _c("ask.end"), "buy").otherwise("sell")

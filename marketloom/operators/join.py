@@ -65,7 +65,9 @@ def interpolate(curve: DataFrame, points: DataFrame, key: str, x: str, y: str) -
     pair = F.when(F.col("__y").isNotNull(), F.struct("__x", "__y"))
     both = own.unionByName(ask).withColumn("__p", pair)
     both = both.withColumn("__a", F.last("__p", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    both = both.withColumn("__b", F.first("__p", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))).filter("__q = 1")
+    # from the far end, so that the frame grows row by row
+    back = Window.partitionBy(key).orderBy(F.desc("__x"), "__q").rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("__b", F.last("__p", ignorenulls=True).over(back)).filter("__q = 1")
     x0, y0, x1, y1 = F.col("__a.__x"), F.col("__a.__y"), F.col("__b.__x"), F.col("__b.__y")
     between = y0 + (y1 - y0) * F.coalesce(F.try_divide(F.col("__x") - x0, x1 - x0), F.lit(0.0))
     return both.select(key, "point_id", F.col("__x").alias(x), F.when(F.col("__a").isNull(), y1).when(F.col("__b").isNull(), y0).otherwise(between).alias(y))

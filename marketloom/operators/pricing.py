@@ -81,27 +81,41 @@ def scenario_grid(df: DataFrame, param: str, lo: float, hi: float, n: int) -> Da
     return grid.withColumn(param, F.lit(float(lo)) + F.col("point") * F.lit((hi - lo) / (n - 1)))
 
 
-def gbm_paths(df: DataFrame, n_sims: int, n_steps: int, seed: int = 42, block: int = 4096, id_col: str = "contract_id") -> DataFrame:
+#: Steps times simulations that a task holds at once.
+BLOCK_CELLS = 1 << 21
+
+
+def gbm_paths(df: DataFrame, n_sims: int, n_steps: int, seed: int = 42, id_col: str = "contract_id") -> DataFrame:
     """``id, sim_id, last, highest`` of geometric Brownian paths from ``s, t, r, sigma``.
 
     Work is dealt in blocks of simulations; a block's normal shocks come from a
     generator seeded by seed, contract and block, so that retries repeat them.
     Steps live in one block of memory only; paths aren't written out.
     """
+    block = max(1, min(4096, BLOCK_CELLS // n_steps))
     blocks = -(-n_sims // block)
     work = df.select(F.col(id_col).cast("long").alias("id"), *[F.col(c).cast("double") for c in ("s", "t", "r", "sigma")]).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
+    def frame(parts: list) -> pd.DataFrame:
+        return pd.DataFrame(dict(zip(("id", "sim_id", "last", "highest"), (np.concatenate(c) for c in zip(*parts, strict=True)), strict=True)))
+
     def simulate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            parts = []
             for row in batch.itertuples():
                 n = min(block, n_sims - row.block * block)
                 rng = np.random.default_rng([seed, abs(int(row.id)), row.block])
                 dt = row.t / n_steps
-                x, high = np.zeros(n), np.zeros(n)
-                for _ in range(n_steps):
-                    x += (row.r - row.sigma**2 / 2) * dt + row.sigma * np.sqrt(dt) * rng.standard_normal(n)
-                    np.maximum(high, x, out=high)
-                yield pd.DataFrame({"id": row.id, "sim_id": row.block * block + np.arange(n), "last": row.s * np.exp(x), "highest": row.s * np.exp(high)})
+                x = rng.standard_normal((n_steps, n))
+                x *= row.sigma * np.sqrt(dt)
+                x += (row.r - row.sigma**2 / 2) * dt
+                np.cumsum(x, axis=0, out=x)
+                parts.append((np.full(n, row.id), row.block * block + np.arange(n), row.s * np.exp(x[-1]), row.s * np.exp(np.maximum(x.max(axis=0), 0.0))))
+                if len(parts) * block >= 1 << 18:
+                    yield frame(parts)
+                    parts = []
+            if parts:
+                yield frame(parts)
 
     return work.repartition("id", "block").mapInPandas(simulate, "id long, sim_id long, last double, highest double")
 

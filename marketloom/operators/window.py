@@ -178,10 +178,15 @@ def log_returns(df: DataFrame, key: str, ts: str, close: str) -> DataFrame:
 
 
 def ffill_bfill(df: DataFrame, key: str | list[str], ts: str, cols: list[str]) -> DataFrame:
-    """Fill nulls with the last value before, and at the start with the first one after."""
+    """Fill nulls with the last value before, and at the start with the first one after.
+
+    Where nothing stands before, the first value after is the first of all: a
+    frame over the whole series, which Spark evaluates once (one that begins at
+    the current row would be evaluated anew for each).
+    """
     w = series(key, ts)
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    return df.withColumns({c: F.coalesce(F.last(c, ignorenulls=True).over(back), F.first(c, ignorenulls=True).over(ahead)) for c in cols})
+    back, whole = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return df.withColumns({c: F.coalesce(F.last(c, ignorenulls=True).over(back), F.first(c, ignorenulls=True).over(whole)) for c in cols})
 
 
 def _complete(df: DataFrame, key: str, ts: str, col: str, step: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marketloom.functions import clean, features
 from marketloom.operators import aggregate, join, scale, window
+from marketloom.sources.durable import durable
 
 #: Feature groups and the columns that each gives.
 GROUPS = {
@@ -65,13 +66,17 @@ def build_features(df: DataFrame, preset: str = "full", *, log_skewed: bool = Fa
 
 
 def prepare_dataset(train: DataFrame, labels: DataFrame, test: DataFrame, *, preset: str = "full", limits: tuple[float, float] = (10.0, 10.0), remove_outliers: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Encode, join labels, drop outlier series, build features, scale by train statistics, drop outlier series again."""
+    """Encode, join labels, drop outlier series, build features, scale by train statistics, drop outlier series again.
+
+    An action: the train features are computed once into the checkpoint folder.
+    """
     categories = ["venue", "action", "side"]
     codes = clean.fit_ordinal(train, categories)
     train, test = clean.apply_ordinal(train, codes, categories), clean.apply_ordinal(test, codes, categories)
     train = join.with_labels(train, labels)
     train = join.remove_outlier_series(train, "eqt_code_cat", ["price", "bid", "ask"], limits[0], enabled=remove_outliers)
     own, names = build_features(train, preset, keep=("eqt_code_cat",))
+    own = durable(own)  # read for statistics, scaling and the second outlier pass
     other, _ = build_features(test, preset)
     scaled = [c for c in names if c not in (*BASE, "eqt_code_cat", "order_event_count")]
     train_z, test_z = scale.zscore_train(own, own, scaled), scale.zscore_train(own, other, scaled)
