@@ -26,8 +26,12 @@ from pyspark.sql import functions as F
 STEPS = 48
 #: Positions of the embedding that a key samples.
 SAMPLES = 18
-#: Repetitions, each with its own walk and positions.
-REPETITIONS = 5
+#: Recall that repetitions must reach on probes: items with this share of their characters edited at random.
+TARGET_RECALL, PROBED_EDITS = 0.98, 0.1
+#: Repetitions, each with its own walk and positions: at least and at most.
+REPETITIONS = (3, 12)
+#: Items that are probed; a sample of this size tells the recall to about a hundredth.
+MOST_PROBED = 400
 #: An item is found where the edit distance is at most this share of its length.
 MOST_EDITS = 0.2
 #: Characters that an item's window needs; shorter items are found by exact match.
@@ -125,8 +129,26 @@ def _walk(buffer: np.ndarray, at: np.ndarray, repetition: Repetition, screen: bo
     return which, h
 
 
-def build_index(items: list[tuple[object, str]], *, steps: int = STEPS, samples: int = SAMPLES, repetitions: int = REPETITIONS, seed: int = 23) -> Index:
-    """LSH keys of a block of ``(item_id, text)``."""
+def _joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Texts as one byte buffer, each ended by a zero byte, and where they begin; zeros enough for a walk follow."""
+    raw = [t.encode("utf-8", "replace") for t in texts]
+    return np.frombuffer(b"".join(r + b"\0" for r in raw) + b"\0" * (STEPS + 1), np.uint8), np.cumsum([0, *[len(r) + 1 for r in raw]])
+
+
+def _edited(text: str, rate: float, rng: np.random.Generator) -> str:
+    """Characters deleted, replaced or doubled at random."""
+    out = []
+    for c, u in zip(text, rng.random(len(text)), strict=True):
+        out.append(c if u >= rate else ("", text[int(u / rate * len(text))], c + c)[int(u / rate * 3)])
+    return " ".join("".join(out).split())
+
+
+def build_index(items: list[tuple[object, str]], *, steps: int = STEPS, samples: int = SAMPLES, target_recall: float = TARGET_RECALL, probed_edits: float = PROBED_EDITS, seed: int = 23) -> Index:
+    """LSH keys of a block of ``(item_id, text)``.
+
+    Repetitions are added until edited copies of the items are found with the
+    target recall. The probes only tell how many are needed; every item is indexed.
+    """
     ids, texts, short = [], [], {}
     for item, text in items:
         text = normalise(text)
@@ -135,17 +157,17 @@ def build_index(items: list[tuple[object, str]], *, steps: int = STEPS, samples:
             texts.append(text)
         elif text:
             short.setdefault(text, []).append(item)
-    raw = [t.encode("utf-8", "replace") for t in texts]
-    buffer = np.frombuffer(b"".join(r + b"\0" for r in raw) + b"\0" * (steps + 1), np.uint8)
-    begins = np.cumsum([0, *[len(r) + 1 for r in raw]])
+    buffer, begins = _joined(texts)
     starts = word_starts(buffer)
     item = np.searchsorted(begins, starts, "right") - 1
     offset = starts - begins[item] if len(starts) else starts
-    lengths = np.array([len(r) for r in raw], np.int64)
+    lengths = np.diff(begins) - 1
     fits = lengths[item] - offset >= LEAST_WINDOW if len(starts) else np.zeros(0, bool)
     starts, item, offset = starts[fits], item[fits], offset[fits]
     rng, out = np.random.default_rng(seed), []
-    for _ in range(repetitions):
+    probes, probe_begins = _joined([_edited(t, probed_edits, rng) for t in texts[:MOST_PROBED]])
+    found = np.zeros(len(probe_begins) - 1, bool)
+    for _ in range(REPETITIONS[1]):
         moves = rng.integers(0, 2, (steps, 256)).astype(np.uint8)
         moves[:, 0] = 0  # walks stay where a text ends
         chosen = np.sort(rng.choice(steps, samples, replace=False))
@@ -159,6 +181,10 @@ def build_index(items: list[tuple[object, str]], *, steps: int = STEPS, samples:
         _, h = _walk(buffer, starts, bare, False)
         order = np.argsort(h, kind="stable")
         out.append(Repetition(moves, chosen, tuple(maps), h[order], order))
+        hits = candidates(probes, probe_begins, Index(ids, texts, item, offset, (out[-1],), {}))
+        found[hits[hits[:, 0] == hits[:, 1], 0]] = True
+        if len(out) >= REPETITIONS[0] and (not len(found) or found.mean() >= target_recall):
+            break
     return Index(ids, texts, item, offset, tuple(out), short)
 
 
@@ -186,9 +212,7 @@ def candidates(buffer: np.ndarray, begins: np.ndarray, index: Index) -> np.ndarr
 def find_items(texts: list[str | None], index: Index, most_edits: float = MOST_EDITS, automaton=None) -> list[tuple[int, object, int, int]]:
     """``(text number, item id, edit distance, item length)`` of the items in each text, each item once per text."""
     clean = [normalise(t) for t in texts]
-    raw = [t.encode("utf-8", "replace") for t in clean]
-    buffer = np.frombuffer(b"".join(r + b"\0" for r in raw) + b"\0" * (STEPS + 1), np.uint8)
-    begins = np.cumsum([0, *[len(r) + 1 for r in raw]])
+    buffer, begins = _joined(clean)
     out: dict[tuple[int, object], tuple[int, int]] = {}
     tried: dict[tuple[int, int], list[int]] = {}
     for number, item, place in candidates(buffer, begins, index).tolist():
@@ -197,7 +221,8 @@ def find_items(texts: list[str | None], index: Index, most_edits: float = MOST_E
         if out.get((number, index.ids[item]), (1,))[0] == 0 or any(abs(place - p) <= 4 for p in tried.get((number, item), ())):
             continue
         tried.setdefault((number, item), []).append(place)
-        region = raw[number][max(0, place - slack) : max(0, place + size + slack)].decode("utf-8", "ignore")
+        here = int(begins[number])
+        region = buffer[here + max(0, place - slack) : min(int(begins[number + 1]) - 1, here + max(0, place + size + slack))].tobytes().decode("utf-8", "ignore")
         distance, _ = edit_distance_within(pattern, region)
         if distance <= most_edits * len(pattern):
             known = out.get((number, index.ids[item]))
