@@ -135,7 +135,7 @@ def gram_pairs(df: DataFrame, cols: list[str]) -> DataFrame:
 def correlation_prune(df: DataFrame, cols: list[str], threshold: float, sample: int | None = None, wide_from: int = 60) -> list[str]:
     """Columns to drop: those with a correlation above the threshold to any earlier column, dropped or not.
 
-    Reads back one row per column pair. ``sample`` is the reference's optional
+    Reads back one row per column pair. ``sample`` is an optional
     cap on rows; the default looks at all.
     """
     rows = df if sample is None else df.limit(sample)
