@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketloom.llm import decontam, mixing, quality, sharding, simhash
+from marketloom.llm import decontam, mixing, near_copies, quality, sharding
 from marketloom.llm._shared import spread, written
 
 
@@ -21,8 +21,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return simhash.drop_near_duplicates(spread(docs))
+    """One document of each group of near-duplicates: five-word shingles, similarity 0.8."""
+    return near_copies.drop_similar(spread(docs))
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +48,7 @@ STAGES = [
     ("shard", shard),
 ]
 
-#: SQL can express neither the classifier nor the fingerprints.
+#: SQL can express neither the classifier nor the similarity.
 ORACLE_SQL = None
 
 

@@ -36,18 +36,21 @@ GENERATOR = 0b110001110101
 # --- fingerprints -----------------------------------------------------------
 
 
-def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
-    """The fingerprint of one text: a bit is set if over half of the shingles' XXH64 have it set."""
+def shingles(text: str | None, words: int = 3, seed: int = 42) -> np.ndarray:
+    """XXH64 of each run of ``words`` words, in order; a shorter text is one run, one without words has none."""
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    line, words = b" ".join(parts), min(words, len(parts))
     if not parts:
-        return 0
-    if len(parts) < words:
-        return xxhash.xxh64_intdigest(b" ".join(parts), seed=seed)
-    line = b" ".join(parts)
+        return np.zeros(0, np.uint64)
     ends = np.cumsum([len(p) + 1 for p in parts]) - 1
     begins = np.concatenate(([0], ends[: len(parts) - words] + 1)).tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(line[a:b], seed) for a, b in zip(begins, ends[words - 1 :].tolist(), strict=True)), np.uint64, len(begins))
+    return np.fromiter((digest(line[a:b], seed) for a, b in zip(begins, ends[words - 1 :].tolist(), strict=True)), np.uint64, len(begins))
+
+
+def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
+    """The fingerprint of one text: a bit is set if over half of the shingles' XXH64 have it set."""
+    hashes = shingles(text, words, seed)
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 1 << 14):  # bounded memory for long texts
         block = hashes[at : at + (1 << 14)]
@@ -302,6 +305,20 @@ def connected_components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     return members.unionByName(both.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def with_components(rows: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
+    """``rows(id, fp)`` plus ``component_id``, from ``classes(fp, first_id)`` and the links ``found(a, b)`` between values of ``fp``."""
+    # rows of one id with different texts hold their classes together
+    again = Window.partitionBy("id")
+    same = rows.filter("id IS NOT NULL").distinct().withColumn("least", F.min("fp").over(again)).filter("least <> fp").select(F.col("least").alias("a"), F.col("fp").alias("b"))
+    members = durable(connected_components(found.unionByName(same)))
+    named = classes.join(members, classes["fp"] == members["node"])
+    ids = named.groupBy("component").agg(F.min("first_id").alias("least_id"))
+    linked = members.join(ids, "component").select("node", "least_id")
+    all_classes = durable(classes.join(linked, classes["fp"] == linked["node"], "left").select("fp", F.when(F.col("node").isNotNull(), F.col("least_id")).otherwise(F.col("first_id")).alias("component_id")))
+    # a hot fingerprint is one row on the right: adaptive execution splits the left side
+    return rows.join(all_classes.hint("merge"), "fp")
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, most_in_bucket: int = MOST_IN_BUCKET) -> DataFrame:
     """``doc_id, fingerprint (16 hexadecimal digits), component_id`` for every row of ``docs``.
 
@@ -315,27 +332,23 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rows = durable(docs.select(F.col(id_col).alias("id"), fingerprint_column(text_col, words).alias("fp")))
     classes = durable(rows.groupBy("fp").agg(F.min("id").alias("first_id")))
     found = links(classes, most_in_bucket)
-    # rows of one id with different texts hold their classes together
-    again = Window.partitionBy("id")
-    same = rows.filter("id IS NOT NULL").distinct().withColumn("least", F.min("fp").over(again)).filter("least <> fp").select(F.col("least").alias("a"), F.col("fp").alias("b"))
-    members = durable(connected_components(found.unionByName(same)))
-    named = classes.join(members, classes["fp"] == members["node"])
-    ids = named.groupBy("component").agg(F.min("first_id").alias("least_id"))
-    linked = members.join(ids, "component").select("node", "least_id")
-    all_classes = durable(classes.join(linked, classes["fp"] == linked["node"], "left").select("fp", F.when(F.col("node").isNotNull(), F.col("least_id")).otherwise(F.col("first_id")).alias("component_id")))
-    # a hot fingerprint is one row on the right: adaptive execution splits the left side
-    out = rows.join(all_classes.hint("merge"), "fp")
+    out = with_components(rows, classes, found)
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def keep_least(docs: DataFrame, components: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` whose id is its own component's; of a repeated id the one with the smallest text."""
+    kept = components.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__kept")).distinct()
+    named = docs.filter(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col("__kept"), "left_semi")
+    first = Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_last())
+    one = named.withColumn("__nth", F.row_number().over(first)).filter("__nth = 1").drop("__nth")
+    return one.unionByName(docs.filter(F.col(id_col).isNull()))
+
+
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each component, the one with the smallest id; all columns stay.
 
     Rows without an id can't be named by a decision and stay as they are. Of rows
     that repeat an id the one with the smallest text stays.
     """
-    kept = near_duplicates(docs, id_col=id_col, text_col=text_col).filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__kept")).distinct()
-    named = docs.filter(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col("__kept"), "left_semi")
-    first = Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_last())
-    one = named.withColumn("__nth", F.row_number().over(first)).filter("__nth = 1").drop("__nth")
-    return one.unionByName(docs.filter(F.col(id_col).isNull()))
+    return keep_least(docs, near_duplicates(docs, id_col=id_col, text_col=text_col), id_col, text_col)
