@@ -27,10 +27,13 @@ from marketloom.llm.html_pages import PageMaker
 
 #: Elements inside which text runs on.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark nobr q rb rp rt rtc ruby s samp small span strike strong sub sup time tt u var wbr img br input".split())
+#: Formulae run on too; what annotates one is no text of the page.
+ANNOTATIONS = frozenset("annotation annotation-xml".split())
+INLINE |= ANNOTATIONS | frozenset("math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics".split())
 #: Elements without an end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no text of the page.
-DROPPED = frozenset("script style noscript template title svg iframe object textarea select option canvas audio video math head".split())
+DROPPED = frozenset("script style noscript template title svg iframe object textarea select option canvas audio video head".split())
 #: Of these, the ones whose content isn't markup.
 RAW = frozenset("script style title textarea iframe".split())
 #: Elements that end an open paragraph.
@@ -65,7 +68,7 @@ def blocks_of(html: str | None) -> list[Block]:
     held: list[str] = []
     linked = plain = dropped = 0
     path: tuple[str, ...] = ()
-    quoted = True
+    quoted, annotated = True, True
 
     def flush() -> None:
         nonlocal linked, plain
@@ -133,6 +136,10 @@ def blocks_of(html: str | None) -> list[Block]:
             if not dropped and held:
                 held.append(" ")
             continue
+        if tag in ANNOTATIONS and annotated and html[end - 2 : end] != "/>":
+            close = re.compile(rf"</{tag}\s*>", re.I).search(html, end)
+            at, annotated = (close.end(), True) if close else (end, False)  # an unclosed one hides nothing
+            continue
         if tag in RAW:
             close = re.compile(rf"</{tag}\b", re.I).search(html, end)
             at = n if not close else (html.find(">", close.end()) + 1 or n)
@@ -153,13 +160,19 @@ def blocks_of(html: str | None) -> list[Block]:
                 stack.pop()
         if tag in ("li", "dd", "dt", "tr", "td", "th") and stack and stack[-1][0] == tag:
             stack.pop()
+        if tag in ("option", "optgroup"):
+            while stack and stack[-1][0] in ("option", tag):
+                dropped -= stack.pop()[0] in DROPPED
         if tag in VOID or html[end - 2 : end] == "/>":
             continue
         names = [a or b or c for a, b, c in _CLASS.findall(html[name.end() : end - 1])]
         stack.append((tag, (tag, *(f".{w}" for x in names for w in _PLAIN.findall(x.lower())))))
         dropped += tag in DROPPED
         if len(stack) > 400:  # paths of broken pages stay short; blocks are kept
-            del stack[200:300]
+            hidden = [s for s in stack[200:300] if s[0] in DROPPED]
+            keep = [] if any(s[0] in DROPPED for s in stack[:200]) else hidden[:1]  # the outermost one still hides what it holds
+            dropped -= len(hidden) - len(keep)
+            stack[200:300] = keep
     flush()
     return out
 

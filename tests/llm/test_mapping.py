@@ -25,6 +25,20 @@ def test_long_pages_are_read_in_linear_time():
     html_text.blocks_of("<!--" * 50_000)
 
 
+def test_text_after_many_unclosed_options_is_kept():
+    texts = lambda html: [b.text for b in html_text.blocks_of(html)]
+    assert texts("<select>" + "<option>x" * 1000 + "</select><p>article") == ["article"]
+    assert texts("<select>" + "<optgroup label=a><option>x" * 1000 + "</select><p>article") == ["article"]
+    assert texts("<svg>" * 1000 + "</svg>" * 1000 + "<p>article") == ["article"]
+    assert texts("<div>" * 250 + "<svg>" + "<g>x" * 900 + "</svg><p>article") == ["article"]
+
+
+def test_formulae_stay_in_their_sentence():
+    html = "<p>so <math><semantics><mrow><msup><mi>x</mi><mn>2</mn></msup><mo>=</mo><mn>4</mn></mrow><annotation encoding='tex'>x^2=4</annotation></semantics></math> holds<p>next"
+    assert [b.text for b in html_text.blocks_of(html)] == ["so x2=4 holds", "next"]
+    assert [b.text for b in html_text.blocks_of("<p>a<annotation>" * 3)] == ["a", "a", "a"]
+
+
 def test_gradients_of_the_labeller():
     model = html_text.Labeller(1)
     data = html_text.made_up_pages(3, 5)
