@@ -8,13 +8,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom.functions.clean import signed_log
+from marketloom.sources.tables import rank_within
 
 KEY, ORDER = "obs_id", "event_idx"
 
 #: Named aggregates of one column; a caller can hand in others.
 AGGREGATES: dict[str, Callable[[Column], Column]] = {
     "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max, "sum": F.sum, "median": F.median, "std_pop": F.stddev_pop,
-    "q25": lambda c: F.percentile(c, 0.25), "q75": lambda c: F.percentile(c, 0.75), "last": lambda c: F.max_by(c, F.col(ORDER)), "first": lambda c: F.min_by(c, F.col(ORDER)),
+    "q25": lambda c: F.percentile(c, 0.25), "pct25": lambda c: F.percentile(c, 0.25), "pct75": lambda c: F.percentile(c, 0.75),
+    "skew": lambda c: corrected_skewness(c), "q75": lambda c: F.percentile(c, 0.75), "last": lambda c: F.max_by(c, F.col(ORDER)), "first": lambda c: F.min_by(c, F.col(ORDER)),
 }
 
 
@@ -29,7 +31,7 @@ def summarize_series(df: DataFrame, spec: dict[str, list[str]], key: str = KEY)
     return df.filter(F.col(key).isNotNull()).groupBy(key).agg(*[AGGREGATES[n](F.col(c)).alias(f"{c}_{n}") for c, names in spec.items() for n in names])
 
 
-def corrected_skewness(col: str) -> Column:
+def corrected_skewness(col: str | Column) -> Column:
     """Bias-corrected skewness; 0 with fewer than three values or without spread."""
     n, spread = F.count(col).cast("double"), F.stddev_pop(col)
     return F.when((n >= 3) & (spread > 0), F.skewness(col) * F.sqrt(n * (n - 1)) / (n - 2)).otherwise(0.0)
@@ -61,8 +63,11 @@ def guarded_corr(x: Column, y: Column) -> Column:
     Squares are taken around the mean of the whole column by Spark's own
     covariance, so that large levels don't cancel.
     """
-    spread = F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y))
-    return F.try_divide(F.covar_pop(x, y), F.when(spread > 0, spread))
+    x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    # rounding may leave a constant column a little deviation: ends tell for sure
+    varies = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
+    spread = F.stddev_pop(x) * F.stddev_pop(y)
+    return F.try_divide(F.covar_pop(x, y), F.when(varies & (spread > 0), spread))
 
 
 def autocorr1(df: DataFrame, col: str, key: str = KEY, order: str = ORDER) -> DataFrame:
@@ -97,46 +102,65 @@ def drift_volatility(returns: DataFrame, key: str, col: str = "log_return", days
     return out.withColumn("adjusted_drift", F.col("mu") - F.col("sigma") * F.col("sigma") / 2)
 
 
+def _number(col: str) -> Column:
+    """A column as double; NaN counts as missing, as null does."""
+    return F.nanvl(F.col(col).cast("double"), F.lit(None).cast("double"))
+
+
 def correlation_pairs(df: DataFrame, cols: list[str]) -> DataFrame:
-    """``i, j, left_col, right_col, corr`` (absolute) for column pairs i < j, in one pass; null for a column without spread."""
+    """``i, j, left_col, right_col, corr`` (absolute) for column pairs i < j, in one pass.
+
+    A pair is judged by the rows that have both values; null for a column
+    without spread there.
+    """
     pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
-    row = df.agg(*[guarded_corr(F.col(cols[i]), F.col(cols[j])).alias(f"c{i}_{j}") for i, j in pairs])
-    items = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(cols[i]).alias("left_col"), F.lit(cols[j]).alias("right_col"), F.abs(f"c{i}_{j}").alias("corr")) for i, j in pairs]
+    row = df.agg(*[guarded_corr(_number(cols[i]), _number(cols[j])).alias(f"c{i}_{j}") for i, j in pairs])
+    names = lambda i, j: (F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(cols[i]).alias("left_col"), F.lit(cols[j]).alias("right_col"))
+    items = [F.struct(*names(i, j), F.abs(f"c{i}_{j}").alias("corr")) for i, j in pairs]
     return row.select(F.explode(F.array(*items)).alias("x")).select("x.*")
 
 
 def gram_pairs(df: DataFrame, cols: list[str]) -> DataFrame:
-    """The same for many columns: partial Gram matrices in numpy, summed by Spark.
+    """The same rows for many columns: sums over the rows that have both values, by matrix products in numpy.
 
-    Columns are shifted by their means first, which takes one more pass.
+    Columns are shifted by their means first, which takes one more pass, so that
+    large levels don't cancel.
     """
     import numpy as np
     import pandas as pd
 
-    means = [m or 0.0 for m in df.agg(*[F.avg(c).alias(c) for c in cols]).first()]
-    k = len(cols)
+    plain = df.select(*[_number(c).alias(f"c{i}") for i, c in enumerate(cols)])
+    means = [m or 0.0 for m in plain.agg(*[F.avg(f"c{i}") for i in range(len(cols))]).first()]
+    left, right = np.triu_indices(len(cols), 1)
 
     def partial(batches):
-        total = np.zeros((k, k))
+        total = np.zeros((6, len(left)))
         for batch in batches:
             x = batch.to_numpy(float) - means
-            total += np.nan_to_num(x).T @ np.nan_to_num(x)
-        yield pd.DataFrame({"i": np.repeat(np.arange(k), k), "j": np.tile(np.arange(k), k), "v": total.ravel()})
-
-    cells = df.select(*[F.col(c).cast("double") for c in cols]).mapInPandas(partial, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
-    own = cells.filter("i = j").select("i", "v")
-    a, b = own.select(F.col("i").alias("ii"), F.col("v").alias("va")), own.select(F.col("i").alias("jj"), F.col("v").alias("vb"))
+            present = ~np.isnan(x)
+            x, m = np.where(present, x, 0.0), present.astype(float)
+            level, square = x.T @ m, (x * x).T @ m  # [i, j]: over the rows that have j
+            cells = (m.T @ m)[left, right], level[left, right], level[right, left], square[left, right], square[right, left], (x.T @ x)[left, right]
+            total += np.stack(cells)
+        yield pd.DataFrame({"i": left.astype("int32"), "j": right.astype("int32")} | dict(zip(("n", "x", "y", "xx", "yy", "xy"), total, strict=True)))
+
+    sums = plain.mapInPandas(partial, "i int, j int, n double, x double, y double, xx double, yy double, xy double")
+    s = sums.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
+    varying = lambda a, aa: F.greatest(F.lit(0.0), F.try_divide(F.col(aa), F.col("n")) - F.try_divide(F.col(a), F.col("n")) ** 2)
+    # what rounding leaves of a constant column is no spread
+    has_spread = lambda a, aa: varying(a, aa) > 1e-14 * F.try_divide(F.col(aa), F.col("n"))
+    cov = F.try_divide(F.col("xy"), F.col("n")) - F.try_divide(F.col("x") * F.col("y"), F.col("n") * F.col("n"))
+    spread = F.when(has_spread("x", "xx") & has_spread("y", "yy"), F.sqrt(varying("x", "xx") * varying("y", "yy")))
     names = F.array(*[F.lit(c) for c in cols])
-    joined = cells.filter("i < j").join(F.broadcast(a), F.col("i") == F.col("ii")).join(F.broadcast(b), F.col("j") == F.col("jj"))
-    spread = F.sqrt(F.col("va") * F.col("vb"))
-    return joined.select("i", "j", names[F.col("i")].alias("left_col"), names[F.col("j")].alias("right_col"), F.abs(F.try_divide(F.col("v"), F.when(spread > 0, spread))).alias("corr"))
+    return s.select("i", "j", names[F.col("i")].alias("left_col"), names[F.col("j")].alias("right_col"), F.abs(F.try_divide(cov, spread)).alias("corr"))
 
 
 def correlation_prune(df: DataFrame, cols: list[str], threshold: float, sample: int | None = None, wide_from: int = 60) -> list[str]:
     """Columns to drop: those with a correlation above the threshold to any earlier column, dropped or not.
 
-    Reads back one row per column pair. ``sample`` is an optional
-    cap on rows; the default looks at all.
+    Reads back the dropped names. ``sample`` is an optional cap on rows; the
+    default looks at all. From ``wide_from`` columns on the sums are taken by
+    matrix products; the rule is the same.
     """
     rows = df if sample is None else df.limit(sample)
     pairs = (gram_pairs if len(cols) > wide_from else correlation_pairs)(rows, cols)
@@ -163,6 +187,20 @@ def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
 
 
 def box_stats(df: DataFrame, group: str, col: str) -> DataFrame:
-    """Minimum, quartiles and maximum per class (exact)."""
-    q = F.percentile(col, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return df.groupBy(group).agg(F.min(col).alias("min"), q.alias("q"), F.max(col).alias("max")).select(group, "min", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "max")
+    """Minimum, quartiles and maximum per class (exact, linear between ranks).
+
+    Values are ranked in range partitions and only the ranks next to a quartile
+    are gathered, so that no task holds a class.
+    """
+    ranked = rank_within(df.select(group, col), [group], [F.asc_nulls_last(col)], "__rank")
+    known = ranked.groupBy(F.col(group).alias("__g")).agg(F.count(col).alias("__known"), F.min(col).alias("min"), F.max(col).alias("max"))
+    both = ranked.join(known, F.col(group).eqNullSafe(F.col("__g")))
+    place = {n: (F.col("__known") - 1) * F.lit(q) for n, q in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))}
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when(F.col("__rank") == rank, F.col(col)))
+
+    ends = [x for n, p in place.items() for x in (at(F.floor(p)).alias(f"{n}_lo"), at(F.ceil(p)).alias(f"{n}_hi"), F.max(p - F.floor(p)).alias(f"{n}_f"))]
+    found = both.groupBy(group).agg(F.first("min").alias("min"), *ends, F.first("max").alias("max"))
+    between = [(F.col(f"{n}_lo") + (F.col(f"{n}_hi") - F.col(f"{n}_lo")) * F.col(f"{n}_f")).alias(n) for n in place]
+    return found.select(group, "min", *between, "max")

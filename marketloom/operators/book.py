@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom.functions.clean import round_to_tick
+from marketloom.sources.durable import durable
+from marketloom.sources.tables import rank_within, running
 
 _c = F.col
 
@@ -60,8 +62,8 @@ def available(takers: DataFrame, orders: DataFrame) -> DataFrame:
     book = levels.select("instrument", "side", signed_price().alias("at"), _c("qty").cast("long").alias("add"), F.lit(0).alias("is_taker"), F.lit(None).cast("long").alias("taker_id"))
     limit = F.when(_c("price").isNull(), float("inf")).otherwise(signed_price(_opposite(_c("side"))))
     asks = takers.select("instrument", _opposite(_c("side")).alias("side"), limit.alias("at"), F.lit(0).cast("long").alias("add"), F.lit(1).alias("is_taker"), _c("id").alias("taker_id"))
-    w = Window.partitionBy("instrument", "side").orderBy("at", "is_taker").rowsBetween(Window.unboundedPreceding, 0)
-    found = book.unionByName(asks).withColumn("available", F.sum("add").over(w)).filter("is_taker = 1").select("taker_id", "available")
+    summed = running(book.unionByName(asks), ["instrument", "side"], ["at", "is_taker", "taker_id"], sums={"available": "add"})
+    found = summed.filter("is_taker = 1").select("taker_id", "available")
     return takers.join(found, takers["id"] == found["taker_id"]).drop("taker_id")
 
 
@@ -77,29 +79,36 @@ def crossing_flags(takers: DataFrame, orders: DataFrame) -> DataFrame:
     return takers.join(top, "instrument", "left").withColumn("crosses", crosses).withColumn("rejected", _c("post_only") & _c("crosses")).drop("best_bid", "best_ask")
 
 
-def _eligible(takers: DataFrame, orders: DataFrame) -> DataFrame:
-    """Takers that may trade: a post-only order must not cross, a fill-or-kill one must be feasible."""
-    judged = crossing_flags(fok_feasible(takers, orders), orders)
-    return judged.filter(~_c("rejected") & ((_c("tif") != "FOK") | _c("feasible")))
+def judged_takers(takers: DataFrame, orders: DataFrame) -> DataFrame:
+    """Takers with ``available, feasible, crosses, rejected``, computed once into the checkpoint folder."""
+    return durable(crossing_flags(fok_feasible(takers, orders), orders))
+
+
+def _fills(judged: DataFrame, orders: DataFrame) -> DataFrame:
+    eligible = judged.filter(~_c("rejected") & ((_c("tif") != "FOK") | _c("feasible")))
+    t = eligible.select("instrument", _c("id").alias("taker_id"), _opposite(_c("side")).alias("side"), _c("price").alias("limit"), _c("qty").alias("want"))
+    # only what a taker of the other side can meet is laid out
+    met = orders.join(t, ["instrument", "side"])
+    reached = F.when(_c("side") == "sell", _c("price") <= _c("limit")).otherwise(_c("price") >= _c("limit"))
+    met = met.filter(_c("limit").isNull() | reached).withColumn("signed", signed_price())
+    ranked = running(met, ["instrument", "side"], ["signed", "ts", "id"], sums={"upto": "qty"})
+    fill = F.greatest(F.lit(0), F.least(_c("qty"), _c("want") - (_c("upto") - _c("qty"))))
+    return ranked.withColumn("fill", fill).filter("fill > 0").select("instrument", "taker_id", _c("id").alias("resting_id"), "price", "fill")
 
 
 def sweep_fills(takers: DataFrame, orders: DataFrame) -> DataFrame:
     """Fills of one taker per instrument: ``instrument, taker_id, resting_id, price, fill``.
 
-    A running sum in price-time priority says what is ahead of each resting order.
+    A running sum in price-time priority says what is ahead of each resting order
+    that the taker's limit reaches; those before it in priority are reached too.
     """
-    t = _eligible(takers, orders).select("instrument", _c("id").alias("taker_id"), _opposite(_c("side")).alias("side"), _c("price").alias("limit"), _c("qty").alias("want"))
-    w = Window.partitionBy("instrument", "side").orderBy(signed_price(), "ts", "id").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = orders.withColumn("ahead", F.coalesce(F.sum("qty").over(w), F.lit(0)))
-    met = ranked.join(t, ["instrument", "side"]).filter(_c("limit").isNull() | F.when(_c("side") == "sell", _c("price") <= _c("limit")).otherwise(_c("price") >= _c("limit")))
-    fill = F.greatest(F.lit(0), F.least(_c("qty"), _c("want") - _c("ahead")))
-    return met.withColumn("fill", fill).filter("fill > 0").select("instrument", "taker_id", _c("id").alias("resting_id"), "price", "fill")
+    return _fills(judged_takers(takers, orders), orders)
 
 
 def sweep(takers: DataFrame, orders: DataFrame) -> DataFrame:
     """Outcome per taker: quantity filled, mean price, remainder, and ``filled``, ``rests`` (the remainder stays), ``cancelled``, ``rejected`` or ``killed``."""
-    sums = sweep_fills(takers, orders).groupBy("taker_id").agg(F.sum("fill").alias("filled_qty"), F.sum(_c("fill") * _c("price")).alias("paid"))
-    judged = crossing_flags(fok_feasible(takers, orders), orders)
+    judged = judged_takers(takers, orders)
+    sums = _fills(judged, orders).groupBy("taker_id").agg(F.sum("fill").alias("filled_qty"), F.sum(_c("fill") * _c("price")).alias("paid"))
     out = judged.join(sums, judged["id"] == sums["taker_id"], "left").withColumn("filled_qty", F.coalesce("filled_qty", F.lit(0)))
     status = (
         F.when(_c("rejected"), "rejected").when((_c("tif") == "FOK") & ~_c("feasible"), "killed").when(_c("filled_qty") == _c("qty"), "filled")
@@ -117,63 +126,139 @@ def uncross(orders: DataFrame) -> DataFrame:
     trade at the mean of both prices while bid >= ask. The initiator is the side
     whose order has more left.
     """
-    w = Window.partitionBy("instrument", "side").orderBy(signed_price(), "ts", "id").rowsBetween(Window.unboundedPreceding, 0)
-    ends = orders.filter("qty > 0").withColumn("end", F.sum("qty").over(w))
+    laid = orders.filter("qty > 0").withColumn("signed", signed_price())
+    ends = running(laid, ["instrument", "side"], ["signed", "ts", "id"], sums={"end": "qty"})
     order = F.struct("id", "price", "end")
-    cuts = ends.groupBy("instrument", "end").agg(F.first(F.when(_c("side") == "buy", order), ignorenulls=True).alias("b"), F.first(F.when(_c("side") == "sell", order), ignorenulls=True).alias("s"))
-    # from the far end, so that the frame grows row by row
-    after = Window.partitionBy("instrument").orderBy(F.desc("end")).rowsBetween(Window.unboundedPreceding, 0)
-    before = F.coalesce(F.lag("end").over(Window.partitionBy("instrument").orderBy("end")), F.lit(0))
-    segments = cuts.withColumns({"begin": before, "bid": F.last("b", ignorenulls=True).over(after), "ask": F.last("s", ignorenulls=True).over(after)})
+    of = lambda side: F.first(F.when(_c("side") == side, order), ignorenulls=True)
+    cuts = ends.groupBy("instrument", "end").agg(of("buy").alias("b"), of("sell").alias("s"))
+    # from the far end: the order whose end comes next holds the segment
+    filled = running(cuts, ["instrument"], [F.desc("end")], lasts={"bid": "b", "ask": "s"})
+    # a segment begins where the one before it ended
+    segments = running(filled, ["instrument"], ["end"], lags={"before": "end"}).withColumn("begin", F.coalesce("before", F.lit(0)))
     crossing = segments.filter("bid.price >= ask.price")
     # what each order still has where the segment begins
     initiator = F.when(_c("bid.end") >= _c("ask.end"), "buy").otherwise("sell")
     return crossing.select("instrument", ((_c("bid.price") + _c("ask.price")) / 2).alias("price"), (_c("end") - _c("begin")).alias("volume"), _c("bid.id").alias("buy_id"), _c("ask.id").alias("sell_id"), initiator.alias("initiator"))
 
 
-def stop_triggers(stops: DataFrame, trades: DataFrame, quotes: DataFrame | None = None) -> DataFrame:
+#: Trades of an instrument that one task searches, and stops that look through one such block in a task.
+BLOCK_TRADES, BLOCK_STOPS = 4096, 200_000
+
+
+def stop_triggers(stops: DataFrame, trades: DataFrame, quotes: DataFrame | None = None, *, block_trades: int = BLOCK_TRADES, block_stops: int = BLOCK_STOPS) -> DataFrame:
     """``id, trigger_ts`` and the order each stop becomes, null if it never triggers.
 
     A stop triggers when the last trade's price reaches it: buy stops at or above,
     sell stops at or below; at its arrival by the last trade before or at that
     time (by the best quote if there is none), later by the last trade of each
-    time. Stops and trades of an instrument are stacked in price order and the
-    first later trade beyond a stop is found from the blocks below.
+    time.
+
+    An instrument's trades are cut into blocks of bounded size. A stop looks
+    through the rest of the block in which it arrives; if nothing there reaches
+    it, through the extremes of all later blocks, and then through the first
+    block whose extreme does. Stops of one block are dealt out by a hash of their
+    id, with a copy of the block, so that neither a busy instrument nor a crowd of
+    stops gathers in one task. Stop ids are unique.
     """
     last = trades.groupBy("instrument", "ts").agg(F.max_by("price", "id").alias("price"))
-    kind = "instrument {}, side string, id long, stop_price double, arrival timestamp_ntz, trigger timestamp_ntz, first_price double".format(trades.schema["instrument"].dataType.simpleString())
-
-    def match(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        """One instrument: trades in time order, a sparse table of running extremes, binary search per stop."""
-        left, right = left.reset_index(drop=True), right.sort_values("ts")
-        times, prices = right["ts"].to_numpy(), right["price"].to_numpy(float)
-        out = left.assign(trigger=pd.NaT, first_price=np.nan).rename(columns={"ts": "arrival"})
-        if not len(left) or not len(times):
-            return out[["instrument", "side", "id", "stop_price", "arrival", "trigger", "first_price"]]
-        at = np.searchsorted(times, left["ts"].to_numpy(), "right") - 1  # last trade at arrival, -1: none
-        sign = np.where(left["side"] == "buy", 1.0, -1.0)
-        table = {s: _extremes(s * prices) for s in (1.0, -1.0)}
-        hit = np.full(len(left), -1, np.int64)
-        for s in (1.0, -1.0):
-            mine = np.flatnonzero(sign == s)
-            hit[mine] = _first_at_least(table[s], np.maximum(at[mine], 0), s * left["stop_price"].to_numpy(float)[mine])
-        found = hit >= 0
-        when = left["ts"].to_numpy().copy()
-        later = found & (hit > at)
-        when[later] = times[hit[later]]
-        out["trigger"] = pd.Series(np.where(found, when, np.datetime64("NaT")), index=out.index)
-        out["first_price"] = np.where(at >= 0, prices[np.maximum(at, 0)], np.nan)
-        return out[["instrument", "side", "id", "stop_price", "arrival", "trigger", "first_price"]]
-
-    left = stops.select("instrument", "side", "id", _c("stop_price").cast("double").alias("stop_price"), "ts").groupBy("instrument")
-    matched = left.cogroup(last.groupBy("instrument")).applyInPandas(match, kind)
+    numbered = rank_within(last, ["instrument"], ["ts"], "__n")
+    tape = durable(numbered.select("instrument", "ts", _c("price").cast("double").alias("price"), F.floor(_c("__n") / block_trades).cast("int").alias("block")))
+    blocks = durable(tape.groupBy("instrument", "block").agg(F.min("ts").alias("ts"), F.max("price").alias("high"), F.min("price").alias("low")))
+
+    # the block in which each stop arrives: the last one that has begun
+    begins = blocks.select("instrument", "ts", F.lit(0).alias("is_stop"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("side"), F.lit(None).cast("double").alias("level"), "block")
+    asking = stops.select("instrument", "ts", F.lit(1).alias("is_stop"), "id", "side", _c("stop_price").cast("double").alias("level"), F.lit(None).cast("int").alias("block"))
+    placed = running(begins.unionByName(asking), ["instrument"], ["ts", "is_stop", "id"], lasts={"own_block": "block"})
+    placed = placed.filter("is_stop = 1").select("instrument", "id", "side", "level", _c("ts").alias("arrival"), F.coalesce("own_block", F.lit(0)).alias("block"))
+    in_block = durable(_search(durable(placed), tape, block_stops))
+
+    # those that wait on: the first later block that reaches them, then the place in it
+    waiting = in_block.filter("trigger IS NULL").drop("trigger", "first_price")
+    found = durable(_next_block(waiting, blocks, block_stops))
+    later = _search(found.filter("block >= 0"), tape, block_stops).select(_c("id").alias("later_id"), _c("trigger").alias("later"))
+    matched = in_block.join(later, _c("id") == _c("later_id"), "left").withColumn("trigger", F.coalesce("trigger", "later"))
     if quotes is not None:
         q = quotes.select("instrument", "best_bid", "best_ask")
         quoted = matched.join(q, "instrument", "left")
-        at_quote = (_c("first_price").isNull() | F.isnan("first_price")) & F.coalesce(F.when(_c("side") == "buy", _c("best_ask") >= _c("stop_price")).otherwise(_c("best_bid") <= _c("stop_price")), F.lit(False))
+        reached = F.when(_c("side") == "buy", _c("best_ask") >= _c("level")).otherwise(_c("best_bid") <= _c("level"))
+        at_quote = _c("first_price").isNull() & F.coalesce(reached, F.lit(False))
         matched = quoted.withColumn("trigger", F.when(at_quote, _c("arrival")).otherwise(_c("trigger")))
     becomes = F.when(_c("type") == "stop", "market").otherwise("limit")
-    return stops.select("id", "type").join(matched.select("id", "instrument", "side", "stop_price", _c("trigger").alias("trigger_ts")), "id").select("id", "instrument", "side", "stop_price", "trigger_ts", F.when(_c("trigger_ts").isNotNull(), becomes).alias("becomes"))
+    when = matched.select("id", _c("trigger").alias("trigger_ts"))
+    return stops.join(when, "id").select("id", "instrument", "side", "stop_price", "trigger_ts", F.when(_c("trigger_ts").isNotNull(), becomes).alias("becomes"))
+
+
+def _salted(left: DataFrame, right: DataFrame, keys: list[str], most: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a ``salt``: rows of a crowded key on the left are dealt over several, each with a copy of the right side."""
+    crowds = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).withColumn("salts", F.ceil(_c("n") / most).cast("int")).drop("n")
+    named = crowds.select(*[_c(k).alias(f"__{k}") for k in keys], "salts")
+    same = [_c(k).eqNullSafe(_c(f"__{k}")) for k in keys]
+    drop = [f"__{k}" for k in keys] + ["salts"]
+    dealt = left.join(named, same).withColumn("salt", F.pmod(F.xxhash64("id"), _c("salts")).cast("int")).drop(*drop)
+    copied = right.join(named, same).withColumn("salt", F.explode(F.sequence(F.lit(0), _c("salts") - 1))).drop(*drop)
+    # columns of their own: the left side comes from the same tables
+    return dealt, copied.select(*[_c(c).alias(c) for c in copied.columns])
+
+
+def _kinds(df: DataFrame) -> str:
+    kind = {f.name: f.dataType.simpleString() for f in df.schema}
+    return f"instrument {kind['instrument']}, id {kind['id']}, side string, level double, arrival {kind['arrival']}, block int"
+
+
+def _search(stops: DataFrame, tape: DataFrame, block_stops: int) -> DataFrame:
+    """Stops with ``trigger`` and ``first_price`` (the last price at arrival) as far as the trades of their block tell."""
+
+    def look(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        right = right.sort_values("ts")
+        out = left.drop(columns="salt").reset_index(drop=True)
+        if not len(out):
+            return out.assign(trigger=pd.Series(dtype="datetime64[ns]"), first_price=pd.Series(dtype=float))
+        trigger, first, _ = first_reached(right["ts"].to_numpy(), right["price"].to_numpy(float), out["arrival"].to_numpy(), out["side"].to_numpy() == "buy", out["level"].to_numpy(float))
+        return out.assign(trigger=trigger, first_price=pd.array(first, dtype="Float64") if len(first) else first)
+
+    left, right = _salted(stops, tape, ["instrument", "block"], block_stops)
+    schema = f"{_kinds(stops)}, trigger {stops.schema['arrival'].dataType.simpleString()}, first_price double"
+    found = left.groupBy("instrument", "block", "salt").cogroup(right.groupBy("instrument", "block", "salt")).applyInPandas(look, schema)
+    return found.withColumn("first_price", F.nanvl("first_price", F.lit(None).cast("double")))
+
+
+def _next_block(stops: DataFrame, blocks: DataFrame, block_stops: int) -> DataFrame:
+    """Stops with ``block`` moved on to the first later one whose extreme reaches them, -1 if none does."""
+
+    def look(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        right = right.sort_values("block")
+        out = left.drop(columns="salt").reset_index(drop=True)
+        buys, at = out["side"].to_numpy() == "buy", out["block"].to_numpy(np.int64)
+        moved = np.full(len(out), -1, np.int64)
+        for mine, sign, c in ((buys, 1.0, "high"), (~buys, -1.0, "low")):
+            if mine.any() and len(right):
+                moved[mine] = _first_at_least(_extremes(sign * right[c].to_numpy(float)), at[mine] + 1, sign * out["level"].to_numpy(float)[mine])
+        return out.assign(block=moved.astype("int32"))
+
+    left, right = _salted(stops, blocks, ["instrument"], block_stops)
+    return left.groupBy("instrument", "salt").cogroup(right.groupBy("instrument", "salt")).applyInPandas(look, _kinds(stops))
+
+
+def first_reached(times: np.ndarray, prices: np.ndarray, arrivals: np.ndarray, buys: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """When each stop is first reached on a tape in time order, the last price at its arrival, and the price that reached it.
+
+    NaT and NaN where there is none. A sparse table of running extremes and a
+    descent for all stops at once; no stop is compared with every trade.
+    """
+    at = np.searchsorted(times, arrivals, "right") - 1
+    hit = np.full(len(arrivals), -1, np.int64)
+    for mine, sign in ((buys, 1.0), (~buys, -1.0)):
+        if mine.any() and len(times):
+            hit[mine] = _first_at_least(_extremes(sign * prices), np.maximum(at[mine], 0), sign * levels[mine])
+    found, when = hit >= 0, arrivals.astype("datetime64[ns]")
+    when[~found] = np.datetime64("NaT")
+    later = found & (hit > at)
+    when[later] = times[hit[later]]
+    price = np.full(len(arrivals), np.nan)
+    price[found] = prices[hit[found]]
+    first = np.full(len(arrivals), np.nan)
+    first[at >= 0] = prices[at[at >= 0]]
+    return when, first, price
 
 
 def _extremes(x: np.ndarray) -> list[np.ndarray]:

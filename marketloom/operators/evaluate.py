@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketloom.sources.tables import running
+
 _c = F.col
 
 
@@ -116,11 +118,13 @@ def run_summary(df: DataFrame, model: str = "model", score: str = "score") -> Da
 def wilcoxon(df: DataFrame, a: str, b: str, by: list[str] | None = None) -> DataFrame:
     """Signed-rank statistic of paired scores: the smaller sum of average ranks of ``|a - b|``; zero differences are left out."""
     by = by or []
-    d = df.select(*by, (_c(a) - _c(b)).alias("d")).filter("d <> 0").withColumn("size", F.abs("d"))
-    # runs of a comparison, not rows of a table
-    rank = F.rank().over(Window.partitionBy(*by).orderBy("size")) + (F.count(F.lit(1)).over(Window.partitionBy(*by, "size")) - 1) / F.lit(2.0)
-    sums = d.withColumn("r", rank).groupBy(*by).agg(F.coalesce(F.sum(F.when(_c("d") > 0, _c("r"))), F.lit(0.0)).alias("up"), F.coalesce(F.sum(F.when(_c("d") < 0, _c("r"))), F.lit(0.0)).alias("down"), F.count(F.lit(1)).alias("n"))
-    return sums.select(*by, F.least("up", "down").alias("statistic"), "n")
+    d = df.select(*by, (_c(a) - _c(b)).alias("d")).filter("d <> 0")
+    # ties share the mean of their ranks: one row per size of difference is ranked, by a running count
+    sizes = d.groupBy(*by, F.abs("d").alias("size")).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(_c("d") > 0, 1)).alias("n_up"))
+    ranked = running(sizes, by, ["size"], sums={"upto": "n"})
+    rank = _c("upto") - (_c("n") - 1) / F.lit(2.0)
+    up, down = F.sum(rank * _c("n_up")), F.sum(rank * (_c("n") - _c("n_up")))
+    return ranked.groupBy(*by).agg(F.least(up, down).alias("statistic"), F.sum("n").alias("n"))
 
 
 def multilabel_targets(pixels: DataFrame, annotated: DataFrame, n: int) -> DataFrame:

@@ -34,11 +34,27 @@ def remove_outlier_series(df: DataFrame, group: str, cols: list[str], t: float,
 
 
 def outer_join_all(dfs: list[DataFrame], on: str) -> DataFrame:
-    """Full outer join of tables with one row per key: stacked and aggregated once, instead of a chain of joins."""
-    names = [(i, c) for i, d in enumerate(dfs) for c in d.columns if c != on]
+    """Full outer join of tables with one row per key: stacked and aggregated once, instead of a chain of joins.
+
+    Rows without a key match nothing and stay on their own, as in an outer join.
+    A column name that an earlier table has gets the number of its table behind it.
+    """
+    names, taken = [], {on}
+    for i, d in enumerate(dfs):
+        for c in d.columns:
+            if c != on:
+                out = f"{c}_{i}" if c in taken else c
+                taken.add(out)
+                names.append((i, c, out))
     kinds = {(i, f.name): f.dataType for i, d in enumerate(dfs) for f in d.schema}
-    parts = [d.select(on, *[F.col(c).alias(c) if i == j else F.lit(None).cast(kinds[j, c]).alias(c) for j, c in names]) for i, d in enumerate(dfs)]
-    return reduce(DataFrame.unionByName, parts).groupBy(on).agg(*[F.first(c, ignorenulls=True).alias(c) for _, c in names])
+    parts = []
+    for i, d in enumerate(dfs):
+        values = [F.col(c).alias(out) if i == j else F.lit(None).cast(kinds[j, c]).alias(out) for j, c, out in names]
+        parts.append(d.select(on, F.lit(i).alias("__table"), *values))
+    stacked = reduce(DataFrame.unionByName, parts)
+    alone = F.when(F.col(on).isNull(), F.struct("__table", F.monotonically_increasing_id().alias("row")))
+    merged = stacked.withColumn("__alone", alone).groupBy(on, "__alone").agg(*[F.first(out, ignorenulls=True).alias(out) for *_, out in names])
+    return merged.drop("__alone")
 
 
 def join_sides(home: DataFrame, away: DataFrame, key: str = "id") -> DataFrame:

@@ -6,7 +6,6 @@ model; ``transform`` adds predictions.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -15,14 +14,14 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bytes of training vectors that nearest neighbours send to the executors at once.
-BLOCK_BYTES = 64 << 20
-
+from marketloom.sources.durable import durable
+from marketloom.sources.tables import number_rows
 
 def _fit(df: DataFrame, features: list[str], stage) -> PipelineModel:
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep"), stage]).fit(df)
@@ -38,18 +37,35 @@ def fit_tree(df: DataFrame, features: list[str], label: str, *, depth: int = 5,
     return _fit(df, features, stage)
 
 
-def fit_boosted(df: DataFrame, features: list[str], label: str, *, rounds: int = 20, depth: int = 4, rate: float = 0.1, classes: int | None = None, validation: str | None = None, seed: int = 42) -> PipelineModel:
+class OneAgainstRest:
+    """Binary models, one per class; the class whose model is surest is predicted, the smallest on ties."""
+
+    def __init__(self, models: list[PipelineModel]) -> None:
+        self.models = models
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        own = ["features", "rawPrediction", "probability", "prediction"]
+        out = df
+        for i, m in enumerate(self.models):
+            out = m.transform(out).withColumn(f"__p{i}", vector_to_array("probability")[1]).drop(*own)
+        sure = F.array(*[F.col(f"__p{i}") for i in range(len(self.models))])
+        predicted = (F.array_position(sure, F.array_max(sure)) - 1).cast("double")
+        return out.withColumn("prediction", predicted).drop(*[f"__p{i}" for i in range(len(self.models))])
+
+
+def fit_boosted(df: DataFrame, features: list[str], label: str, *, rounds: int = 20, depth: int = 4, rate: float = 0.1, classes: int | None = None, validation: str | None = None, seed: int = 42):
     """Boosted trees: a regressor without ``classes``, a classifier for two, one against the rest for more.
 
-    ``validation`` names a boolean column of rows that only decide when to stop
-    (not for one against the rest, which refits on relabelled tables).
+    ``validation`` names a boolean column of rows that only decide when to stop;
+    with one against the rest each class stops on its own.
     """
-    options = {"labelCol": label, "maxIter": rounds, "maxDepth": depth, "stepSize": rate, "seed": seed}
-    if classes is not None and classes > 2:
-        return _fit(df, features, OneVsRest(classifier=GBTClassifier(**{k: v for k, v in options.items() if k != "labelCol"}), labelCol=label))
+    options = {"maxIter": rounds, "maxDepth": depth, "stepSize": rate, "seed": seed}
     if validation:
         options["validationIndicatorCol"] = validation
-    return _fit(df, features, (GBTRegressor if classes is None else GBTClassifier)(**options))
+    if classes is not None and classes > 2:
+        own = (df.withColumn("__is", (F.col(label) == c).cast("double")) for c in range(classes))
+        return OneAgainstRest([_fit(d, features, GBTClassifier(labelCol="__is", **options)) for d in own])
+    return _fit(df, features, (GBTRegressor if classes is None else GBTClassifier)(labelCol=label, **options))
 
 
 def fit_linear(df: DataFrame, features: list[str], label: str, *, kind: str = "logistic", classes: int = 2, regularisation: float = 0.0, iterations: int = 50) -> PipelineModel:
@@ -104,66 +120,77 @@ def importances(model: PipelineModel, spark, features: list[str]) -> DataFrame:
 def permutation_importance(model: PipelineModel, df: DataFrame, features: list[str], label: str, key: str, seed: int = 42) -> DataFrame:
     """Loss of accuracy when one column's values are dealt out anew.
 
-    Values are matched by rank in two hash orders of the key, a random
-    permutation that any rerun repeats; ranks come from range-partitioned
-    numbering, not from a window over the whole table.
+    Each row is paired with another by rank in two hash orders of the key, a
+    random permutation that any rerun repeats and that all columns share; ranks
+    come from range-partitioned numbering. Rows are scored once per column, as
+    copies in which that column has the other row's value.
     """
-    from marketloom.sources.tables import number_rows
-
-    hit = lambda d: d.agg(F.avg((F.col("prediction") == F.col(label)).cast("double")).alias("a"))
-    base = hit(model.transform(df)).withColumn("feature", F.lit("")).select("feature", "a")
-    parts = [base]
-    for f in features:
-        hashed = lambda salt: F.md5(F.concat_ws(":", F.lit(f"{seed}{salt}"), F.col(key).cast("string")))  # noqa: E731, B023
-        left = number_rows(df.withColumn("__h", hashed("a")), ["__h", key], "__rank").drop("__h")
-        right = number_rows(df.select(key, F.col(f).alias("__v")).withColumn("__h", hashed("b")), ["__h", key], "__rank").select("__rank", "__v")
-        dealt = left.join(right, "__rank").withColumn(f, F.col("__v")).drop("__rank", "__v")
-        parts.append(hit(model.transform(dealt)).withColumn("feature", F.lit(f)).select("feature", "a"))
-    scores = reduce(DataFrame.unionByName, parts)
-    return scores.filter("feature <> ''").join(F.broadcast(base.select(F.col("a").alias("base"))), how="cross").select("feature", (F.col("base") - F.col("a")).alias("importance"))
-
-
-def _blocks(train: DataFrame, vector: str, label: str) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Training vectors in blocks of bounded size, read one after another."""
-    size = train.agg(F.coalesce(F.sum(F.size(vector)) * 8, F.lit(0))).first()[0]
-    n = max(1, -(-2 * size // BLOCK_BYTES)) if size > BLOCK_BYTES else 1
-    for b in range(n):
-        part = train if n == 1 else train.filter(F.pmod(F.xxhash64("id"), F.lit(n)) == b)
-        rows = part.select("id", vector, label).collect()
-        if rows:
-            yield np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float), np.array([r[2] for r in rows])
-
-
-def nearest(train: DataFrame, test: DataFrame, k: int, vector: str = "embedding", label: str = "label") -> DataFrame:
+    hashed = lambda salt: F.md5(F.concat_ws(":", F.lit(f"{seed}{salt}"), F.col(key).cast("string")))
+    own = number_rows(df.withColumn("__h", hashed("a")), ["__h", key], "__rank").drop("__h")
+    other = number_rows(df.select(key, *features).withColumn("__h", hashed("b")), ["__h", key], "__rank")
+    other = other.select("__rank", *[F.col(f).alias(f"__other_{f}") for f in features])
+    paired = own.join(other, "__rank").withColumn("__swapped", F.explode(F.sequence(F.lit(-1), F.lit(len(features) - 1))))
+    dealt = paired.withColumns({f: F.when(F.col("__swapped") == i, F.col(f"__other_{f}")).otherwise(F.col(f)) for i, f in enumerate(features)})
+    hit = F.avg((F.col("prediction") == F.col(label)).cast("double"))
+    scores = durable(model.transform(dealt).groupBy("__swapped").agg(hit.alias("a")))
+    base = scores.filter("__swapped = -1").select(F.col("a").alias("base"))
+    named = scores.filter("__swapped >= 0").withColumn("feature", F.array(*[F.lit(f) for f in features])[F.col("__swapped")])
+    # one row of the score as it is
+    return named.join(F.broadcast(base)).select("feature", (F.col("base") - F.col("a")).alias("importance"))
+
+
+#: Rows of a block of training and of test vectors, between which a task computes distances.
+TRAIN_ROWS, TEST_ROWS = 1 << 14, 1 << 11
+
+
+def _nearest_in(k: int):
+    """A function over a block of training and one of test rows: the ``k`` nearest in the block."""
+
+    def find(train: pd.DataFrame, test: pd.DataFrame) -> pd.DataFrame:
+        names = {"id": "int64", "neighbour": "int64", "distance": "float64", "label": "int32"}
+        if not len(train) or not len(test):
+            return pd.DataFrame({c: pd.Series(dtype=kind) for c, kind in names.items()})
+        train = train.sort_values("id")
+        own, y = train["id"].to_numpy(), train["label"].to_numpy()
+        x, ids, found = np.array(train["v"].tolist(), float), test["asking"].to_numpy(), []
+        q, most = np.array(test["w"].tolist(), float), min(k, len(own))
+        squares = (x * x).sum(axis=1)
+        for at in range(0, len(q), 256):
+            part = q[at : at + 256]
+            own_squares = (part * part).sum(axis=1)
+            # distances by one matrix product; what rounding may have moved over the k-th is looked at exactly
+            rough = squares + own_squares[:, None] - 2 * part @ x.T
+            edge = np.partition(rough, most - 1, axis=1)[:, most - 1] + 1e-9 * (1 + own_squares + squares.max())
+            rows, cols = np.nonzero(rough <= edge[:, None])
+            exact = ((x[cols] - part[rows]) ** 2).sum(axis=1)
+            order = np.lexsort((own[cols], exact, rows))
+            rows, cols, exact = rows[order], cols[order], exact[order]
+            nth = np.arange(len(rows)) - np.searchsorted(rows, rows)
+            keep = nth < most
+            found.append(pd.DataFrame({"id": ids[at + rows[keep]], "neighbour": own[cols[keep]], "distance": exact[keep], "label": y[cols[keep]]}))
+        return pd.concat(found)
+
+    return find
+
+
+def nearest(train: DataFrame, test: DataFrame, k: int, vector: str = "embedding", label: str = "label", *, train_rows: int = TRAIN_ROWS, test_rows: int = TEST_ROWS) -> DataFrame:
     """``id, neighbour, distance, label``: the ``k`` nearest training rows of each test row, ties to the smaller id.
 
-    Training vectors go out in blocks of bounded size, against which tasks
-    compute distances as matrices; the best of all blocks are ranked by Spark.
+    Both tables are cut into hashed blocks and each block of one meets each of
+    the other in a task of its own; the best of all blocks are ranked by Spark.
+    Nothing passes the driver.
     """
-    spark, parts = test.sparkSession, []
-    for ids, vectors, labels in _blocks(train, vector, label):
-        order = np.argsort(ids)
-        shared = spark.sparkContext.broadcast((ids[order], vectors[order], labels[order]))
-
-        def find(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            own, x, y = shared.value
-            for batch in batches:
-                if not len(batch):
-                    continue
-                q, rows = np.array(batch["v"].tolist(), float), []
-                for i, v in enumerate(q):
-                    d = ((x - v) ** 2).sum(axis=1)
-                    near = np.argpartition(d, min(k, len(d)) - 1)[: min(k, len(d))]
-                    near = np.flatnonzero(d <= d[near].max())
-                    near = near[np.argsort(d[near], kind="stable")][:k]
-                    rows.append(pd.DataFrame({"id": batch["id"].iat[i], "neighbour": own[near], "distance": d[near], "label": y[near]}))
-                yield pd.concat(rows)
-
-        parts.append(test.select("id", F.col(vector).alias("v")).mapInPandas(find, "id long, neighbour long, distance double, label int"))
-    if len(parts) == 1:
-        return parts[0]
+    n_train, n_test = max(1, -(-train.count() // train_rows)), max(1, -(-test.count() // test_rows))
+    n_test = max(n_test, min(test.sparkSession.sparkContext.defaultParallelism, 64) // n_train)
+    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = train.select("id", F.col(vector).alias("v"), F.col(label).cast("int").alias("label"), block(n_train).alias("a")).withColumn("b", every(n_test))
+    right = test.select(F.col("id").alias("asking"), F.col(vector).alias("w"), block(n_test).alias("d")).withColumn("c", every(n_train))
+    best = left.groupBy("a", "b").cogroup(right.groupBy("c", "d")).applyInPandas(_nearest_in(k), "id long, neighbour long, distance double, label int")
+    if n_train == 1:
+        return best
     rank = F.row_number().over(Window.partitionBy("id").orderBy("distance", "neighbour"))
-    return reduce(DataFrame.unionByName, parts).withColumn("__r", rank).filter(F.col("__r") <= k).drop("__r")
+    return best.withColumn("__r", rank).filter(F.col("__r") <= k).drop("__r")
 
 
 def knn_classify(train: DataFrame, test: DataFrame, k: int, vector: str = "embedding", label: str = "label") -> DataFrame:

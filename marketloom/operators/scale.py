@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marketloom.sources.tables import rank_within
+
 EPS = 1e-6
 
 
@@ -125,34 +127,51 @@ def hash_split(df: DataFrame, key: str, shares: dict[str, float], seed: int = 42
     return df.withColumn("split", out.otherwise(list(shares)[-1]))
 
 
-def _hash_rank(df: DataFrame, key: str, label: str, seed: int) -> tuple[DataFrame, Column, Column]:
-    w = Window.partitionBy(label).orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), key)
-    return df, F.row_number().over(w), F.count(F.lit(1)).over(Window.partitionBy(label))
+def _hash_rank(df: DataFrame, key: str, label: str, seed: int) -> DataFrame:
+    """``__rank`` and ``__group_rows`` of each row in its class, in hash order, without gathering a class."""
+    hashed = df.withColumn("__hash", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))))
+    return rank_within(hashed, [label], ["__hash", key], "__rank").drop("__hash")
 
 
 def stratified_split(df: DataFrame, key: str, label: str, share: float, seed: int = 42) -> DataFrame:
     """A flag ``in_test`` for the first share of each class in hash order. One row per key is expected."""
-    df, rank, n = _hash_rank(df, key, label, seed)
-    return df.withColumn("in_test", rank <= F.floor(n * F.lit(share)))
+    flag = F.col("__rank") < F.floor(F.col("__group_rows") * F.lit(share))
+    return _hash_rank(df, key, label, seed).select(*df.columns, flag.alias("in_test"))
 
 
 def kfold(df: DataFrame, key: str, label: str, k: int, seed: int = 42) -> DataFrame:
     """Fold numbers whose sizes differ by one at most in each class."""
-    df, rank, _ = _hash_rank(df, key, label, seed)
-    return df.withColumn("fold", ((rank - 1) % k).cast("int"))
+    return _hash_rank(df, key, label, seed).select(*df.columns, (F.col("__rank") % k).cast("int").alias("fold"))
+
+
+def poisson_steps(mean: float) -> tuple[int, list[float]]:
+    """The first count whose distribution value matters at 32 bits, and the values from there to where the rest doesn't."""
+    from math import exp, lgamma, log
+
+    if mean <= 0:
+        return 0, [1.0]
+    first, out, total, k = 0, [], 0.0, 0
+    while not out or out[-1] < 1 - 2.0**-33:
+        total += exp(k * log(mean) - mean - lgamma(k + 1))
+        if not out and total < 2.0**-33:
+            first = k + 1
+        else:
+            out.append(total)
+        k += 1
+        if k > mean + 60 * mean**0.5 + 100:  # the sum stays a little short of 1
+            break
+    return first, out
 
 
 def bootstrap(df: DataFrame, t: int, share: float = 1.0, seed: int = 42, key: str = "id") -> DataFrame:
-    """``estimator`` 0..t-1 and ``weight``: how often each draw takes a row, Poisson with mean ``share``, from a hash of key and estimator."""
-    from math import exp
+    """``estimator`` 0..t-1 and ``weight``: how often each draw takes a row.
 
+    Weights are Poisson with mean ``share``, from a 32-bit hash of key and
+    estimator; the table of the distribution ends where that hash can't tell.
+    """
     drawn = df.withColumn("estimator", F.explode(F.sequence(F.lit(0), F.lit(t - 1))))
     u = hash_share(F.concat_ws("/", F.col(key), F.col("estimator")), seed)
-    p, total, weight = exp(-share), 0.0, F.lit(0)
-    for n in range(1, 12):
-        total += p
-        weight = weight + (u >= total).cast("int")
-        p *= share / n
-    return drawn.withColumn("weight", weight).filter("weight > 0")
-
-
+    first, steps = poisson_steps(share)
+    reached = F.filter(F.array(*[F.lit(p) for p in steps]), lambda p: p <= F.col("__u"))
+    weighted = drawn.withColumn("__u", u).withColumn("weight", F.lit(first) + F.size(reached))
+    return weighted.filter("weight > 0").drop("__u")

@@ -12,8 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom.functions.clean import EPS, signed_log
-from marketloom.sources.durable import durable
+from marketloom.sources.tables import number_rows
 
+#: Rows at the ends of partitions that a whole-table difference broadcasts; more are joined by a shuffle.
+MOST_TAILS = 1 << 18
 KEY, ORDER = "obs_id", "event_idx"
 _c = F.col
 
@@ -140,29 +142,17 @@ def group_mean(df: DataFrame, key: str, col: str) -> DataFrame:
 def global_diff(df: DataFrame, col: str, k: int = 1) -> DataFrame:
     """k-step difference over the whole table in the order of series and events.
 
-    Inside a series it is a lag. The first k rows of a series look up the row at
-    the wanted global position, which sums of series lengths give; no window is
-    wider than a series but the one over series lengths, which is numbered in
-    range partitions.
+    Rows lie in sorted range partitions with their global numbers. Inside a
+    partition the difference is a lag; the first k rows of one look up the last k
+    of those before it, of which there are k per partition.
     """
-    from marketloom.sources.tables import number_rows
-
-    numbered = df.withColumn("__pos", (F.row_number().over(series()) - 1).cast("long"))
-    lengths = durable(number_rows(numbered.groupBy(KEY).agg(F.count(F.lit(1)).alias("__len")), [KEY], "__rank"))
-    blocks = lengths.withColumn("__block", F.floor(F.col("__rank") / 4096))
-    sums = blocks.groupBy("__block").agg(F.sum("__len").alias("__all"))
-    # one row per 4096 series
-    ahead = sums.select(F.col("__block"), (F.sum("__all").over(Window.orderBy("__block")) - F.col("__all")).alias("__ahead"))
-    inside = F.sum("__len").over(Window.partitionBy("__block").orderBy("__rank")) - F.col("__len")
-    starts = blocks.join(F.broadcast(ahead), "__block").select(KEY, (F.col("__ahead") + inside).alias("__start"))
-    placed = numbered.join(starts, KEY).withColumn("__at", F.col("__start") + F.col("__pos")).withColumn("__own", F.lag(col, k).over(series()))
-    n = F.count(F.lit(1)).over(Window.partitionBy(KEY))
-    tails = placed.withColumn("__n", n).filter(F.col("__pos") >= F.col("__n") - k).select((F.col("__at") + k).alias("__want"), F.col(col).alias("__before"))
-    short = placed.filter(F.col("__pos") < k).join(tails, F.col("__at") == F.col("__want"), "left")
-    rest = placed.filter(F.col("__pos") >= k).withColumn("__before", F.lit(None).cast("double"))
-    both = short.drop("__want").unionByName(rest)
-    value = F.when(F.col("__pos") >= k, F.col("__own")).otherwise(F.col("__before"))
-    return both.withColumn(f"{col}_global_diff_{k}", F.coalesce(F.col(col) - value, F.lit(0.0))).drop("__pos", "__start", "__at", "__own", "__before")
+    placed = number_rows(df, [KEY, ORDER], "__at", keep_parts=True)
+    lagged = placed.withColumn("__own", F.lag(col, k).over(Window.partitionBy("__part").orderBy("__place")))
+    tails = placed.filter(F.col("__place") + k >= F.col("__part_rows")).select((F.col("__at") + k).alias("__want"), F.col(col).alias("__before"))
+    few = placed.rdd.getNumPartitions() * k <= MOST_TAILS
+    joined = lagged.join(F.broadcast(tails) if few else tails, F.col("__at") == F.col("__want"), "left")
+    value = F.when(F.col("__place") >= k, F.col("__own")).otherwise(F.col("__before"))
+    return joined.select(*df.columns, F.coalesce(F.col(col) - value, F.lit(0.0)).alias(f"{col}_global_diff_{k}"))
 
 
 def vwap(df: DataFrame, price: str = "price", qty: str = "bid_size", key: str = KEY) -> DataFrame:

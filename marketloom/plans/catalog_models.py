@@ -127,11 +127,12 @@ def k15(v: Views):
 
 # --- models -----------------------------------------------------------------
 
-_E = [f"e{i}" for i in range(8)]
+_E = [f"e{i}" for i in range(64)]
 
 
 def _vectors(v: Views) -> DataFrame:
-    return v("embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("int").alias("label"), *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(8)])
+    own = [F.col("embedding")[i].cast("double").alias(e) for i, e in enumerate(_E)]
+    return v("embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("int").alias("label"), *own)
 
 
 def _halves(v: Views) -> tuple[DataFrame, DataFrame]:
@@ -158,6 +159,19 @@ def l2(v: Views):
     return models.fit_boosted(stop, _E[1:], "e0", rounds=8, depth=3, validation="validation").transform(test).select("id", "prediction")
 
 
+@query("l2_boosted_classes")
+def l2_classes(v: Views):
+    train, test = _halves(v)
+    stop = train.withColumns({"validation": F.col("id") % 7 == 0, "kind": F.col("label") % 3})
+    return models.fit_boosted(stop, _E, "kind", rounds=4, depth=3, classes=3, validation="validation").transform(test).select("id", "prediction")
+
+
+@query("l3_svm")
+def l3_svm(v: Views):
+    train, test = (d.withColumn("kind", F.col("label") % 2) for d in _halves(v))
+    return models.fit_linear(train, _E, "kind", kind="svm", iterations=10).transform(test).select("id", "prediction")
+
+
 @query("l3_linear")
 def l3(v: Views):
     train, test = _halves(v)
@@ -190,7 +204,7 @@ def l7(v: Views):
 @query("l7_permutation_importance")
 def l7_permutation(v: Views):
     train, test = _halves(v)
-    return models.permutation_importance(models.fit_forest(train, _E[:2], "label", trees=5, depth=4), test, _E[:2], "label", "id")
+    return models.permutation_importance(models.fit_forest(train, _E, "label", trees=5, depth=4), test, _E, "label", "id")
 
 
 _NEAR = """(SELECT t.id, t.label AS y, r.label, row_number() OVER (PARTITION BY t.id ORDER BY list_sum(list_transform(list_zip(t.embedding, r.embedding), lambda x: power(x[1]::DOUBLE - x[2]::DOUBLE, 2))), r.id) AS n
@@ -287,7 +301,14 @@ def n1(v: Views):
 
 @query("n2_build_features", _FULL.format(rows="order_flow"), " ".join(_FEATURES))
 def n2(v: Views):
-    return datasets.build_features(v("order_flow"))[0].select("obs_id", "event_idx", *_FEATURES)
+    return datasets.build_features(v("order_flow"), log_skewed=False)[0].select("obs_id", "event_idx", *_FEATURES)
+
+
+@query("n2_conditional_logs", f"SELECT *, {', '.join(f'{_signed(c)} AS log_{c}' for c in datasets.SCREENED)} FROM ({_FULL.format(rows='order_flow')}) f", " ".join([*_FEATURES, *[f"log_{c}" for c in datasets.SCREENED]]))
+def n2_logs(v: Views):
+    # any skewness at all: the columns don't depend on the tables
+    logs = [f"log_{c}" for c in datasets.SCREENED]
+    return datasets.build_features(v("order_flow"), skew_limit=0.0)[0].select("obs_id", "event_idx", *_FEATURES, *logs)
 
 
 _REDUCED = [c for g in datasets.PRESETS["reduced"] for c in datasets.GROUPS[g] if g != "flux"]
@@ -295,7 +316,7 @@ _REDUCED = [c for g in datasets.PRESETS["reduced"] for c in datasets.GROUPS[g] i
 
 @query("n2_reduced", f"SELECT obs_id, event_idx, {', '.join(_REDUCED)} FROM ({_FULL.format(rows='order_flow')}) f", " ".join(_REDUCED))
 def n2_reduced(v: Views):
-    return datasets.build_features(v("order_flow"), "reduced", flux=False)[0].select("obs_id", "event_idx", *_REDUCED)
+    return datasets.build_features(v("order_flow"), "reduced", log_skewed=False, flux=False)[0].select("obs_id", "event_idx", *_REDUCED)
 
 
 _SCALED = [c for c in _FEATURES if c != "order_event_count"]
@@ -315,27 +336,49 @@ def n3(v: Views):
     return train.select("obs_id", "event_idx", "eqt_code_cat", *_FEATURES)
 
 
-_ZONES = ("click", "purchase", "view")
+_STATS = ", ".join(f"avg({c}) AS m_{c}, coalesce(nullif(stddev_samp({c}), 0), {_E6}) AS s_{c}" for c in _SCALED)
+
+
+@query("n3_test_table", f"""WITH t AS (SELECT * FROM order_flow JOIN series_label USING (obs_id) WHERE obs_id % 4 > 0 AND action <> 'purchase'),
+codes AS (SELECT list_sort(list(DISTINCT action)) AS actions, list_sort(list(DISTINCT venue::VARCHAR)) AS venues FROM order_flow WHERE obs_id % 4 > 0 AND action <> 'purchase'),
+f AS ({_FULL.format(rows='t')}), s AS (SELECT {_STATS} FROM f),
+u AS (SELECT * FROM order_flow WHERE obs_id % 4 = 0), g AS ({_FULL.format(rows='u')}),
+e AS (SELECT obs_id, event_idx, coalesce(list_position(actions, action), 0) - 1 AS action, coalesce(list_position(venues, venue::VARCHAR), 0) - 1 AS venue FROM u, codes)
+SELECT obs_id, event_idx, action::INT AS action, venue::INT AS venue, order_event_count::DOUBLE AS order_event_count, {', '.join(f'greatest(-10, least(10, ({c} - m_{c}) / s_{c})) AS {c}' for c in _SCALED)}
+FROM g JOIN e USING (obs_id, event_idx), s""", " ".join(_FEATURES), 5)
+def n3_test(v: Views):
+    df = v("order_flow")
+    train = df.filter("obs_id % 4 > 0 AND action <> 'purchase'")  # an action that only the test rows have
+    _, test = datasets.prepare_dataset(train, v("series_label"), df.filter("obs_id % 4 = 0"), remove_outliers=False)
+    return test.select("obs_id", "event_idx", F.col("action").cast("int").alias("action"), F.col("venue").cast("int").alias("venue"), *_FEATURES)
+
+
+_ZONES = ("click", "error", "purchase", "signup", "view")
 
 
 def _energy_sql() -> str:
-    means = "SELECT 'spot_' || zone AS zone, ts, avg(value) AS v FROM zone_series WHERE zone IN ('click', 'purchase', 'view') GROUP BY ALL UNION ALL SELECT 'gas_view', ts, avg(value) / 2 FROM zone_series WHERE zone = 'view' AND hour(ts) % 2 = 0 GROUP BY ALL"
-    cols = ["spot_click", "spot_purchase", "spot_view", "gas_view"]
+    zones = ", ".join(f"'{z}'" for z in _ZONES)
+    means = f"SELECT 'spot_' || zone AS zone, ts, avg(value) AS v FROM zone_series WHERE zone IN ({zones}) GROUP BY ALL UNION ALL SELECT 'gas_view', ts, avg(value) / 2 FROM zone_series WHERE zone = 'view' AND hour(ts) % 2 = 0 GROUP BY ALL"
+    cols = [*[f"spot_{z}" for z in _ZONES], "gas_view"]
+    near = ", ".join(c for c in cols[1:-1])
     fill = "coalesce(last_value({c} IGNORE NULLS) OVER (ORDER BY ts), first_value({c} IGNORE NULLS) OVER (ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS {c}"
     wide = "SELECT ts, " + ", ".join(f"max(v) FILTER (zone = '{c}') AS {c}" for c in cols) + f" FROM ({means}) m GROUP BY ts"
-    filled = "SELECT ts, spot_click, " + ", ".join(fill.format(c=c) for c in cols[1:]) + f" FROM ({wide}) w"
+    filled = f"SELECT ts, {cols[0]}, " + ", ".join(fill.format(c=c) for c in cols[1:]) + f" FROM ({wide}) w"
     return f"""SELECT strftime(ts, '%Y-%m-%d %H') AS hour_key, {', '.join(cols)}, hour(ts)::INT AS hour, sin(2 * pi() * hour(ts) / 24) AS hour_sin, (month(ts) IN (11, 12, 1, 2))::INT AS winter,
-  (spot_purchase + spot_view) / 2 AS group_mean, abs(spot_purchase - spot_view) / sqrt(2.0::DOUBLE) AS group_std, spot_view - gas_view AS spark_spread_spot_view
-FROM ({filled}) f WHERE spot_click IS NOT NULL AND ts BETWEEN TIMESTAMP '2024-01-03 00:00:00' AND TIMESTAMP '2024-01-20 00:00:00'"""
+  list_avg([{near}]) AS group_mean, list_aggregate([{near}], 'stddev_samp') AS group_std, spot_view - gas_view AS spark_spread_spot_view
+FROM ({filled}) f WHERE {cols[0]} IS NOT NULL AND ts BETWEEN TIMESTAMP '2024-01-03 00:00:00' AND TIMESTAMP '2024-01-20 00:00:00'"""
 
 
-@query("n4_energy_dataset", _energy_sql(), "spot_click spot_purchase spot_view gas_view hour_sin group_mean group_std spark_spread_spot_view")
+_SPOTS = [f"spot_{z}" for z in _ZONES]
+
+
+@query("n4_energy_dataset", _energy_sql(), f"{' '.join(_SPOTS)} gas_view hour_sin group_mean group_std spark_spread_spot_view")
 def n4(v: Views):
     z = v("zone_series")
     gas = z.filter("zone = 'view' AND hour(ts) % 2 = 0").withColumn("value", F.col("value") / 2)
     out = datasets.build_energy_dataset(
-        {"spot": z.filter(F.col("zone").isin(*_ZONES)), "gas": gas}, target="spot_click", zones={"spot": list(_ZONES), "gas": ["view"]},
-        neighbours=["spot_purchase", "spot_view"], base="gas_view", start="2024-01-03 00:00:00", end="2024-01-20 00:00:00",
+        {"spot": z, "gas": gas}, target=_SPOTS[0], zones={"spot": list(_ZONES), "gas": ["view"]},
+        neighbours=_SPOTS[1:], base="gas_view", start="2024-01-03 00:00:00", end="2024-01-20 00:00:00",
     )
-    return out.select(F.date_format("ts", "yyyy-MM-dd HH").alias("hour_key"), "spot_click", "spot_purchase", "spot_view", "gas_view", "hour", "hour_sin", "winter", "group_mean", "group_std", "spark_spread_spot_view")
-
+    hour = F.date_format("ts", "yyyy-MM-dd HH").alias("hour_key")
+    return out.select(hour, *_SPOTS, "gas_view", "hour", "hour_sin", "winter", "group_mean", "group_std", "spark_spread_spot_view")

@@ -91,6 +91,24 @@ def e11_gram(v: Views):
     return aggregate.gram_pairs(v("order_flow"), _COLS)
 
 
+_GAPPY = "(SELECT CASE WHEN event_id % 5 > 0 THEN price END AS price, bid, CASE WHEN event_id % 3 > 0 THEN ask END AS ask, CASE WHEN event_id % 7 > 1 THEN bid_size END AS bid_size, ask_size, CASE WHEN event_id % 11 > 0 THEN flux END AS flux FROM order_flow)"
+
+
+def _gappy(v: Views):
+    holes = {"price": "event_id % 5 > 0", "ask": "event_id % 3 > 0", "bid_size": "event_id % 7 > 1", "flux": "event_id % 11 > 0"}
+    return v("order_flow").withColumns({c: F.when(F.expr(x), F.col(c)) for c, x in holes.items()})
+
+
+@query("e11_pairs_with_nulls", _PAIRS.replace("order_flow", f"{_GAPPY} g"), "corr")
+def e11_nulls(v: Views):
+    return aggregate.correlation_pairs(_gappy(v), _COLS)
+
+
+@query("e11_gram_with_nulls", _PAIRS.replace("order_flow", f"{_GAPPY} g"), "corr")
+def e11_gram_nulls(v: Views):
+    return aggregate.gram_pairs(_gappy(v), _COLS)
+
+
 @query("e12_correlation_prune", f"SELECT DISTINCT right_col AS dropped FROM ({_PAIRS}) WHERE corr > 0.9")
 def e12(v: Views):
     dropped = aggregate.correlation_prune(v("order_flow"), _COLS, 0.9)
@@ -134,6 +152,16 @@ def f3(v: Views):
     return join.outer_join_all([v("home_stats").select("id", F.col("shots").alias("h_shots")), v("away_stats").select("id", F.col("shots").alias("a_shots")), lines], "id")
 
 
+_KEYED = "(SELECT CASE WHEN {c} % 10 > 0 THEN {c} END AS id, {x} AS {n} FROM {t})"
+_A, _B = _KEYED.format(c="c_custkey", x="c_acctbal", n="balance", t="customer"), _KEYED.format(c="s_suppkey", x="s_acctbal", n="balance", t="supplier")
+
+
+@query("f3_null_keys", f"SELECT coalesce(a.id, b.id) AS id, a.balance AS balance, b.balance AS balance_1 FROM {_A} a FULL JOIN {_B} b ON a.id = b.id", "balance balance_1")
+def f3_nulls(v: Views):
+    keyed = lambda t, c, x: v(t).select(F.when(F.col(c) % 10 > 0, F.col(c)).alias("id"), F.col(x).alias("balance"))
+    return join.outer_join_all([keyed("customer", "c_custkey", "c_acctbal"), keyed("supplier", "s_suppkey", "s_acctbal")], "id")
+
+
 @query("f4_join_sides", "SELECT h.id, h.shots AS HOME_shots, h.poss AS HOME_poss, a.shots AS AWAY_shots, a.poss AS AWAY_poss FROM home_stats h JOIN away_stats a ON h.id = a.id", "HOME_shots HOME_poss AWAY_shots AWAY_poss")
 def f4(v: Views):
     return join.join_sides(v("home_stats"), v("away_stats"))
@@ -201,8 +229,8 @@ def g4(v: Views):
 
 @query("g5_pca_variance")
 def g5(v: Views):
-    df = v("embeddings").select(F.col("vec_id").alias("id"), *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(16)])
-    return scale.pca_variance(df, [f"e{i}" for i in range(16)], 0.97)
+    df = v("embeddings").select(F.col("vec_id").alias("id"), *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(64)])
+    return scale.pca_variance(df, [f"e{i}" for i in range(64)], 0.97)
 
 
 @query("g6_sequences", """WITH x AS (SELECT obs_id, count(*) AS n, list([round(price, 6), bid_size] ORDER BY event_idx) AS s FROM order_flow WHERE event_idx < 60 GROUP BY obs_id)
@@ -238,7 +266,11 @@ def g10(v: Views):
     return scale.kfold(v("series_label"), "obs_id", "eqt_code_cat", 5)
 
 
-@query("g11_bootstrap")
+_FIRST, _STEPS = scale.poisson_steps(1.0)
+_DRAWN = f"list_filter([{', '.join(f'{p!r}::DOUBLE' for p in _STEPS)}], lambda p: p <= ('0x' || substr(md5('42:' || id || '/' || estimator), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
+
+
+@query("g11_bootstrap", f"SELECT * FROM (SELECT id, y, p, estimator::INT AS estimator, ({_FIRST} + len({_DRAWN}))::INT AS weight FROM pred, range(5) e(estimator)) w WHERE weight > 0")
 def g11(v: Views):
     return scale.bootstrap(v("pred"), 5)
 

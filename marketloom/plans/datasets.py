@@ -25,14 +25,19 @@ PRESETS = {
     "reduced": ("structure", "ofi", "price", "flux", "imbalance", "logs"),
     "super_reduced": ("structure", "price", "logs"),
 }
+#: Columns that get a log copy where they are skewed.
+SCREENED = ("flux_change", "rolling_volatility", "imbalance")
 BASE = ("obs_id", "event_idx", "order_id", "venue", "action", "side", "trade")
 
 
-def build_features(df: DataFrame, preset: str = "full", *, log_skewed: bool = False, skew_limit: float = 3.0, corr_threshold: float | None = None, keep: tuple[str, ...] = (), **switches: bool) -> tuple[DataFrame, list[str]]:
+def build_features(df: DataFrame, preset: str = "full", *, log_skewed: bool | list[str] = True, skew_limit: float = 3.0, corr_threshold: float | None = None, keep: tuple[str, ...] = (), **switches: bool) -> tuple[DataFrame, list[str]]:
     """Features of the preset's groups (``switches`` turn single groups on or off) and the list of output columns.
 
     All windows share the series key, so that one exchange and one sort serve
-    them. ``log_skewed`` and ``corr_threshold`` read back one row of statistics.
+    them. ``log_skewed`` adds log copies of the columns whose skewness exceeds
+    ``skew_limit``, or of those in a list, as found on other rows; it and
+    ``corr_threshold`` read back one row of statistics, which takes a pass.
+    Infinities become 0.
     """
     on = [g for g in GROUPS if switches.get(g, g in PRESETS[preset])]
     df = clean.fill_zero(df, [c for c in ("price", "bid", "ask", "bid_size", "ask_size", "flux") if c in df.columns])
@@ -55,14 +60,15 @@ def build_features(df: DataFrame, preset: str = "full", *, log_skewed: bool = Fa
         df = features.log_levels(df, ["bid_size", "ask_size", "flux"])
     names = [c for g in on for c in GROUPS[g]]
     if log_skewed:
-        screened = aggregate.skew_screen(df, [c for c in ("flux_change", "rolling_volatility", "imbalance") if c in names], skew_limit)
+        can = [c for c in SCREENED if c in names]
+        screened = aggregate.skew_screen(df, can, skew_limit) if log_skewed is True else [c for c in can if c in log_skewed]
         df = aggregate.log_skewed(df, screened)
         names += [f"log_{c}" for c in screened]
     if corr_threshold:
         dropped = aggregate.correlation_prune(df, names, corr_threshold)
         names = [c for c in names if c not in dropped]
     out = list(dict.fromkeys([*(c for c in (*BASE, *keep) if c in df.columns), *names]))
-    return df.select(*out), out
+    return clean.inf_to(df.select(*out), [c for c, kind in df.select(*names).dtypes if kind in ("double", "float")], 0.0), out
 
 
 def prepare_dataset(train: DataFrame, labels: DataFrame, test: DataFrame, *, preset: str = "full", limits: tuple[float, float] = (10.0, 10.0), remove_outliers: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -77,7 +83,7 @@ def prepare_dataset(train: DataFrame, labels: DataFrame, test: DataFrame, *, pre
     train = join.remove_outlier_series(train, "eqt_code_cat", ["price", "bid", "ask"], limits[0], enabled=remove_outliers)
     own, names = build_features(train, preset, keep=("eqt_code_cat",))
     own = durable(own)  # read for statistics, scaling and the second outlier pass
-    other, _ = build_features(test, preset)
+    other, _ = build_features(test, preset, log_skewed=[c for c in SCREENED if f"log_{c}" in names])
     scaled = [c for c in names if c not in (*BASE, "eqt_code_cat", "order_event_count")]
     train_z, test_z = scale.zscore_train(own, own, scaled), scale.zscore_train(own, other, scaled)
     logs = [c for c in ("log_bid_size", "log_ask_size", "log_flux") if c in scaled]

@@ -21,19 +21,93 @@ def read_table(spark: SparkSession, path: str, fmt: str, schema: T.StructType |
     return df.drop(df.columns[0]) if drop_index else df
 
 
-def number_rows(df: DataFrame, order_cols: list, name: str, parts: int | None = None) -> DataFrame:
+def _ranged(df: DataFrame, order_cols: list, parts: int | None = None) -> DataFrame:
+    """``df`` sorted into range partitions that a checkpoint fixes, with ``__part`` and the row's ``__place`` in it.
+
+    The place is that in the stored partition, so that no window and no second
+    shuffle is needed to number rows.
+    """
+    sorted_rows = df.repartitionByRange(*([parts] if parts else []), *order_cols).sortWithinPartitions(*order_cols)
+    held = durable(sorted_rows).withColumn("__id", F.monotonically_increasing_id())
+    part, place = F.shiftright("__id", 33).cast("int"), F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
+    return held.withColumns({"__part": part, "__place": place}).drop("__id")
+
+
+def _offsets(ranged: DataFrame) -> DataFrame:
+    """``__part, __before``: how many rows lie in earlier partitions; one row per partition."""
+    counts = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    return counts.select("__part", F.col("__n").alias("__part_rows"), (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
+
+
+def number_rows(df: DataFrame, order_cols: list, name: str, parts: int | None = None, keep_parts: bool = False) -> DataFrame:
     """Global row numbers from 0 in the order of ``order_cols``, without passing through one task.
 
-    Rows are range-partitioned and fixed by a checkpoint; the counts of the
-    partitions, one row each, give the offsets.
+    Rows are range-partitioned, sorted and fixed by a checkpoint; the counts of
+    the partitions, one row each, give the offsets. ``keep_parts`` leaves
+    ``__part``, ``__place`` and ``__part_rows`` in.
+    """
+    ranged = _ranged(df, order_cols, parts)
+    numbered = ranged.join(F.broadcast(_offsets(ranged)), "__part")
+    numbered = numbered.withColumn(name, F.col("__before") + F.col("__place")).drop("__before")
+    return numbered if keep_parts else numbered.drop("__part", "__place", "__part_rows")
+
+
+def rank_within(df: DataFrame, keys: list[str], order_cols: list, name: str) -> DataFrame:
+    """Row numbers from 0 inside each group, and ``__group_rows``, however large a group is.
+
+    Groups lie side by side in range partitions; a group's first global number,
+    one row per group, is taken off. Null keys are a group.
+    """
+    numbered = number_rows(df, [*keys, *order_cols], "__row")
+    first = numbered.groupBy(*[F.col(k).alias(f"__key_{i}") for i, k in enumerate(keys)])
+    first = first.agg(F.min("__row").alias("__first"), F.count(F.lit(1)).alias("__group_rows"))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__key_{i}"))
+    ranked = numbered.join(first, same) if keys else numbered.join(F.broadcast(first))
+    return ranked.withColumn(name, F.col("__row") - F.col("__first")).drop("__row", "__first", *[f"__key_{i}" for i in range(len(keys))])
+
+
+def running(df: DataFrame, keys: list[str], order_cols: list, *, sums: dict[str, str] | None = None, lasts: dict[str, str] | None = None, lags: dict[str, str] | None = None) -> DataFrame:
+    """Running values inside each group in an order: sums and last known values up to a row, values of the row before.
+
+    ``sums``, ``lasts`` and ``lags`` map new names to columns. No window is wider
+    than a range partition: what a group has gathered in earlier partitions, one
+    row per group and partition, is added to the partition's own running value.
     """
-    ranged = df.repartitionByRange(*([parts] if parts else []), *order_cols).withColumn("__part", F.spark_partition_id())
-    held = durable(ranged)
-    counts = held.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-    # one row per partition
-    before = counts.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
-    place = F.row_number().over(Window.partitionBy("__part").orderBy(*order_cols)) - 1
-    return held.withColumn("__place", place).join(F.broadcast(before), "__part").withColumn(name, (F.col("__before") + F.col("__place")).cast("long")).drop("__part", "__place", "__before")
+    sums, lasts, lags = sums or {}, lasts or {}, lags or {}
+    ranged = _ranged(df, [*keys, *order_cols])
+    inside = Window.partitionBy("__part", *keys).orderBy("__place")
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    known = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("__place")))
+    totals = ranged.groupBy("__part", *keys).agg(
+        F.count(F.lit(1)).alias("__rows"),
+        *[F.sum(c).alias(f"__sum_{n}") for n, c in sums.items()], *[known(c).alias(f"__last_{n}") for n, c in lasts.items()],
+        *[F.max_by(F.struct(F.col(c).alias("v")), "__place").alias(f"__lag_{n}") for n, c in lags.items()],
+    )
+    carried = totals.select(
+        F.col("__part").alias("__p"), *[F.col(k).alias(f"__key_{i}") for i, k in enumerate(keys)],
+        *[F.sum(f"__sum_{n}").over(earlier).alias(f"__sum_{n}") for n in sums],
+        *[F.last(f"__last_{n}", ignorenulls=True).over(earlier).alias(f"__last_{n}") for n in lasts],
+        *[F.last(f"__lag_{n}").over(earlier).alias(f"__lag_{n}") for n in lags],
+    )
+    same = F.col("__part") == F.col("__p")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__key_{i}"))
+    own = ranged.withColumns(
+        {f"__own_{n}": F.sum(c).over(upto) for n, c in sums.items()}
+        | {f"__own_{n}": F.last(c, ignorenulls=True).over(upto) for n, c in lasts.items()}
+        | {f"__own_{n}": F.lag(c).over(inside) for n, c in lags.items()}
+        | ({"__nth": F.row_number().over(inside)} if lags else {})
+    )
+    joined = own.join(carried, same)
+    zero = F.lit(0)
+    added = lambda n: F.when(F.col(f"__own_{n}").isNull() & F.col(f"__sum_{n}").isNull(), None).otherwise(
+        F.coalesce(f"__own_{n}", zero) + F.coalesce(f"__sum_{n}", zero))
+    out = {n: added(n) for n in sums} | {n: F.coalesce(f"__own_{n}", f"__last_{n}") for n in lasts}
+    out |= {n: F.when(F.col("__nth") == 1, F.col(f"__lag_{n}.v")).otherwise(F.col(f"__own_{n}")) for n in lags}
+    return joined.select(*df.columns, *[c.alias(n) for n, c in out.items()])
 
 
 def with_event_index(df: DataFrame, order_cols: list, series_len: int = 100, key: str | None = None) -> DataFrame:

@@ -48,7 +48,7 @@ FROM book_orders WHERE id % 5 <> 0""",
 SELECT id, instrument, side, price, qty * 20 AS qty, tif, post_only FROM (
   SELECT id, instrument, side, price, qty, CASE id % 3 WHEN 0 THEN 'GTC' WHEN 1 THEN 'IOC' ELSE 'FOK' END AS tif, id % 4 = 1 AS post_only,
     row_number() OVER (PARTITION BY instrument ORDER BY ts DESC, id DESC) AS n FROM book_orders WHERE id % 5 = 0) t WHERE n = 1""",
-    "stops": "SELECT id, instrument, side, price AS stop_price, ts, qty, CASE WHEN id % 2 = 0 THEN 'stop' ELSE 'stop_limit' END AS type FROM book_orders WHERE id % 3 = 0 AND id % 7 = 0",
+    "stops": "SELECT id, instrument, side, price AS stop_price, ts, qty, CASE WHEN id % 2 = 0 THEN 'stop' ELSE 'stop_limit' END AS type FROM book_orders WHERE id % 3 = 0",
     "trades": "SELECT id, instrument, side, price, qty, ts FROM book_orders WHERE id % 3 = 1",
     "contract": """
 SELECT p_partkey AS contract_id, p_retailprice AS s, CAST(850 + 4 * p_size AS DOUBLE) AS k,
@@ -69,8 +69,8 @@ SELECT sim_id,
        ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS INT) AS step,
   (l_quantity - CAST(25.5 AS DOUBLE)) / CAST(14.43 AS DOUBLE) AS z
 FROM (SELECT l_suppkey AS sim_id, * FROM lineitem) x""",
-    "pixels": "SELECT DISTINCT l_orderkey AS picture, l_linenumber AS label FROM lineitem WHERE l_orderkey % 8 = 0",
-    "annotated": "SELECT DISTINCT l_orderkey AS picture, l_linenumber AS label FROM lineitem WHERE l_returnflag <> 'N' AND l_orderkey % 8 = 0",
+    "pixels": "SELECT DISTINCT l_orderkey AS picture, l_linenumber AS label FROM lineitem",
+    "annotated": "SELECT DISTINCT l_orderkey AS picture, l_linenumber AS label FROM lineitem WHERE l_returnflag <> 'N'",
 }
 
 

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from marketloom.operators.book import first_reached
+
 
 def stream_hourly_mean(sdf: DataFrame, delay: str = "2 hours", ts: str = "ts", key: str = "zone", value: str = "value") -> DataFrame:
     """Hourly mean per zone; rows later than ``delay`` behind the newest are left out, an hour is given out once it is over."""
@@ -31,7 +34,7 @@ def stream_stop_triggers(sdf: DataFrame, delay: str = "2 hours") -> DataFrame:
 
     Input rows: ``instrument, kind ('stop' or 'trade'), id, ts, side, price``; a
     stop's price is its stop price. The state holds the pending stops and the last
-    price. Within a micro-batch rows count in the order of time, then id; of
+    price; a batch's stops are searched together along its trades. Within a micro-batch rows count in the order of time, then id; of
     trades at one time only the last sets the price. Rows later than ``delay`` are
     left out; instruments without pending stops that see nothing for an hour of
     event time are forgotten.
@@ -43,23 +46,26 @@ def stream_stop_triggers(sdf: DataFrame, delay: str = "2 hours") -> DataFrame:
             state.remove()
             return
         ids, sides, prices, last = state.get if state.exists else ([], [], [], None)
-        pending, out = {i: (s, p) for i, s, p in zip(ids, sides, prices, strict=True)}, []
         rows = pd.concat(list(batches)).sort_values(["ts", "id"])
-        for ts, now in rows.groupby("ts", sort=True):
-            for r in now.itertuples():
-                if r.kind == "stop":
-                    pending[int(r.id)] = (r.side, float(r.price))
-                else:
-                    last = float(r.price)
-            if last is not None:
-                for i, (side, price) in list(pending.items()):
-                    if last >= price if side == "buy" else last <= price:
-                        out.append((key[0], i, side, price, ts, last))
-                        del pending[i]
-        state.update(([*pending], [s for s, _ in pending.values()], [p for _, p in pending.values()], last))
-        if not pending:
+        rows["ts"] = rows["ts"].astype("datetime64[ns]")
+        new, traded = rows[rows["kind"] == "stop"].drop_duplicates("id", keep="last"), rows[rows["kind"] != "stop"].drop_duplicates("ts", keep="last")
+        # the last known price stands before all that is new; what waits has been judged by it
+        long_ago = np.datetime64("1678-01-01", "ns")
+        times, path = traded["ts"].to_numpy(), traded["price"].to_numpy(float)
+        if last is not None:
+            times, path = np.concatenate(([long_ago], times)), np.concatenate(([last], path))
+        old = pd.DataFrame({"id": ids, "side": sides, "price": prices, "ts": long_ago})
+        waiting = pd.concat([old[~old["id"].isin(new["id"])], new[["id", "side", "price", "ts"]]]) if len(new) else old
+        arrivals, levels = waiting["ts"].to_numpy().astype("datetime64[ns]"), waiting["price"].to_numpy(float)
+        when, _, reached = first_reached(times, path, arrivals, waiting["side"].to_numpy() == "buy", levels)
+        hit = ~np.isnat(when)
+        done, left = waiting[hit], waiting[~hit]
+        out = pd.DataFrame({"instrument": key[0], "id": done["id"], "side": done["side"], "stop_price": levels[hit], "trigger_ts": when[hit], "trade_price": reached[hit]})
+        price = float(path[-1]) if len(path) else None
+        state.update((left["id"].astype(int).tolist(), left["side"].tolist(), left["price"].astype(float).tolist(), price))
+        if not len(left):
             state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(rows["ts"].max().timestamp() * 1000)) + 3_600_000)
-        yield pd.DataFrame(out, columns=["instrument", "id", "side", "stop_price", "trigger_ts", "trade_price"])
+        yield out
 
     state_schema = "ids array<long>, sides array<string>, prices array<double>, last double"
     return sdf.withWatermark("ts", delay).groupBy("instrument").applyInPandasWithState(step, schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout)

@@ -264,14 +264,6 @@ def test_early_stop(spark):
     assert tuple(got[1]) == (1, 1, 4.0, 3) and tuple(got[2]) == (2, 0, 1.0, None)
 
 
-def test_nearest_in_blocks_equals_one_block(spark, sf_dir, monkeypatch):
-    df = view(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", F.col("label").cast("int").alias("label"))
-    train, test = df.filter("id % 5 > 0"), df.filter("id % 5 = 0")
-    whole = {tuple(r) for r in models.nearest(train, test, 4).collect()}
-    monkeypatch.setattr(models, "BLOCK_BYTES", 8000)
-    assert {(a, b) for a, b, *_ in (tuple(r) for r in models.nearest(train, test, 4).collect())} == {(a, b) for a, b, *_ in whole}
-
-
 def test_forest_beats_the_constant(spark, sf_dir):
     df = view(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), (F.col("embedding")[0] > F.col("embedding")[1]).cast("int").alias("y"), *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(4)])
     cols = [f"e{i}" for i in range(4)]

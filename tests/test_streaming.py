@@ -58,3 +58,16 @@ def test_stops_wait_across_batches(play):
     ]
     rows = play(batches, schema, jobs.stream_stop_triggers)
     assert {(r.id, r.trigger_ts, r.trade_price) for r in rows} == {(1, at(0.6), 12.5), (7, at(0.7), 12.5)}
+
+
+def test_stops_on_a_stream_equal_the_batch_search(spark, sf_dir):
+    import __spark_entry__
+
+    asked = __spark_entry__.queries()
+    streamed = asked["m4_stream_stop_triggers"](spark, sf_dir).selectExpr("id", "date_format(trigger_ts, 'yyyy-MM-dd HH:mm:ss') AS ts").collect()
+    from marketloom.operators import book
+    from marketloom.sources.views import view
+
+    batch = book.stop_triggers(view(spark, sf_dir, "stops"), view(spark, sf_dir, "trades")).filter("trigger_ts IS NOT NULL")
+    batch = batch.selectExpr("id", "date_format(trigger_ts, 'yyyy-MM-dd HH:mm:ss') AS ts").collect()
+    assert len(streamed) > 50 and sorted(map(tuple, streamed)) == sorted(map(tuple, batch))
