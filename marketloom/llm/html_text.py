@@ -1,8 +1,8 @@
 """Main text of web pages: a recurrent labeller over the blocks of a page.
 
 A page is cut into leaf blocks, runs of text between block-level tags. Each block
-becomes a vector of its tag path (elements, class and id words) and one of its
-hashed words. A bidirectional LSTM reads the blocks of the whole page in order
+becomes a vector of its tag path (elements, class and id words) and one of all
+its hashed words. A bidirectional LSTM reads the blocks of the whole page in order
 and back again, and labels each block as main text or not from everything around
 it. The model is numpy only; it is trained from a seed on made-up pages
 (``html_pages``) whose labels are known, once per driver process.
@@ -13,6 +13,7 @@ from __future__ import annotations
 import html as html_lib
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -36,6 +37,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 DROPPED = frozenset("script style noscript template title svg iframe object textarea select option canvas audio video head".split())
 #: Of these, the ones whose content isn't markup.
 RAW = frozenset("script style title textarea iframe".split())
+#: Elements that may stand in a head; any other one, or a text, ends it.
+_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 #: Elements that end an open paragraph.
 _ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 
@@ -50,8 +53,10 @@ TABLE = 4096
 VECTOR, STATE = 24, 20
 #: Made-up pages, passes over them and pages per step of training.
 TRAIN_PAGES, PASSES, STEP_PAGES = 900, 3, 12
-#: Blocks times pages that are labelled at once.
-AT_ONCE = 1 << 15
+#: Blocks times pages that are labelled at once, and words whose vectors are summed at once.
+AT_ONCE, WORDS_AT_ONCE = 1 << 15, 1 << 17
+#: Open elements whose tokens make a block's path: so many from the outside and from the inside.
+OUTER, INNER = 200, 100
 
 
 @dataclass
@@ -65,6 +70,7 @@ def blocks_of(html: str | None) -> list[Block]:
     html = html or ""
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
+    opened: Counter[str] = Counter()  # how often each element is on the stack
     held: list[str] = []
     linked = plain = dropped = 0
     path: tuple[str, ...] = ()
@@ -79,11 +85,21 @@ def blocks_of(html: str | None) -> list[Block]:
             held.clear()
         linked = plain = 0
 
+    def pop() -> str:
+        nonlocal dropped
+        tag = stack.pop()[0]
+        opened[tag] -= 1
+        dropped -= tag in DROPPED
+        return tag
+
     def text_run(a: int, b: int) -> None:
         nonlocal linked, plain, path
+        if dropped and stack[-1][0] == "head" and html[a:b].strip():
+            pop()
         if b > a and not dropped:
             if not held:
-                path = tuple(t for _, tokens in stack for t in tokens)
+                shown = stack if len(stack) <= OUTER + INNER else [*stack[:OUTER], *stack[-INNER:]]
+                path = tuple(t for _, tokens in shown for t in tokens)
             held.append(html[a:b])
             n = len(html[a:b].strip())
             if links:
@@ -101,7 +117,8 @@ def blocks_of(html: str | None) -> list[Block]:
         if follow in ("!", "?"):
             text_run(at, lt)
             if html.startswith("<!--", lt):
-                end = html.find("-->", lt + 4)
+                # the dashes that open a comment can close it
+                end = html.find("-->", lt + 2)
                 at = n if end < 0 else end + 3
             else:
                 end = html.find(">", lt)
@@ -126,12 +143,12 @@ def blocks_of(html: str | None) -> list[Block]:
                 flush()
             if tag == "a":
                 links = max(0, links - 1)
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if depth is not None and tag not in INLINE:
-                for closed, _ in stack[depth:]:
-                    dropped -= closed in DROPPED
-                del stack[depth:]
+            if tag not in INLINE and opened[tag]:
+                while pop() != tag:
+                    pass
             continue
+        if dropped and stack[-1][0] == "head" and tag not in _HEAD:
+            pop()
         if tag == "br":
             if not dropped and held:
                 held.append(" ")
@@ -155,24 +172,21 @@ def blocks_of(html: str | None) -> list[Block]:
         if tag == "body":
             dropped = 0
             stack = [s for s in stack if s[0] not in DROPPED]
+            opened = Counter(s[0] for s in stack)
         if tag in _ENDS_P:
             while stack and stack[-1][0] == "p":
-                stack.pop()
+                pop()
         if tag in ("li", "dd", "dt", "tr", "td", "th") and stack and stack[-1][0] == tag:
-            stack.pop()
+            pop()
         if tag in ("option", "optgroup"):
             while stack and stack[-1][0] in ("option", tag):
-                dropped -= stack.pop()[0] in DROPPED
+                pop()
         if tag in VOID or html[end - 2 : end] == "/>":
             continue
         names = [a or b or c for a, b, c in _CLASS.findall(html[name.end() : end - 1])]
         stack.append((tag, (tag, *(f".{w}" for x in names for w in _PLAIN.findall(x.lower())))))
+        opened[tag] += 1
         dropped += tag in DROPPED
-        if len(stack) > 400:  # paths of broken pages stay short; blocks are kept
-            hidden = [s for s in stack[200:300] if s[0] in DROPPED]
-            keep = [] if any(s[0] in DROPPED for s in stack[:200]) else hidden[:1]  # the outermost one still hides what it holds
-            dropped -= len(hidden) - len(keep)
-            stack[200:300] = keep
     flush()
     return out
 
@@ -194,7 +208,8 @@ def block_codes(block: Block) -> tuple[list[int], list[int]]:
     words = block.text.lower().split()
     path = [_code(f"<{p}") for p in dict.fromkeys(block.path)] + [_code(f"<<{p}") for p in block.path[-2:]]
     shape = [_code(f"#long{len(words).bit_length()}"), _code(f"#end{block.text[-1]}" if block.text[-1] in ".?!:" else "#end")]
-    return path, [*(_code(w) for w in words[:40]), *shape * 3]
+    # the shape keeps its share of the mean however many words there are
+    return path, [*map(_code, words), *shape * max(3, len(words) // 13)]
 
 
 def page_codes(blocks: list[Block]):
@@ -209,7 +224,12 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def _sums(table: np.ndarray, codes: np.ndarray, sizes: np.ndarray, mean: bool) -> np.ndarray:
-    out = np.add.reduceat(table[codes], np.cumsum(sizes) - sizes, axis=0) if len(sizes) else np.zeros((0, table.shape[1]))
+    """Sums (or means) of table rows over runs of codes, some codes at a time."""
+    out, owner = np.zeros((len(sizes), table.shape[1])), np.repeat(np.arange(len(sizes)), sizes)
+    for at in range(0, len(codes), WORDS_AT_ONCE):
+        part, own = codes[at : at + WORDS_AT_ONCE], owner[at : at + WORDS_AT_ONCE]
+        first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+        out[own[first]] += np.add.reduceat(table[part], first, axis=0)
     return out / sizes[:, None] if mean else out
 
 

@@ -33,6 +33,42 @@ def test_text_after_many_unclosed_options_is_kept():
     assert texts("<div>" * 250 + "<svg>" + "<g>x" * 900 + "</svg><p>article") == ["article"]
 
 
+def test_deep_and_unclosed_elements_hide_nothing():
+    texts = lambda html: [b.text for b in html_text.blocks_of(html)]
+    deep = "<div>" * 220 + "<noscript>" + "<div>" * 200 + "</div>" * 200 + "</noscript>" + "</div>" * 220
+    assert texts(deep + "<p>one<p>two") == ["one", "two"]
+    assert texts("<html><head><title>t</title><p>Body</p>") == ["Body"]
+    assert texts("<head><meta charset=x><style>p{}</style>Body <b>runs</b> on") == ["Body runs on"]
+    assert texts("<head><noscript><img src=x>no</noscript><title>t</title></head><body><p>Body") == ["Body"]
+    assert texts("<!-->a<p>b<!--->c<!-- x -- y -->d") == ["a", "bcd"]
+    assert len(texts("<div>x" * 30_000)) == 30_000
+    assert texts("<svg>" * 30_000 + "</svg>" * 30_000 + "<p>article") == ["article"]
+
+
+def test_all_words_of_a_block_count():
+    long, head = "<p>" + "menu " * 40 + "article " * 400, "<p>" + "menu " * 40
+    a, b = (html_text.page_codes(html_text.blocks_of(x)) for x in (long, head))
+    assert a[3][0] > 440 and np.isin(b[2][:1], a[2]).all()
+    model = html_text.Labeller(2)
+    whole = model.vectors(a)
+    table, codes, sizes = model.p["table"], a[2], a[3]
+    assert np.allclose(whole[0, html_text.VECTOR :], table[codes].sum(axis=0) / sizes[0])
+    html_text.WORDS_AT_ONCE, kept = 7, html_text.WORDS_AT_ONCE
+    try:
+        assert np.allclose(model.vectors(a), whole)
+    finally:
+        html_text.WORDS_AT_ONCE = kept
+
+
+def test_pages_with_clashing_columns_and_repeats(spark):
+    page = "<html><body><article>" + "<p>The river runs through the old town and down to the sea.</p>" * 3 + "</article></body></html>"
+    rows = [(1, page, "old", 7), (1, page, "old", 7), (2, None, None, None)]
+    got = html_text.extract_text(spark.createDataFrame(rows, "page_id long, html string, text string, N_CHARS long"))
+    assert got.columns == ["page_id", "html", "text", "n_chars", "n_blocks", "n_main"]
+    one, two, none = sorted((tuple(r)[2:] for r in got.collect()), reverse=True)
+    assert one == two and one[1] == len(one[0]) and none == ("", 0, 0, 0)
+
+
 def test_formulae_stay_in_their_sentence():
     html = "<p>so <math><semantics><mrow><msup><mi>x</mi><mn>2</mn></msup><mo>=</mo><mn>4</mn></mrow><annotation encoding='tex'>x^2=4</annotation></semantics></math> holds<p>next"
     assert [b.text for b in html_text.blocks_of(html)] == ["so x2=4 holds", "next"]
