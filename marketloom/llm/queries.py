@@ -45,8 +45,8 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.find_personal_data(spread(_documents(spark, sf_dir).select("doc_id", "text")), with_text=False)
-    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "n_term", "base_sha256", "spans")
+    found = pii.find_personal_data(spread(_documents(spark, sf_dir).select("doc_id", "text")))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "n_term", "base_sha256", "spans", "sanitised_text")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -166,25 +166,111 @@ def test_base_spans_equal_the_patterns(documents):
 def test_base_spans_of_long_runs():
     for text in ("a" * 300_000, "1" * 200_000, "1." * 100_000, "+1" * 100_000, "a@" * 100_000, "." * 300_000):
         pii.base_spans(text)
+    zeros = "0" * 5000
+    assert pii.base_spans(f"{zeros}.1.1.1") == [("ip", 0, 5006)] and pii.base_spans(f"{zeros}255.0.00.{zeros}7") == [("ip", 0, 10_010)]
+    assert pii.base_spans(f"{zeros}256.1.1.1 9{zeros}.1.1.1") == []
+
+
+def plain_words(text, spans):
+    taken = {k for _, b, e in spans for k in range(b, e)}
+    return [m.span() for m in pii._WORD.finditer(text) if taken.isdisjoint(range(*m.span()))]
+
+
+def plain_terms(text, words):
+    out = {text[b:e].lower() for b, e in words}
+    return out | {text[b:f].lower() for (b, e), (c, f) in zip(words, words[1:], strict=False) if text[e:c] in ("", " ")}
+
+
+def plain_disclosing(texts):
+    """Terms with P(entity | term) >= 1/2 in three different contexts or more, as they are defined."""
+    rows = []
+    for text in texts:
+        spans = brute_spans(text)
+        words = plain_words(text, spans)
+        near = []
+        for kind, b, e in spans:
+            before, after = [w for w in words if w[1] <= b][-6:], [w for w in words if w[0] >= e][:6]
+            near.append(((kind, text[b:e].lower()), tuple(text[x:y].lower() for x, y in before + after), plain_terms(text, before) | plain_terms(text, after)))
+        rows.append((plain_terms(text, words), near))
+    found = {}
+    for entity in {e for _, near in rows for e, *_ in near}:
+        met = {}
+        for _, near in rows:
+            for e, context, terms in near:
+                if e == entity:
+                    for t in terms:
+                        met.setdefault(t, set()).add(context)
+        for t, contexts in met.items():
+            both = sum(any(e == entity and t in terms for e, _, terms in near) for _, near in rows)
+            p = both / sum(t in own for own, _ in rows)
+            if len(contexts) >= 3 and p >= 0.5:
+                found.setdefault(entity, {})[t] = p
+    out = {}
+    for (kind, _), terms in found.items():
+        for t, p in terms.items():
+            parts = t.split(" ") if " " in t else (list(t) if len(t) == 2 and ord(t[0]) > 0x3000 else [])
+            if not any(x in terms for x in parts):
+                out[t] = max(out.get(t, (0, "")), (p, kind))
+    return out
+
+
+def test_disclosing_terms_equal_their_definition(spark):
+    rng = random.Random(8)
+    people = {"Ann Lee": "ann@mail.example.com", "kim": "+44 20 7946 0958", "x77-k": "10.0.0.9", "李明": "li@mail.example.org", "Bob Ray": "10.1.1.1"}
+    filler = "the old town by sea has many ships and few roads to go far north".split()
+    texts = []
+    for i in range(300):
+        own = [rng.choice(filler) for _ in range(rng.randint(0, 14))]
+        for _ in range(rng.choice([0, 1, 1, 2])):
+            name = rng.choice(list(people))
+            own.insert(rng.randint(0, len(own)), rng.choice([name, people[name], f"{name} {people[name]}", f"{people[name]} of {name}"]))
+        texts.append(" ".join(own))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts + [None, ""])], "doc_id long, text string").repartition(3)
+    want = plain_disclosing(texts)
+    assert {"kim", "x77-k", "ann lee" if "ann" not in want else "ann"} & set(want) and len(want) > 3
+    for most in (500_000, 1):
+        got = {r.term: (r.probability, r.kind) for r in pii.disclosing_terms(docs, most_terms=most).collect()}
+        assert got.keys() == want.keys()
+        assert all(abs(got[t][0] - want[t][0]) < 1e-9 for t in want)
 
 
 def test_terms_that_give_a_value_away(spark, odd_documents, no_documents, clashing):
     names = ["alpha", "bravo", "delta", "gamma", "omega", "sigma"]
     rows = [(i, f"{names[i % 6]} said zanzibar wrote from bob@mail.example.com {names[(i + 1) % 6]} today {names[i // 6]}") for i in range(18)]
-    rows += [(100 + i, f"{names[i % 6]} said today and wrote from home") for i in range(600)]
+    # the pairs of words around the address are common ones elsewhere
+    rows += [(100 + i, f"{names[i % 6]} today {names[i // 6 % 6]} said and wrote from home") for i in range(600)]
     rows.append((1000, "then zanzibar left"))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert [r.term for r in pii.disclosing_terms(docs).collect()] == ["zanzibar"]
-    for most in (500_000, 1):
+    for most in (500_000, 0):
         got = {r.doc_id: r for r in pii.find_personal_data(docs, most_terms=most).collect()}
+        assert len(got) == len(rows)
         assert got[1000].spans == "term:5:13" and got[1000].n_email == 0 and got[1000].sanitised_text == "then  left"
         assert got[0].spans.startswith("email:") and "bob@" not in got[0].sanitised_text and got[130].spans == ""
     for table in (odd_documents, clashing):
         for r in pii.find_personal_data(table).collect():
-            assert r.spans == ("" if len(r.text or "") > 100_000 else pii.joined(brute_spans(r.text or "")))
+            # the plain patterns take too long on runs of hundreds of thousands, which hold neither @ nor digits
+            text = r.text or ""
+            assert r.spans == (pii.joined(brute_spans(text)) if re.search("[@0-9]", text) else "")
     assert pii.find_personal_data(no_documents).count() == 0
 
 
+def test_query_finds_terms_by_the_method(spark, tmp_path):
+    from marketloom.llm.queries import QUERIES
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    texts = [f"{word()} {word()} Ann Lee {word()} +44 20 7946 095{rng.choice('8')} {word()} {word()}" for _ in range(12)] + [" ".join(word() for _ in range(30)) for _ in range(50)]
+    texts.append(f"{word()} asked Ann Lee about it")
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: r for r in QUERIES["op7_personal_data"](spark, str(tmp_path)).collect()}
+    assert len(rows) == len(texts) and rows[62].n_term >= 1 and "Ann" not in rows[62].sanitised_text
+    for i, text in enumerate(texts):
+        base = [x for x in rows[i].spans.split(",") if not x.startswith("term")]
+        assert ",".join(x for x in base if x) == pii.joined(brute_spans(text))
+        assert rows[i].base_sha256 == __import__("hashlib").sha256(pii.joined(brute_spans(text)).encode()).hexdigest()
+
+
 # --- quality ----------------------------------------------------------------
 
 
