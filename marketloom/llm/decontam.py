@@ -5,10 +5,15 @@ stands on and moves on or stays, as a shared random table says for that step and
 character. Two texts a small edit distance apart are walked alike again soon
 after each edit, so that their embeddings have a small Hamming distance. A
 repetition of the LSH samples some positions of the embedding; windows that agree
-with an item's window there become candidates. Every word of a document begins a
-window, and every word of an item begins one that runs to the item's end, so that
-a passage has as many chances to be found as it has words, in each repetition.
-Candidates are verified by exact edit distance against the whole item.
+with an item's window there become candidates.
+
+Items are taken by length class, and windows have the size of the class: every
+word of an item begins one, and so does every word of a document (and every
+character of scripts without spaces). A long item has more windows, not longer
+ones, as the walks over a window with many edits soon part for good. Repetitions
+are added until, in each class, copies with as many edits as the limit allows are
+found with the target recall. Candidates are screened by the edit distance around
+the window and verified by exact edit distance against the whole item.
 """
 
 from __future__ import annotations
@@ -19,27 +24,27 @@ from dataclasses import dataclass
 import ahocorasick
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Steps of a walk that an LSH key may look at.
-STEPS = 48
-#: Positions of the embedding that a key samples.
-SAMPLES = 18
-#: Recall that repetitions must reach on probes: items with this share of their characters edited at random.
-TARGET_RECALL, PROBED_EDITS = 0.98, 0.1
-#: Repetitions, each with its own walk and positions: at least and at most.
-REPETITIONS = (3, 12)
-#: Items that are probed; a sample of this size tells the recall to about a hundredth.
-MOST_PROBED = 400
+from marketloom.llm._shared import durable, written
+
+#: Length classes: bytes from which an item belongs to it, steps of its walks and positions that a key samples.
+CLASSES = ((16, 16, 9), (32, 24, 12), (64, 32, 12))
+#: Recall that repetitions must reach in each class on probes with as many edits as the limit allows.
+TARGET_RECALL = 0.99
+#: Probes of a class at least; every item is probed.
+LEAST_PROBES = 400
+#: Repetitions, each with its own walk and positions: at least so many; so many without the target are an error.
+LEAST_REPETITIONS, MOST_REPETITIONS = 3, 64
 #: An item is found where the edit distance is at most this share of its length.
 MOST_EDITS = 0.2
-#: Characters that an item's window needs; shorter items are found by exact match.
-LEAST_WINDOW = 32
+#: Bytes around a window whose edit distance screens a candidate, the share of them that may differ and how far they may lie aside.
+CHUNK, CHUNK_EDITS, CHUNK_SLACK = 64, 0.38, 20
 #: Bytes of item texts that are sent to the executors at once; more items go in further passes.
 MOST_ITEM_BYTES = 16 << 20
 _BASE = np.uint64(0x100000001B3)
-_BITS = 22  # of the prefix bitmaps
+_ONE = np.uint64(1)
 
 
 def normalise(text: str | None) -> str:
@@ -78,20 +83,30 @@ def edit_distance_within(pattern: str, text: str) -> tuple[int, int]:
 class Repetition:
     moves: np.ndarray  # (steps, 256): whether a walk moves on
     samples: np.ndarray  # sampled steps
-    prefixes: tuple[tuple[int, np.ndarray], ...]  # after so many samples: bitmap of the items' hashes
+    prefixes: tuple[tuple[int, np.ndarray], ...]  # after so many samples: packed bitmap of the windows' hashes
     keys: np.ndarray  # sorted hashes of all samples
     owner: np.ndarray  # of each key: position in the table of windows
 
 
+@dataclass(frozen=True)
+class LengthClass:
+    """The windows of items of one length class with their keys."""
+
+    window_item: np.ndarray
+    window_offset: np.ndarray
+    repetitions: tuple[Repetition, ...]
+    recall: float  # on the probes
+
+
 @dataclass(frozen=True)
 class Index:
     """A block of items with their LSH keys; its size goes with the items' bytes."""
 
     ids: list
     texts: list[str]
-    window_item: np.ndarray
-    window_offset: np.ndarray
-    repetitions: tuple[Repetition, ...]
+    buffer: np.ndarray
+    begins: np.ndarray
+    classes: tuple[LengthClass, ...]
     short: dict[str, list]
 
     def automaton(self) -> ahocorasick.Automaton | None:
@@ -104,10 +119,35 @@ class Index:
         return out
 
 
+_ALNUM = np.zeros(256, bool)
+_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(192, 256)]] = True
+_GAP = np.zeros(256, bool)
+_GAP[[0, 32]] = True
+
+
 def word_starts(buffer: np.ndarray) -> np.ndarray:
-    """Positions of a normalised byte buffer at which a word begins."""
-    gap = (buffer == 32) | (buffer == 0)
-    return np.flatnonzero(~gap & np.concatenate(([True], gap[:-1])))
+    """Positions of a normalised byte buffer at which a window begins.
+
+    That is after a space, at a letter or digit after a sign, and at every
+    character of three or four bytes, as in scripts that don't part words.
+    """
+    gap = _GAP[buffer]
+    after_gap = np.concatenate(([True], gap[:-1]))
+    after_sign = np.concatenate(([False], ~_ALNUM[buffer[:-1]] & (buffer[:-1] < 128)))
+    return np.flatnonzero(~gap & (after_gap | (after_sign & _ALNUM[buffer]) | (buffer >= 0xE0)))
+
+
+def _in_bitmap(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
+    mixed = (h ^ (h >> np.uint64(29))) & np.uint64(8 * len(bitmap) - 1)
+    return (bitmap[(mixed >> np.uint64(3)).astype(np.int64)] >> (mixed & np.uint64(7)).astype(np.uint8)) & 1
+
+
+def _bitmap(h: np.ndarray) -> np.ndarray:
+    """Packed bits of hashes, some 32 bits to each."""
+    bits = 1 << max(10, int(len(h)).bit_length() + 5)
+    out = np.zeros(bits, bool)
+    out[((h ^ (h >> np.uint64(29))) & np.uint64(bits - 1)).astype(np.int64)] = True
+    return np.packbits(out, bitorder="little")
 
 
 def _walk(buffer: np.ndarray, at: np.ndarray, repetition: Repetition, screen: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -120,8 +160,7 @@ def _walk(buffer: np.ndarray, at: np.ndarray, repetition: Repetition, screen: bo
             h = (h ^ c) * _BASE
             taken += 1
             if taken in checks:
-                mixed = (h ^ (h >> np.uint64(29))) & np.uint64((1 << _BITS) - 1)
-                stay = np.flatnonzero(checks[taken][mixed.astype(np.int64)])
+                stay = np.flatnonzero(_in_bitmap(checks[taken], h))
                 which, place, h, c = which[stay], place[stay], h[stay], c[stay]
                 if not len(which):
                     break
@@ -132,27 +171,28 @@ def _walk(buffer: np.ndarray, at: np.ndarray, repetition: Repetition, screen: bo
 def _joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Texts as one byte buffer, each ended by a zero byte, and where they begin; zeros enough for a walk follow."""
     raw = [t.encode("utf-8", "replace") for t in texts]
-    return np.frombuffer(b"".join(r + b"\0" for r in raw) + b"\0" * (STEPS + 1), np.uint8), np.cumsum([0, *[len(r) + 1 for r in raw]])
+    longest = max(steps for _, steps, _ in CLASSES)
+    return np.frombuffer(b"".join(r + b"\0" for r in raw) + b"\0" * (longest + 1), np.uint8), np.cumsum([0, *[len(r) + 1 for r in raw]])
 
 
-def _edited(text: str, rate: float, rng: np.random.Generator) -> str:
-    """Characters deleted, replaced or doubled at random."""
-    out = []
-    for c, u in zip(text, rng.random(len(text)), strict=True):
-        out.append(c if u >= rate else ("", text[int(u / rate * len(text))], c + c)[int(u / rate * 3)])
+def _edited(text: str, edits: int, rng: np.random.Generator) -> str:
+    """So many characters, at random places, deleted, replaced by another of the text, or doubled."""
+    out = list(text)
+    for k in rng.choice(len(text), min(edits, len(text)), replace=False).tolist():
+        out[k] = ("", text[int(rng.integers(len(text)))], out[k] * 2)[int(rng.integers(3))]
     return " ".join("".join(out).split())
 
 
-def build_index(items: list[tuple[object, str]], *, steps: int = STEPS, samples: int = SAMPLES, target_recall: float = TARGET_RECALL, probed_edits: float = PROBED_EDITS, seed: int = 23) -> Index:
+def build_index(items: list[tuple[object, str]], *, classes: tuple = CLASSES, target_recall: float = TARGET_RECALL, most_edits: float = MOST_EDITS, seed: int = 23) -> Index:
     """LSH keys of a block of ``(item_id, text)``.
 
-    Repetitions are added until edited copies of the items are found with the
-    target recall. The probes only tell how many are needed; every item is indexed.
+    In each length class repetitions are added until edited copies of its items
+    are found with the target recall; if that can't be reached, this raises.
     """
     ids, texts, short = [], [], {}
     for item, text in items:
         text = normalise(text)
-        if len(text.encode("utf-8", "replace")) >= LEAST_WINDOW:
+        if len(text.encode("utf-8", "replace")) >= classes[0][0]:
             ids.append(item)
             texts.append(text)
         elif text:
@@ -161,73 +201,156 @@ def build_index(items: list[tuple[object, str]], *, steps: int = STEPS, samples:
     starts = word_starts(buffer)
     item = np.searchsorted(begins, starts, "right") - 1
     offset = starts - begins[item] if len(starts) else starts
-    lengths = np.diff(begins) - 1
-    fits = lengths[item] - offset >= LEAST_WINDOW if len(starts) else np.zeros(0, bool)
-    starts, item, offset = starts[fits], item[fits], offset[fits]
+    size = np.diff(begins) - 1
+    edges = [least for least, _, _ in classes[1:]] + [1 << 62]
+    found = []
+    for (least, steps, samples), below in zip(classes, edges, strict=True):
+        members = np.flatnonzero((size >= least) & (size < below))
+        if len(members):
+            # a window has half its size to run at least: walks move on at every second step
+            fits = (size[item] >= least) & (size[item] < below) & (size[item] - offset >= steps // 2)
+            index = Index(ids, texts, buffer, begins, (), {})
+            found.append(_class_keys(index, members, item[fits], offset[fits], steps, samples, target_recall, most_edits, seed))
+    return Index(ids, texts, buffer, begins, tuple(found), short)
+
+
+def _class_keys(index: Index, members: np.ndarray, item: np.ndarray, offset: np.ndarray, steps: int, samples: int, target_recall: float, most_edits: float, seed: int) -> LengthClass:
     rng, out = np.random.default_rng(seed), []
-    probes, probe_begins = _joined([_edited(t, probed_edits, rng) for t in texts[:MOST_PROBED]])
-    found = np.zeros(len(probe_begins) - 1, bool)
-    for _ in range(REPETITIONS[1]):
+    truth = np.tile(members, -(-LEAST_PROBES // len(members)))
+    probes, probe_begins = _joined([_edited(index.texts[k], int(most_edits * len(index.texts[k])), rng) for k in truth.tolist()])
+    found, starts = np.zeros(len(truth), bool), index.begins[item] + offset
+    none = np.zeros(0, np.uint64)
+    while True:
         moves = rng.integers(0, 2, (steps, 256)).astype(np.uint8)
         moves[:, 0] = 0  # walks stay where a text ends
         chosen = np.sort(rng.choice(steps, samples, replace=False))
-        bare = Repetition(moves, chosen, (), np.zeros(0, np.uint64), np.zeros(0, np.int64))
         maps = []
-        for n in (4, 7):
-            _, h = _walk(buffer, starts, Repetition(moves, chosen[:n], (), bare.keys, bare.owner), False)
-            bitmap = np.zeros(1 << _BITS, bool)
-            bitmap[((h ^ (h >> np.uint64(29))) & np.uint64((1 << _BITS) - 1)).astype(np.int64)] = True
-            maps.append((n, bitmap))
-        _, h = _walk(buffer, starts, bare, False)
+        for n in (4, 4 + (samples - 4) // 2):
+            _, h = _walk(index.buffer, starts, Repetition(moves, chosen[:n], (), none, none), False)
+            maps.append((n, _bitmap(h)))
+        _, h = _walk(index.buffer, starts, Repetition(moves, chosen, (), none, none), False)
         order = np.argsort(h, kind="stable")
         out.append(Repetition(moves, chosen, tuple(maps), h[order], order))
-        hits = candidates(probes, probe_begins, Index(ids, texts, item, offset, (out[-1],), {}))
-        found[hits[hits[:, 0] == hits[:, 1], 0]] = True
-        if len(out) >= REPETITIONS[0] and (not len(found) or found.mean() >= target_recall):
-            break
-    return Index(ids, texts, item, offset, tuple(out), short)
+        own = LengthClass(item, offset, (out[-1],), 0.0)
+        hits = candidates(probes, probe_begins, Index(index.ids, index.texts, index.buffer, index.begins, (own,), {}))
+        found[hits[truth[hits[:, 0]] == hits[:, 1], 0]] = True
+        recall = float(found.mean())
+        if len(out) >= LEAST_REPETITIONS and recall >= target_recall:
+            return LengthClass(item, offset, tuple(out), recall)
+        if len(out) == MOST_REPETITIONS:
+            raise ValueError(f"items of {int(np.diff(index.begins)[members].min()) - 1} bytes and more are found with a recall of {recall:.3f} only: allow fewer edits")
+
+
+def _near(buffer: np.ndarray, at: np.ndarray, index: Index, item: np.ndarray, offset: np.ndarray) -> np.ndarray:
+    """Whether the text around each window is within reach of the item around it.
+
+    Bit-parallel edit distance of up to 64 bytes of the item against the text
+    there, for all candidates at once. Bytes count as equal if their last five
+    bits are, which lets some more through and holds nothing back.
+    """
+    size = index.begins[item + 1] - 1 - index.begins[item]
+    length = np.minimum(size, CHUNK)
+    first = np.clip(offset - CHUNK // 4, 0, size - length)
+    source, rows = index.begins[item] + first, np.arange(len(item))
+    masks = np.zeros((len(item), 32), np.uint64)
+    for k in range(int(length.max(initial=0))):
+        c = index.buffer[np.minimum(source + k, len(index.buffer) - 1)] & 31
+        masks[rows, c] |= np.where(k < length, _ONE << np.uint64(k), np.uint64(0))
+    up, down = np.full(len(item), ~np.uint64(0)), np.zeros(len(item), np.uint64)
+    here, top = length.astype(np.int64), (length - 1).astype(np.uint64)
+    best, begin = here.copy(), at - offset + first - CHUNK_SLACK
+    for k in range(int(length.max(initial=0)) + 2 * CHUNK_SLACK):
+        place = begin + k
+        c = buffer[np.clip(place, 0, len(buffer) - 1)] & 31
+        same = masks[rows, c]
+        diagonal = (((same & up) + up) ^ up) | same | down
+        right, left = down | ~(diagonal | up), up & diagonal
+        here += ((right >> top) & _ONE).astype(np.int64) - ((left >> top) & _ONE).astype(np.int64)
+        right, left = right << _ONE, left << _ONE
+        up, down = left | ~(diagonal | right), right & diagonal
+        np.minimum(best, here, out=best)
+    return best <= CHUNK_EDITS * length + 1
+
+
+def _distinct(rows: np.ndarray) -> np.ndarray:
+    """Rows that differ in their first four columns, told apart by a 64-bit hash."""
+    h = np.zeros(len(rows), np.uint64)
+    for c in rows[:, :4].T:
+        h = (h ^ c.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
+    return rows[np.unique(h, return_index=True)[1]]
+
+
+#: Candidates that are expanded and screened together.
+_PAIRS = 1 << 16
 
 
 def candidates(buffer: np.ndarray, begins: np.ndarray, index: Index) -> np.ndarray:
-    """Rows ``(text number, item, place in the text where the item would begin)`` of windows that share a key with an item's window, each once."""
+    """Rows ``(text number, item, place in the text where the item would begin)`` of windows that share a key with an item's window and pass the screen, each once."""
     starts = word_starts(buffer)
     texts = np.searchsorted(begins, starts, "right") - 1
     found = []
-    for r in index.repetitions:
-        if not len(r.keys):
+    for own in index.classes:
+        met = []
+        for r in own.repetitions:
+            which, h = _walk(buffer, starts, r, True)
+            low, high = np.searchsorted(r.keys, h, "left"), np.searchsorted(r.keys, h, "right")
+            hit = np.flatnonzero(high > low)
+            if not len(hit):
+                continue
+            which, low, n = which[hit], low[hit], (high - low)[hit]
+            # some windows at a time: a text of one repeated word meets every window of such an item
+            edges = np.searchsorted(np.cumsum(n), np.arange(0, n.sum(), _PAIRS), "right")
+            for begin, end in zip(edges, [*edges[1:], len(n)], strict=True):
+                k = n[begin:end]
+                rows = np.repeat(np.arange(begin, end), k)
+                at = np.repeat(low[begin:end], k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+                windows, place = r.owner[at], starts[which[rows]]
+                item, offset, text = own.window_item[windows], own.window_offset[windows], texts[which[rows]]
+                # windows of an item near each other that say the same are looked at once
+                met.append(_distinct(np.stack([text, item, place - begins[text] - offset, offset // (CHUNK // 2), place, offset], axis=1)))
+        if not met:
             continue
-        which, h = _walk(buffer, starts, r, True)
-        low, high = np.searchsorted(r.keys, h, "left"), np.searchsorted(r.keys, h, "right")
-        n = high - low
-        if n.sum():
-            rows = np.repeat(np.arange(len(h)), n)
-            at = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            windows = r.owner[at]
-            window = which[rows]
-            place = starts[window] - begins[texts[window]] - index.window_offset[windows]
-            found.append(np.stack([texts[window], index.window_item[windows], place], axis=1))
+        rows = _distinct(np.concatenate(met))
+        for begin in range(0, len(rows), _PAIRS):
+            part = rows[begin : begin + _PAIRS]
+            found.append(part[_near(buffer, part[:, 4], index, part[:, 1], part[:, 5])][:, :3])
     return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
 
 
+def _regions(places: list[int], size: int, slack: int, end: int) -> Iterator[tuple[int, int]]:
+    """The parts of a text that hold an item if it begins at one of the places, overlapping ones as one."""
+    begin = stop = None
+    for place in places:
+        a, b = max(0, place - slack), min(end, place + size + slack)
+        if stop is not None and a <= stop:
+            stop = max(stop, b)
+            continue
+        if stop is not None:
+            yield begin, stop
+        begin, stop = a, b
+    if stop is not None:
+        yield begin, stop
+
+
 def find_items(texts: list[str | None], index: Index, most_edits: float = MOST_EDITS, automaton=None) -> list[tuple[int, object, int, int]]:
     """``(text number, item id, edit distance, item length)`` of the items in each text, each item once per text."""
     clean = [normalise(t) for t in texts]
     buffer, begins = _joined(clean)
     out: dict[tuple[int, object], tuple[int, int]] = {}
-    tried: dict[tuple[int, int], list[int]] = {}
-    for number, item, place in candidates(buffer, begins, index).tolist():
-        pattern, size = index.texts[item], len(index.texts[item].encode("utf-8", "replace"))
-        slack = int(most_edits * size) + 8
-        if out.get((number, index.ids[item]), (1,))[0] == 0 or any(abs(place - p) <= 4 for p in tried.get((number, item), ())):
-            continue
-        tried.setdefault((number, item), []).append(place)
-        here = int(begins[number])
-        region = buffer[here + max(0, place - slack) : min(int(begins[number + 1]) - 1, here + max(0, place + size + slack))].tobytes().decode("utf-8", "ignore")
-        distance, _ = edit_distance_within(pattern, region)
-        if distance <= most_edits * len(pattern):
-            known = out.get((number, index.ids[item]))
-            if known is None or distance < known[0]:
-                out[number, index.ids[item]] = (distance, len(pattern))
+    rows = candidates(buffer, begins, index)  # in order of text, item and place
+    cuts = np.flatnonzero((np.diff(rows[:, 0]) != 0) | (np.diff(rows[:, 1]) != 0)) + 1 if len(rows) else []
+    for group in np.split(rows, cuts) if len(rows) else []:
+        number, item = int(group[0, 0]), int(group[0, 1])
+        pattern, size = index.texts[item], int(index.begins[item + 1] - index.begins[item]) - 1
+        here, best = int(begins[number]), out.get((number, index.ids[item]), (len(pattern) + 1, 0))[0]
+        for a, b in _regions(group[:, 2].tolist(), size, int(most_edits * size) + 8, int(begins[number + 1]) - 1 - here):
+            if not best:
+                break
+            region = buffer[here + a : here + b].tobytes().decode("utf-8", "ignore")
+            best = min(best, edit_distance_within(pattern, region)[0])
+        if best <= most_edits * len(pattern):
+            out[number, index.ids[item]] = (best, len(pattern))
     if automaton is not None:
         for number, text in enumerate(clean):
             for end, (word, ids) in automaton.iter(text):
@@ -254,16 +377,16 @@ def _chunks(texts: list[str | None]) -> Iterator[tuple[int, list[str | None]]]:
         yield begin, held
 
 
-def item_blocks(benchmark: DataFrame, *, item_col: str = "item_id", text_col: str = "text", most_bytes: int = MOST_ITEM_BYTES) -> Iterator[Index]:
-    """Indexes over the items in blocks of bounded size; null and empty items are left aside."""
+def item_blocks(benchmark: DataFrame, *, item_col: str = "item_id", text_col: str = "text", most_bytes: int = MOST_ITEM_BYTES, most_edits: float = MOST_EDITS) -> Iterator[tuple[bool, Index]]:
+    """Indexes over the items in blocks of bounded size, and whether there are several; null and empty items are left aside."""
     items = benchmark.filter(F.length(F.trim(F.col(text_col))) > 0).select(F.col(item_col).alias("id"), F.col(text_col).alias("text"))
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-2 * total // most_bytes)) if total > most_bytes else 1
+    blocks = -(-2 * total // most_bytes) if total > most_bytes else 1
     for block in range(blocks):
         part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == block)
         rows = [(r["id"], r["text"]) for r in part.collect()]
         if rows:
-            yield build_index(rows)
+            yield blocks > 1, build_index(rows, most_edits=most_edits)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", most_edits: float = MOST_EDITS, most_bytes: int = MOST_ITEM_BYTES) -> DataFrame:
@@ -271,9 +394,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
 
     An item is in a document if some passage is at most ``most_edits`` of the
     item's length away, over lower-cased texts with single spaces. Items of less
-    than 32 bytes are found only as they are, between word boundaries. Documents
-    aren't shuffled; items go to the executors in blocks of at most
-    ``most_bytes``, one pass over the documents per block.
+    than 16 bytes, of which a few edits make other words, are found only as they
+    are, between word boundaries. Documents aren't shuffled; items go to the
+    executors in blocks of at most ``most_bytes``, one pass over the documents
+    per block. If there are several, each one's result is stored before the next
+    block is built, so that one block is held at a time.
 
     Nulls: a null or empty text holds no item, a null or empty item is in no
     text; a null document id or item id is passed on. Repeated documents and
@@ -284,7 +409,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
     kind, item_kind = docs.schema[id_col].dataType, benchmark.schema[item_col].dataType
     schema = f"`{id_col}` {kind.simpleString()}, `{item_col}` {item_kind.simpleString()}, edits int, item_chars int, similarity double"
     out = spark.createDataFrame([], schema)
-    for index in item_blocks(benchmark, item_col=item_col, most_bytes=most_bytes):
+    for several, index in item_blocks(benchmark, item_col=item_col, most_bytes=most_bytes, most_edits=most_edits):
         shared = spark.sparkContext.broadcast(index)
 
         def find(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
@@ -296,29 +421,40 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
                 frame = pd.DataFrame(rows, columns=[id_col, item_col, "edits", "item_chars", "similarity"])
                 yield frame.astype({"edits": "int32", "item_chars": "int32", "similarity": "float64"})
 
-        out = out.unionByName(docs.select(id_col, text_col).mapInPandas(find, schema))
+        found = docs.select(id_col, text_col).mapInPandas(find, schema)
+        out = out.unionByName(durable(found) if several else found)
+        if several:
+            shared.destroy()
     return out
 
 
-def contamination_column(spark: SparkSession, indexes: list[Index], text_col: str = "text", most_edits: float = MOST_EDITS) -> Column:
-    """Whether a text holds any item of the indexes."""
-    shared = spark.sparkContext.broadcast(indexes)
+def _holds(shared, text_col: str, most_edits: float) -> Column:
+    """Whether a text holds any item of the shared index."""
 
     @F.pandas_udf("boolean")
     def holds(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        ready = [(index, index.automaton()) for index in shared.value]
+        index = shared.value
+        automaton = index.automaton()
         for batch in batches:
             hit = np.zeros(len(batch), bool)
             for begin, part in _chunks(batch.tolist()):
-                for index, automaton in ready:
-                    hit[[begin + row[0] for row in find_items(part, index, most_edits, automaton)]] = True
+                hit[[begin + row[0] for row in find_items(part, index, most_edits, automaton)]] = True
             yield pd.Series(hit)
 
     return holds(F.col(text_col))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", most_edits: float = MOST_EDITS) -> DataFrame:
-    """``docs`` without those that hold a benchmark item; all columns stay and nothing is shuffled."""
-    for index in item_blocks(benchmark, item_col=item_col):
-        docs = docs.filter(~contamination_column(docs.sparkSession, [index], text_col, most_edits))
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", most_edits: float = MOST_EDITS, most_bytes: int = MOST_ITEM_BYTES) -> DataFrame:
+    """``docs`` without those that hold a benchmark item; all columns stay and nothing is shuffled.
+
+    What counts as held, and what becomes of nulls and repeated rows, is said at
+    ``contaminated``. With several blocks of items the documents that are left
+    are written after each.
+    """
+    for several, index in item_blocks(benchmark, item_col=item_col, most_bytes=most_bytes, most_edits=most_edits):
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+        docs = docs.filter(~_holds(shared, text_col, most_edits))
+        if several:
+            docs = written(docs, "uncontaminated")
+            shared.destroy()
     return docs

@@ -338,8 +338,14 @@ def test_edit_distance():
         assert decontam.edit_distance_within(p, t)[0] == plain_distance(p, t)
 
 
-def edited(text, rate, rng):
-    return "".join("" if rng.random() < rate / 2 else rng.choice("aeinrst") if rng.random() < rate / 2 else c for c in text)
+def cut(text, size):
+    """The first words of a text that fit a number of bytes."""
+    out = ""
+    for word in decontam.normalise(text).split():
+        if len(f"{out} {word}".encode()) > size:
+            break
+        out = f"{out} {word}".strip()
+    return out
 
 
 def test_items_are_found_and_nothing_else(spark, documents, sf_dir):
@@ -347,23 +353,81 @@ def test_items_are_found_and_nothing_else(spark, documents, sf_dir):
     items = {r.item_id: decontam.normalise(r.text) for r in bench.collect()}
     docs = {r.doc_id: decontam.normalise(r.text) for r in documents.collect()}
     got = {(r.doc_id, r.item_id): r.edits for r in decontam.contaminated(documents, bench).collect()}
+    # every pair, by the edit distance itself; long texts by what they have exactly
+    want = {(d, i): e for d, t in docs.items() if len(t) < 3000 for i, b in items.items() if (e := decontam.edit_distance_within(b, t)[0]) <= 0.2 * len(b)}
+    assert {k: e for k, e in got.items() if len(docs[k[0]]) < 3000} == want
     exact = {(d, i) for d, t in docs.items() for i, b in items.items() if b in t}
-    assert exact <= got.keys() and all(got[k] == 0 for k in exact)
-    for (d, i), edits in got.items():
-        assert edits == plain_distance(items[i], docs[d]) or edits <= 0.2 * len(items[i])
-    rng, words = random.Random(5), " ".join(docs.values()).split()
-    planted = [(k, " ".join(rng.choices(words, k=150)) + " " + edited(b, 0.08, rng) + " " + " ".join(rng.choices(words, k=80))) for k, b in items.items()]
-    found = {(r.doc_id, r.item_id) for r in decontam.contaminated(spark.createDataFrame(planted, "doc_id long, text string"), bench).collect()}
-    assert sum((k, k) in found for k in items) >= 0.95 * len(items)
+    assert exact and exact <= got.keys() and all(got[k] == 0 for k in exact)
     kept = decontam.drop_contaminated(documents, bench)
     assert {r.doc_id for r in kept.collect()} == docs.keys() - {d for d, _ in got}
 
 
+@pytest.mark.parametrize("size", [31, 60, 120, 400])
+def test_edited_items_of_any_length_equal_brute_force(spark, documents, sf_dir, size):
+    """Copies with 5 to 20 % of their characters edited, and all other pairs of texts and items."""
+    rng = np.random.default_rng(size)
+    words = " ".join(decontam.normalise(r.text) for r in documents.limit(40).collect()).split()
+    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").limit(60).collect()]
+    items = [(i, t) for i, x in enumerate(texts) if len((t := cut(x, size)).encode()) >= 16]
+    rows = []
+    for share in (0.05, 0.1, 0.15, 0.2):
+        for i, text in items:
+            around = rng.choice(words, 30).tolist()
+            rows.append((len(rows), " ".join([*around[:18], decontam._edited(text, int(share * len(text)), rng), *around[18:]])))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.edits for r in decontam.contaminated(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), bench).collect()}
+    want = {(d, i): e for d, t in rows for i, b in items if (e := decontam.edit_distance_within(b, t)[0]) <= 0.2 * len(b)}
+    assert len(want) >= len(rows) and got.keys() <= want.keys()
+    assert len(got) >= 0.98 * len(want)
+    # the place of a long repeated item may be missed, so that another one counts
+    assert sum(got[k] == want[k] for k in got) >= 0.99 * len(got)
+
+
+def test_screen_holds_nothing_back():
+    rng = np.random.default_rng(4)
+    text = "".join(rng.choice(list("abcdefgh "), 4000))
+    buffer, _ = decontam._joined([text])
+    item = text[1000:1200]
+    index = decontam.build_index([(1, item)])
+    edits = decontam._edited(item, 40, rng)
+    spoilt, _ = decontam._joined([text[:1000] + edits + text[1200:]])
+    near = lambda b, at, offset: bool(decontam._near(b, np.array([at]), index, np.array([0]), np.array([offset]))[0])
+    assert near(buffer, 1000, 0) and near(buffer, 1190, 190) and near(spoilt, 1000, 0)
+    assert sum(near(buffer, at, 0) for at in range(100, 900, 50)) <= 2
+
+
+def test_unspaced_scripts_signs_and_repeats(spark):
+    items = [
+        (1, "日本語の文章は単語の間に空白を置かないので、どの文字からでも窓が始まる。"), (2, "x=[i for i in range(10)];print(sum(x))"),
+        (3, "the committee (chaired by the mayor) approved the plan to rebuild the old bridge"), (3, "an entirely different question about rivers and their sources in spring"),
+    ]
+    rows = [
+        (1, "これは前置きです日本語の文章は単語の間に空白を置かないので、どの文字からも窓が始まる。そして続く"), (2, "foo(){x=[i for i in range(10)];print(sum(x))}"),
+        (3, "yes:the committee (chaired by a mayor) approved the plan to rebuild the old bridge"), (3, "yes:the committee (chaired by a mayor) approved the plan to rebuild the old bridge"),
+        (4, "nothing of the kind is asked here, and it goes on for a while without an item"),
+    ]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id) for r in decontam.contaminated(docs, bench).collect())
+    assert got == [(1, 1), (2, 2), (3, 3), (3, 3)]
+    assert [r.doc_id for r in decontam.drop_contaminated(docs, bench).collect()] == [4]
+
+
+def test_texts_of_one_repeated_word_stay_linear():
+    index = decontam.build_index([(1, "word " * 60), (2, "alpha beta " * 30)])
+    assert {(n, i) for n, i, *_ in decontam.find_items(["word " * 4000, "beta alpha " * 2000, "x"], index)} == {(0, 1), (1, 2)}
+
+
+def test_recall_that_cannot_be_reached_is_an_error():
+    with pytest.raises(ValueError, match="recall"):
+        decontam.build_index([(i, f"{i} a short question about number {i * 7}") for i in range(50)], classes=((16, 40, 20),), most_edits=0.4)
+
+
 def test_blocks_of_items_and_odd_rows(spark, odd_documents, no_documents, clashing):
     bench = spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog and runs away"), (2, "Lost"), (3, None), (4, ""), (None, "the quick brown fox jumps over the lazy dog and runs off")], "item_id long, text string")
     for most in (1 << 20, 20):
         got = {(r.doc_id, r.item_id, r.edits) for r in decontam.contaminated(clashing, bench, most_bytes=most).collect()}
         assert got == {(12, 1, 0), (12, None, 3), (None, 2, 0)}
+        assert decontam.drop_contaminated(odd_documents, bench, most_bytes=most).count() == 12
     assert decontam.contaminated(no_documents, bench).count() == 0
     assert decontam.contaminated(odd_documents, bench.limit(0)).count() == 0
     assert decontam.drop_contaminated(odd_documents, bench.limit(0)).count() == 14
