@@ -143,7 +143,10 @@ def shard_documents(docs: DataFrame, k: int = 24, *, id_col: str = "doc_id", tex
     docs = docs.select(*[docs[f"`{c}`"] for c in docs.columns if c.lower() not in ("size", "text_crc32", "law", "shard", "slot", "grown_shard")])
     text = text_or_empty(text_col)
     sized = with_columns(docs, __key=F.md5(text.cast("binary")), size=F.octet_length(text).cast("long") + F.lit(8))
-    groups = durable(sized.groupBy(F.col("__key").alias("key")).agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n_rows")))
+    order = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    # what the search and the numbering need of a row; texts are read again only to be dealt out
+    narrow = durable(sized.select("__key", "size", order.alias("__order")))
+    groups = durable(narrow.groupBy(F.col("__key").alias("key")).agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n_rows")))
     total, rows = groups.agg(F.sum("size"), F.sum("n_rows")).first()
     alone, _, shards = _lead(groups, k, total or 0)
     rest = groups.filter(~F.col("key").isin([key for key, _ in alone])) if alone else groups
@@ -159,10 +162,9 @@ def shard_documents(docs: DataFrame, k: int = 24, *, id_col: str = "doc_id", tex
     digits = 1
     while digits < 8 and (rows or 0) / k / 16**digits > 4096:
         digits += 1
-    order = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
     dealt = with_columns(sized, text_crc32=F.crc32(text.cast("binary")), law=F.lit("bytes"), shard=shard.cast("int"), __order=order)
     dealt = dealt.withColumn("__chunk", F.substring("__order", 1, digits))
-    keyed = with_columns(docs, __key=F.md5(text.cast("binary")), __chunk=F.substring(order, 1, digits)).select(shard.cast("int").alias("__s"), F.col("__chunk").alias("__c"))
+    keyed = narrow.select(shard.cast("int").alias("__s"), F.substring("__order", 1, digits).alias("__c"))
     counts = keyed.groupBy("__s", "__c").agg(F.count(F.lit(1)).alias("__n"))
     before = F.sum("__n").over(Window.partitionBy("__s").orderBy("__c")) - F.col("__n")
     # one row for each shard and chunk: a 4096th of the documents at most
