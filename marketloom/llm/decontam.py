@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm._shared import durable, written
+from marketloom.llm._shared import discarded, durable, written
 
 #: Length classes: bytes from which an item belongs to it, steps of its walks and positions that a key samples.
 CLASSES = ((16, 16, 9), (32, 24, 12), (64, 32, 12))
@@ -451,10 +451,14 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str =
     ``contaminated``. With several blocks of items the documents that are left
     are written after each.
     """
+    spark, path = docs.sparkSession, None
     for several, index in item_blocks(benchmark, item_col=item_col, most_bytes=most_bytes, most_edits=most_edits):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+        shared = spark.sparkContext.broadcast(index)
         docs = docs.filter(~_holds(shared, text_col, most_edits))
         if several:
-            docs = written(docs, "uncontaminated")
+            before = path
+            docs, path = written(docs, "uncontaminated")
             shared.destroy()
+            if before:
+                discarded(spark, before)
     return docs

@@ -1,11 +1,15 @@
-"""Documents whose sets of word runs are similar: an exact join by prefixes.
+"""Near-dedup by SimHash with an exact similarity: five-word shingles, Jaccard 0.8.
 
 Two documents link if the Jaccard similarity of their sets of five-word shingles
-is at least 0.8. All sets are put into one order; two similar sets of n and m
-shingles share one among the first n - ceil(0.8 n) + 1 of the one and of the
-other. Only these prefixes are shuffled. The sets of documents that meet are
-compared by bitmaps, whose differing bits are no more than the differing shingles
-and rule out most pairs, and the rest as a whole. No link is lost.
+is at least 0.8. SimHash fingerprints of the sets and the Golay-code fuzzy keys of
+``simhash`` bring the close ones together; a pair counts only if its sets are
+similar. Sets of similarity 0.8 differ in some ten of 64 bits, beyond what keys of
+three bits promise, so a join by prefixes finds the links that are left: all sets
+are put into one order, and two similar sets of n and m shingles share one among
+the first n - ceil(0.8 n) + 1 of the one and of the other. Only these prefixes are
+shuffled. The sets of documents that meet are compared by bitmaps, whose differing
+bits are no more than the differing shingles and rule out most pairs, and the rest
+as a whole. No link is lost.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.llm._shared import durable
-from marketloom.llm.simhash import connected_components, keep_least, shingles, with_components
+from marketloom.llm.simhash import connected_components, fingerprint_of, keep_least, links, shingles, with_components
 
 #: Words of a shingle and the similarity of a link.
 WORDS, SIMILARITY = 5, 0.8
@@ -57,20 +61,22 @@ def least_difference(x: np.ndarray, y: np.ndarray) -> int:
 
 
 def _described(words: int):
-    """Ids with the digests of their sets; the first of each in a task also has size and bitmap."""
+    """Ids with the digests of their sets; the first of each in a task also has size, bitmap and fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for piece in batches:
-            prints, sizes, maps = [], [], []
+            digests, sizes, maps, prints = [], [], [], []
             for text in piece.column(1).to_pylist():
                 own = shingle_set(text, words)
-                prints.append(set_digest(own))
-                new = len(own) > 0 and prints[-1] not in seen
-                seen.add(prints[-1])
+                digests.append(set_digest(own))
+                new = len(own) > 0 and digests[-1] not in seen
+                seen.add(digests[-1])
                 sizes.append(len(own) if new else None)
                 maps.append(parity_bitmap(own).tobytes() if new else None)
-            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(prints, pa.int64()), pa.array(sizes, pa.int32()), pa.array(maps, pa.binary())], names=["id", "fp", "size", "bitmap"])
+                prints.append(int(np.uint64(fingerprint_of(own)).view(np.int64)) if new else None)
+            columns = [piece.column(0), pa.array(digests, pa.int64()), pa.array(sizes, pa.int32()), pa.array(maps, pa.binary()), pa.array(prints, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "fp", "size", "bitmap", "print"])
 
     return run
 
@@ -265,11 +271,25 @@ def _similar(pairs: DataFrame, maps: DataFrame, docs: DataFrame, words: int, lea
     return durable(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verified(least), "a long, b long"))
 
 
+def fuzzy_pairs(maps: DataFrame) -> DataFrame:
+    """Candidate pairs ``(a, b)`` of sets whose fingerprints are three bits or fewer apart, for ``maps(fp, print)``.
+
+    Sets of one fingerprint are paired with the smallest of them, and the smallest
+    sets of fingerprints that share a fuzzy key with each other.
+    """
+    own = durable(maps.groupBy(F.col("print").alias("fp")).agg(F.min("fp").alias("least")))
+    least = lambda c: own.select(F.col("fp").alias(c), F.col("least").alias(f"set_{c}"))
+    same = maps.join(least("print"), "print").filter("fp <> set_print").select(F.col("set_print").alias("a"), F.col("fp").alias("b"))
+    near = links(own).join(least("a"), "a").join(least("b"), "b").select(F.col("set_a").alias("a"), F.col("set_b").alias("b"))
+    return same.unionByName(near)
+
+
 def similar_links(plain: DataFrame, maps: DataFrame, *, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """Links ``(a, b)`` that connect all shingle sets of at least the similarity, of the texts ``plain(text)`` described by ``maps(fp, size, bitmap)``.
+    """Links ``(a, b)`` that connect all shingle sets of at least the similarity, of the texts ``plain(text)`` described by ``maps(fp, size, bitmap, print)``.
 
-    First the sets next to each other (by size) under a shared shingle are
-    compared; then all that meet and aren't connected yet. The sample of frequent
+    First the pairs that fuzzy hashing brings together and the sets next to each
+    other (by size) under a shared shingle are compared; then all that meet and
+    aren't connected yet. The sample of frequent
     shingles only settles the order: any order finds all links.
     """
     least = Fraction(str(similarity))
@@ -282,7 +302,8 @@ def similar_links(plain: DataFrame, maps: DataFrame, *, words: int = WORDS, simi
     keyed = plain.mapInArrow(_prefixes(words, least, frequent), "token long, fp long, size int, place int")
     met = durable(keyed.repartition("token").sortWithinPartitions("token", "size", "fp").mapInArrow(_meetings(least), "token long, fp long, size int, place int, before long"))
 
-    tried = durable(met.filter("before IS NOT NULL").select(F.least("before", "fp").alias("a"), F.greatest("before", "fp").alias("b")).distinct())
+    close = met.filter("before IS NOT NULL").select(F.col("before").alias("a"), F.col("fp").alias("b")).unionByName(fuzzy_pairs(maps))
+    tried = durable(close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     found = _similar(tried, maps, plain, words, least)
     members = durable(connected_components(found))
     named = met.join(members, met["fp"] == members["node"], "left").select("token", "fp", "size", "place", F.coalesce("component", "fp").alias("component"))
@@ -298,8 +319,8 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     one. Repeated and missing ids are treated as in ``simhash.near_duplicates``.
     """
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    known = durable(texts.mapInArrow(_described(words), f"id {docs.schema[id_col].dataType.simpleString()}, fp long, size int, bitmap binary"))
-    rows, maps = known.select("id", "fp"), durable(known.filter("size IS NOT NULL").select("fp", "size", "bitmap").dropDuplicates(["fp"]))
+    known = durable(texts.mapInArrow(_described(words), f"id {docs.schema[id_col].dataType.simpleString()}, fp long, size int, bitmap binary, print long"))
+    rows, maps = known.select("id", "fp"), durable(known.filter("size IS NOT NULL").select("fp", "size", "bitmap", "print").dropDuplicates(["fp"]))
     classes = durable(rows.groupBy("fp").agg(F.min("id").alias("first_id")))
     found = similar_links(texts.select("text"), maps, words=words, similarity=similarity)
     return with_components(rows, classes, found).select(F.col("id").alias(id_col), "component_id")

@@ -6,8 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
-from marketloom.llm import decontam, exact_dedup, html_text, mixing, pii, quality, sharding, simhash, token_count, url_filter
+from marketloom.llm import decontam, exact_dedup, html_text, mixing, pii, pipeline as stages, quality, sharding, simhash, token_count, url_filter
 from marketloom.llm._shared import spread
 from marketloom.llm.queries_sql import ORACLES
 
@@ -64,7 +63,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus_pipeline.run(spark, sf_dir)
+    return stages.run(spark, sf_dir)
 
 
 QUERIES: dict[str, Query] = {

@@ -49,8 +49,12 @@ def shingles(text: str | None, words: int = 3, seed: int = 42) -> np.ndarray:
 
 
 def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
-    """The fingerprint of one text: a bit is set if over half of the shingles' XXH64 have it set."""
-    hashes = shingles(text, words, seed)
+    """The fingerprint of one text, of its shingles with repeats."""
+    return fingerprint_of(shingles(text, words, seed))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The fingerprint of some shingles: a bit is set if over half of their XXH64 have it set."""
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 1 << 14):  # bounded memory for long texts
         block = hashes[at : at + (1 << 14)]

@@ -10,8 +10,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-from marketloom.llm import exact_dedup, mixing, quality, sharding, simhash
+from marketloom.llm import exact_dedup, mixing, pipeline, quality, sharding, simhash
+from test_near_copies import plain_components as plain_near_copies
 
 
 # --- mixing -----------------------------------------------------------------
@@ -42,12 +42,26 @@ def test_mixing_equals_plain_inversion(documents, most):
     assert +want == got and len({(r.doc_id, r.copy_no) for r in mixed}) == len(mixed)
 
 
-def test_poisson_distribution(spark):
-    for rate in (0.0, 0.3, 4.0, 900.0):
-        cdf = spark.range(1).select(mixing.poisson_distribution(F.lit(rate)).alias("c")).first().c
-        k = np.arange(len(cdf))
-        want = np.cumsum(np.exp(-rate + k * np.log(rate) - np.array([math.lgamma(x + 1) for x in k]))) if rate else [1.0]
-        assert cdf == pytest.approx(list(want), abs=1e-9) and cdf[-1] == pytest.approx(1.0, abs=1e-9)
+def test_poisson_tables(spark):
+    rates = [0.0, 0.3, 4.0, 900.0, 20_000.0, 1e6]
+    df = spark.createDataFrame([(str(r), r) for r in rates], "source string, mix_rate double")
+    for row in mixing.poisson_tables(df).collect():
+        rate, k = row.mix_rate, row.first_count + np.arange(len(row.cdf))
+        want = np.cumsum(np.exp(-rate + k * np.log(rate) - np.array([math.lgamma(x + 1) for x in k]))) if rate else np.ones(len(k))
+        assert np.abs(np.array(row.cdf) - want).max() < 1e-7 and (np.diff(row.cdf) >= 0).all() and row.cdf[-1] == 1.0
+        assert len(k) < 25 * math.sqrt(rate) + 70 and abs(want[-1] - 1) < 1e-7
+
+
+def test_places_in_a_table(spark):
+    table = [0.1, 0.1, 0.25, 0.7, 1.0]
+    for u, n in ((0.0, 0), (0.1, 2), (0.2, 2), (0.25, 3), (0.69, 3), (0.999, 4)):
+        row = spark.range(1).select(mixing.place_in(F.array(*map(F.lit, table)), F.lit(u)).alias("n"), mixing.place_in(F.array(F.lit(1.0)), F.lit(u)).alias("one")).first()
+        assert (row.n, row.one) == (n, 0)
+
+
+def test_large_rates_are_drawn_in_seconds(spark):
+    docs = spark.createDataFrame([(1, "tiny", "small")], "doc_id long, text string, source string")
+    assert abs(mixing.mix_sources(docs, {"small": 1.0}, budget=4_000_000).count() - 1_000_000) < 6_000
 
 
 def test_weights_are_reached(spark):
@@ -287,12 +301,12 @@ def test_one_of_each_group_stays(documents, odd_documents):
 
 
 def test_pipeline_equals_its_stages(spark, sf_dir):
-    got = corpus_pipeline.run(spark, sf_dir).collect()
+    got = pipeline.run(spark, sf_dir).collect()
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     good = quality.classify(docs, quality.train(docs, labels)).filter("predicted = 1").select(*docs.columns)
     rows = good.collect()
-    first = {c for _, _, c in plain_components(rows)}
+    first = {c for _, c in plain_near_copies(rows)}  # by the similarity of all pairs
     items = [" ".join(r.text.lower().split()) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     kept = [r for r in rows if r.doc_id in first and not any(b in " ".join(r.text.lower().split()) for b in items)]
     assert {r.doc_id for r in got} <= {r.doc_id for r in kept}
@@ -306,9 +320,31 @@ def test_pipeline_equals_its_stages(spark, sf_dir):
     assert all(r.shard == shards[hashlib.md5(r.text.encode()).hexdigest()] for r in got)
 
 
-@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
-def test_stages_on_odd_documents(spark, sf_dir, odd_documents, no_documents, name, stage):
-    out = stage(spark, odd_documents, sf_dir)
-    assert out.columns[:5] == odd_documents.columns if name == "shard" else out.columns == odd_documents.columns
-    assert {(r.doc_id, r.text) for r in out.collect()} <= {(r.doc_id, r.text) for r in odd_documents.collect()}
+@pytest.mark.parametrize("name,stage", pipeline.STAGES)
+def test_stages_on_odd_documents(spark, sf_dir, odd_documents, clashing, no_documents, name, stage):
+    for table in (odd_documents, clashing):
+        out = stage(spark, table, sf_dir)
+        added = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"] if name == "shard" else []
+        assert out.columns == [c for c in table.columns if c.lower() not in added] + added
+        assert {(r.doc_id, r.text) for r in out.collect()} <= {(r.doc_id, r.text) for r in odd_documents.collect()}
     assert stage(spark, no_documents, sf_dir).count() == 0
+
+
+def test_repeated_rows_in_stages(spark, sf_dir, odd_documents):
+    """What becomes of nulls and repeats, as the stages' docstrings say."""
+    stages = dict(pipeline.STAGES)
+    ids = lambda df: Counter(r.doc_id for r in df.collect())
+    assert ids(stages["near_dedup"](spark, odd_documents, sf_dir))[10] <= 1 and ids(stages["near_dedup"](spark, odd_documents, sf_dir))[None] == 1
+    assert ids(stages["decontaminate"](spark, odd_documents, sf_dir)) == ids(odd_documents)
+    assert ids(stages["shard"](spark, odd_documents, sf_dir)) == ids(odd_documents)
+    assert ids(stages["mix"](spark, odd_documents, sf_dir))[10] % 2 == 0
+    kept = ids(stages["quality"](spark, odd_documents, sf_dir))
+    assert kept[10] in (0, 2)
+
+
+def test_stage_tables_are_cleared(spark, sf_dir, tmp_path, monkeypatch):
+    from marketloom.llm import _shared
+
+    monkeypatch.setattr(_shared, "shared_dir", lambda _: str(tmp_path))
+    assert pipeline.run(spark, sf_dir).count() > 0
+    assert [p.name.split("-")[0] for p in tmp_path.iterdir()] == ["mix"]

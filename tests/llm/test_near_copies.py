@@ -7,8 +7,7 @@ from fractions import Fraction
 import pytest
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-from marketloom.llm import near_copies, simhash
+from marketloom.llm import near_copies, pipeline, simhash
 
 
 def plain_set(text):
@@ -79,7 +78,7 @@ def test_stage_drops_copies_far_apart_in_bits(spark, sf_dir, edited):
     """Pairs of similarity 0.8 that differ in more than three bits: both stayed before."""
     docs = edited.select("doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.char_length("text").cast("long").alias("n_chars"))
     least = {c for _, c in plain_components(edited.collect())}
-    got = [r.doc_id for r in corpus_pipeline.keep_one_of_near_copies(spark, docs, sf_dir).collect()]
+    got = [r.doc_id for r in pipeline.keep_one_of_near_copies(spark, docs, sf_dir).collect()]
     assert sorted(got) == sorted(least)
     assert simhash.drop_near_duplicates(docs).count() > len(least)
 
