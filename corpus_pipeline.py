@@ -1,60 +1,5 @@
-"""A corpus pipeline: from raw documents to shards of a training mixture.
+"""The corpus pipeline: ``STAGES``, ``run`` and ``ORACLE_SQL`` of ``marketloom.llm.pipeline``."""
 
-Each stage takes all documents that its predecessor kept and returns documents
-again; the last one adds the shards. Between stages the documents are written as
-Parquet into the shared checkpoint folder and read again.
-"""
+from marketloom.llm.pipeline import ORACLE_SQL, STAGES, keep_good, keep_one_of_near_copies, keep_uncontaminated, mix, run, shard
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-
-from marketloom.llm import decontam, mixing, near_copies, quality, sharding
-from marketloom.llm._shared import spread, written
-
-
-def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject."""
-    docs = spread(docs)
-    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.classify(docs, model).filter("predicted = 1").select(*docs.columns)
-
-
-def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, similarity 0.8."""
-    return near_copies.drop_similar(spread(docs))
-
-
-def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    return decontam.drop_contaminated(spread(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-
-
-def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated to the sources' target weights, in random order."""
-    return mixing.mix_sources(docs).select(*docs.columns)
-
-
-def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows with their shard and slot."""
-    return sharding.shard_documents(docs)
-
-
-STAGES = [
-    ("quality", keep_good),
-    ("near_dedup", keep_one_of_near_copies),
-    ("decontaminate", keep_uncontaminated),
-    ("mix", mix),
-    ("shard", shard),
-]
-
-#: SQL can express neither the classifier nor the similarity.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to the documents of a folder."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "keep_good", "keep_one_of_near_copies", "keep_uncontaminated", "mix", "run", "shard"]
