@@ -60,44 +60,82 @@ def least_difference(x: np.ndarray, y: np.ndarray) -> int:
     return int(np.bitwise_count(x ^ y).sum(dtype=np.int64))
 
 
-def _described(words: int):
-    """Ids with the digests of their sets; the first of each in a task also has size, bitmap and fingerprint."""
+#: Texts that a task looks at together.
+_TEXTS = 512
+
+
+def _slices(piece: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[str | None]]]:
+    """The texts of a batch, some at a time."""
+    for at in range(0, piece.num_rows, _TEXTS):
+        yield at, piece.column(column).slice(at, _TEXTS).to_pylist()
+
+
+def _new_sets(texts: list[str | None], words: int, known: dict[tuple[int, int], int], seen: set[int]) -> Iterator[tuple[int, np.ndarray | None]]:
+    """The digest of each text's set, and the set where the task sees it first; copies of a text aren't cut again."""
+    for text in texts:
+        text = text or ""
+        same = (hash(text), len(text))
+        fp = known.get(same)
+        if fp is None:
+            own = shingle_set(text, words)
+            fp = known[same] = set_digest(own)
+            if len(own) and fp not in seen:
+                seen.add(fp)
+                yield fp, own
+                continue
+        yield fp, None
+
+
+def prefix_size(n: int, least: Fraction) -> int:
+    """How many of the first shingles of a set of ``n`` a similar set must meet."""
+    return n + 1 - -(-least.numerator * n // least.denominator)
+
+
+def _described(words: int, least: Fraction, frequent):
+    """Ids with the digests of their sets; the first of each in a task also has size, bitmap, fingerprint and prefix."""
+
+    def prefix(own: np.ndarray) -> np.ndarray:
+        known, rank = frequent.value  # sorted shingles and how frequent each is
+        often = np.zeros(len(own), np.int64)
+        if len(known):
+            at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+            often = np.where(known[at] == own, rank[at], 0)
+        return own[np.argsort(often, kind="stable")[: prefix_size(len(own), least)]].view(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        known, seen = {}, set()
         for piece in batches:
-            digests, sizes, maps, prints = [], [], [], []
-            for text in piece.column(1).to_pylist():
-                own = shingle_set(text, words)
-                digests.append(set_digest(own))
-                new = len(own) > 0 and digests[-1] not in seen
-                seen.add(digests[-1])
-                sizes.append(len(own) if new else None)
-                maps.append(parity_bitmap(own).tobytes() if new else None)
-                prints.append(int(np.uint64(fingerprint_of(own)).view(np.int64)) if new else None)
-            columns = [piece.column(0), pa.array(digests, pa.int64()), pa.array(sizes, pa.int32()), pa.array(maps, pa.binary()), pa.array(prints, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "fp", "size", "bitmap", "print"])
+            for at, texts in _slices(piece, 2):
+                rows = []
+                for fp, own in _new_sets(texts, words, known, seen):
+                    if own is None:
+                        rows.append((fp, None, None, None, None))
+                    else:
+                        bits = int(np.uint64(fingerprint_of(own)).view(np.int64))
+                        rows.append((fp, len(own), parity_bitmap(own).tobytes(), bits, prefix(own)))
+                kinds = (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.list_(pa.int64()))
+                columns = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
+                ids = [c.slice(at, len(texts)) for c in piece.columns[:2]]
+                yield pa.RecordBatch.from_arrays([*ids, *columns], names=["id", "key", "fp", "size", "bitmap", "print", "prefix"])
 
     return run
 
 
 def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[list[tuple[int, np.ndarray]]]:
     """The sets of a task's texts with their digests, each once, some at a time."""
-    seen: set[int] = set()
+    known, seen = {}, set()
     for piece in batches:
-        held, size = [], 0
-        for text in piece.column(piece.num_columns - 1).to_pylist():
-            own = shingle_set(text, words)
-            fp = set_digest(own)
-            if len(own) and fp not in seen:
-                seen.add(fp)
-                held.append((fp, own))
-                size += len(own)
+        for _, texts in _slices(piece, piece.num_columns - 1):
+            held, size = [], 0
+            for fp, own in _new_sets(texts, words, known, seen):
+                if own is not None:
+                    held.append((fp, own))
+                    size += len(own)
                 if size > 1 << 20:
                     yield held
                     held, size = [], 0
-        if held:
-            yield held
+            if held:
+                yield held
 
 
 def _all_tokens(words: int):
@@ -108,32 +146,6 @@ def _all_tokens(words: int):
     return run
 
 
-def prefix_size(n: int, least: Fraction) -> int:
-    """How many of the first shingles of a set of ``n`` a similar set must meet."""
-    return n + 1 - -(-least.numerator * n // least.denominator)
-
-
-def _prefixes(words: int, least: Fraction, frequent):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, rank = frequent.value  # sorted shingles and how frequent each is
-        for held in _sets(batches, words):
-            tokens = []
-            for _, own in held:
-                often = np.zeros(len(own), np.int64)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
-                    often = np.where(known[at] == own, rank[at], 0)
-                tokens.append(own[np.argsort(often, kind="stable")[: prefix_size(len(own), least)]])
-            n = np.array([len(t) for t in tokens])
-            columns = (
-                np.concatenate(tokens).view(np.int64), np.repeat(np.array([fp for fp, _ in held], np.int64), n),
-                np.repeat(np.array([len(s) for _, s in held], np.int32), n), (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32),
-            )
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "fp", "size", "place"])
-
-    return run
-
-
 def _possible(size, place, other_size, other_place, least: Fraction) -> np.ndarray:
     """Whether sets whose first common shingle has these places can be similar, by their sizes."""
     most = np.minimum(size - place, other_size - other_place).astype(np.int64)
@@ -253,20 +265,17 @@ def _not_ruled_out(least: Fraction):
     return run
 
 
-def _similar(pairs: DataFrame, maps: DataFrame, docs: DataFrame, words: int, least: Fraction) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose sets are similar, from ``maps(fp, size, bitmap)`` and, for what these leave, the texts."""
+def _similar(pairs: DataFrame, maps: DataFrame, texts: DataFrame, words: int, least: Fraction) -> DataFrame:
+    """Those of ``pairs(a, b)`` whose sets are similar, from ``maps(fp, key, size, bitmap)`` and, for what these leave, ``texts(key, text)``."""
     left, right = (maps.select(F.col("fp").alias(k), F.col("size").alias(f"size_{k}"), F.col("bitmap").alias(f"bitmap_{k}")) for k in "ab")
     known = pairs.join(left, "a").join(right, "b").select("a", "b", "size_a", "size_b", "bitmap_a", "bitmap_b")
     pairs = durable(known.mapInArrow(_not_ruled_out(least), "a long, b long"))
-    needed = durable(pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct())
-
-    @F.pandas_udf("long")
-    def digest(texts):
-        return texts.map(lambda t: set_digest(shingle_set(t, words)))
-
-    few = needed.count() <= MOST_BROADCAST
-    texts = docs.select(digest("text").alias("fp"), "text").join(F.broadcast(needed) if few else needed, "fp", "left_semi")
-    sets = durable(texts.select("text").mapInArrow(_set_bytes(words), "fp long, members binary").dropDuplicates(["fp"]))
+    needed = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
+    # a text of each set is known by a hash that needs no cutting into shingles
+    keys = durable(maps.select("fp", "key").join(needed, "fp", "left_semi").select("key"))
+    few = keys.count() <= MOST_BROADCAST
+    own = texts.join(F.broadcast(keys) if few else keys, "key", "left_semi").select("text")
+    sets = durable(own.mapInArrow(_set_bytes(words), "fp long, members binary").dropDuplicates(["fp"]))
     left, right = sets.select(F.col("fp").alias("a"), F.col("members").alias("x")), sets.select(F.col("fp").alias("b"), F.col("members").alias("y"))
     return durable(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verified(least), "a long, b long"))
 
@@ -284,32 +293,35 @@ def fuzzy_pairs(maps: DataFrame) -> DataFrame:
     return same.unionByName(near)
 
 
-def similar_links(plain: DataFrame, maps: DataFrame, *, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """Links ``(a, b)`` that connect all shingle sets of at least the similarity, of the texts ``plain(text)`` described by ``maps(fp, size, bitmap, print)``.
+def frequent_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many of a sample of the texts have, sorted, and how many; they come last in the order of all shingles."""
+    sample = texts.filter(F.pmod("key", F.lit(SAMPLED)) == 0).select("text")
+    counts = sample.mapInArrow(_all_tokens(words), "token long").groupBy("token").count().filter(F.col("count") >= FREQUENT)
+    often = counts.orderBy(F.desc("count"), "token").limit(MOST_FREQUENT).toArrow()
+    known, rank = often.column("token").to_numpy().view(np.uint64), often.column("count").to_numpy()
+    order = np.argsort(known)
+    return known[order], rank[order]
+
+
+def similar_links(described: DataFrame, maps: DataFrame, texts: DataFrame, *, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """Links ``(a, b)`` that connect all shingle sets of at least the similarity, from what ``similar_documents`` knows of them.
 
     First the pairs that fuzzy hashing brings together and the sets next to each
     other (by size) under a shared shingle are compared; then all that meet and
-    aren't connected yet. The sample of frequent
-    shingles only settles the order: any order finds all links.
+    aren't connected yet.
     """
     least = Fraction(str(similarity))
-    counts = plain.filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0).mapInArrow(_all_tokens(words), "token long").groupBy("token").count()
-    often = counts.filter(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "token").limit(MOST_FREQUENT).toArrow()
-    known, rank = often.column("token").to_numpy().view(np.uint64), often.column("count").to_numpy()
-    order = np.argsort(known)
-    frequent = plain.sparkSession.sparkContext.broadcast((known[order], rank[order]))
-
-    keyed = plain.mapInArrow(_prefixes(words, least, frequent), "token long, fp long, size int, place int")
+    keyed = described.filter("size IS NOT NULL").select(F.posexplode("prefix").alias("place", "token"), "fp", "size").select("token", "fp", "size", "place")
     met = durable(keyed.repartition("token").sortWithinPartitions("token", "size", "fp").mapInArrow(_meetings(least), "token long, fp long, size int, place int, before long"))
 
     close = met.filter("before IS NOT NULL").select(F.col("before").alias("a"), F.col("fp").alias("b")).unionByName(fuzzy_pairs(maps))
     tried = durable(close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    found = _similar(tried, maps, plain, words, least)
+    found = _similar(tried, maps, texts, words, least)
     members = durable(connected_components(found))
     named = met.join(members, met["fp"] == members["node"], "left").select("token", "fp", "size", "place", F.coalesce("component", "fp").alias("component"))
     across = named.repartition("token").sortWithinPartitions("token", "size", "fp").mapInArrow(_across(least), "a long, b long")
     more = durable(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
-    return found if more.isEmpty() else found.unionByName(_similar(more, maps, plain, words, least))
+    return found if more.isEmpty() else found.unionByName(_similar(more, maps, texts, words, least))
 
 
 def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -317,12 +329,20 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     Texts without words are alike; one of fewer words than a shingle is a single
     one. Repeated and missing ids are treated as in ``simhash.near_duplicates``.
+
+    A sample of the texts only settles the order of shingles: any order finds all
+    links. Then texts are cut into shingles once, and once more those of sets that
+    must be compared as a whole.
     """
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    known = durable(texts.mapInArrow(_described(words), f"id {docs.schema[id_col].dataType.simpleString()}, fp long, size int, bitmap binary, print long"))
-    rows, maps = known.select("id", "fp"), durable(known.filter("size IS NOT NULL").select("fp", "size", "bitmap", "print").dropDuplicates(["fp"]))
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(texts, words))
+    kind = docs.schema[id_col].dataType.simpleString()
+    schema = f"id {kind}, key long, fp long, size int, bitmap binary, print long, prefix array<long>"
+    described = durable(texts.mapInArrow(_described(words, Fraction(str(similarity)), frequent), schema))
+    rows = described.select("id", "fp")
+    maps = durable(described.filter("size IS NOT NULL").select("fp", "key", "size", "bitmap", "print").dropDuplicates(["fp"]))
     classes = durable(rows.groupBy("fp").agg(F.min("id").alias("first_id")))
-    found = similar_links(texts.select("text"), maps, words=words, similarity=similarity)
+    found = similar_links(described, maps, texts.select("key", "text"), words=words, similarity=similarity)
     return with_components(rows, classes, found).select(F.col("id").alias(id_col), "component_id")
 
 
