@@ -20,7 +20,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom.llm._shared import durable
@@ -46,8 +46,8 @@ def set_digest(own: np.ndarray) -> int:
 
 
 def parity_bitmap(own: np.ndarray) -> np.ndarray:
-    """Bytes of a bitmap of as many bits as shingles at least, a power of two; a bit tells if an odd number of them falls on it."""
-    bits = 1 << max(6, (len(own) - 1).bit_length())
+    """Bytes of a bitmap of four times as many bits as shingles at least, a power of two; a bit tells if an odd number of them falls on it."""
+    bits = 1 << max(6, (4 * len(own) - 1).bit_length())
     odd = np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little")
 
@@ -186,32 +186,93 @@ def _meetings(least: Fraction):
     return run
 
 
-def _across(least: Fraction):
-    """A function over rows ordered by shingle, size and set: pairs of sets of different components that can be similar, but for neighbours."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def pairs(columns) -> Iterator[pa.RecordBatch]:
-        token, fp, size, place, component = columns
-        begins = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1]))) if len(token) else np.empty(0, np.int64)
-        ends = np.append(begins[1:], len(token))
-        several = ends - begins > 2
-        if several.any():
-            several &= np.minimum.reduceat(component, begins) != np.maximum.reduceat(component, begins)
-        a, b, n = [], [], 0
-        for begin, end in zip(begins[several].tolist(), ends[several].tolist(), strict=True):
-            for d in range(2, end - begin):
-                x, y = slice(begin, end - d), slice(begin + d, end)
-                if not (size[y].astype(np.int64) * least.numerator <= size[x].astype(np.int64) * least.denominator).any():
-                    break
-                can = np.flatnonzero((component[x] != component[y]) & _possible(size[x], place[x], size[y], place[y], least))
-                a.append(fp[x][can])
-                b.append(fp[y][can])
-                n += len(can)
-                if n > 1 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], schema=schema)
-                    a, b, n = [], [], 0
+def most_difference(size: np.ndarray, other: np.ndarray, least: Fraction) -> np.ndarray:
+    """How many shingles similar sets of these sizes have that are in one of them only, at most."""
+    both = size.astype(np.int64) + other
+    return both - 2 * -(-least.numerator * both // (least.numerator + least.denominator))
+
+
+class _Bitmaps:
+    """Bitmaps of some sets, compared pair by pair; of two sizes the larger one is folded."""
+
+    def __init__(self, held: np.ndarray) -> None:
+        self.held, self.size = held, np.array([len(b) for b in held], np.int64)
+        self.rows: dict[int, np.ndarray] = {}
+        self.place: dict[int, np.ndarray] = {}
+
+    def _of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n not in self.rows:
+            own, twice = np.flatnonzero(self.size == n), np.flatnonzero(self.size == 2 * n)
+            read = lambda which, k: np.frombuffer(b"".join(self.held[which]), np.uint64).reshape(len(which), k // 8)
+            folded = read(twice, 2 * n)
+            self.rows[n] = np.concatenate([read(own, n), folded[:, : n // 8] ^ folded[:, n // 8 :]])
+            self.place[n] = np.full(len(self.held), -1, np.int64)
+            self.place[n][np.concatenate([own, twice])] = np.arange(len(own) + len(twice))
+        return self.rows[n], self.place[n]
+
+    def difference(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """A lower bound of the differing shingles for pairs of positions; none for sizes too far apart."""
+        small, out = np.minimum(self.size[x], self.size[y]), np.zeros(len(x), np.int64)
+        for n in np.unique(small).tolist():
+            own = np.flatnonzero((small == n) & (np.maximum(self.size[x], self.size[y]) <= 2 * n))
+            rows, place = self._of(n)
+            step = max(1, (1 << 22) // n)
+            for at in range(0, len(own), step):
+                part = own[at : at + step]
+                out[part] = np.bitwise_count(rows[place[x[part]]] ^ rows[place[y[part]]]).sum(axis=1, dtype=np.int64)
+        return out
+
+
+def _across(least: Fraction, best_only: bool):
+    """A function over rows ordered by shingle, size and set: pairs ``(a, b)`` of sets of different components that bitmaps don't rule out.
+
+    ``best_only``: of each set and shingle the pair with the smallest difference.
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("far", pa.int64())])
+
+    def closest(found: list) -> list:
+        """Of (row, difference, other row) the first with the smallest difference for each row."""
+        row, far, other = (np.concatenate(c) for c in zip(*found, strict=True))
+        order = np.lexsort((other, far, row))
+        first = order[np.flatnonzero(np.concatenate(([True], np.diff(row[order]) != 0)))] if len(order) else order
+        return [(row[first], far[first], other[first])]
+
+    def pairs(columns) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        token, fp, size, place, component, held = columns
+        maps, best, x, d = _Bitmaps(held), [], np.arange(len(token)), 1
+        while True:
+            # rows d apart in the order of shingle and size, as long as the larger set isn't too large
+            x = x[x + d < len(token)]
+            x = x[(token[x] == token[x + d]) & (size[x + d].astype(np.int64) * least.numerator <= size[x].astype(np.int64) * least.denominator)]
+            if not len(x):
+                break
+            y = x + d
+            can = (component[x] != component[y]) & _possible(size[x], place[x], size[y], place[y], least)
+            a, b = x[can], y[can]
+            far = maps.difference(a, b)
+            good = far <= most_difference(size[a], size[b], least)
+            a, b, far = a[good], b[good], far[good]
+            if best_only and len(a):
+                best += [(a, far, b), (b, far, a)]
+                if sum(len(r) for r, *_ in best) > 1 << 20:
+                    best = closest(best)
+            elif len(a):
+                yield fp[a], fp[b], far
+            d += 1
+        if best:
+            row, far, other = closest(best)[0]
+            yield fp[row], fp[other], far
+
+    def emitted(columns) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for found in pairs(columns):
+            held.append(found)
+            n += len(found[0])
+            if n > 1 << 16:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], schema=schema)
+                held, n = [], 0
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -220,10 +281,10 @@ def _across(least: Fraction):
             held = own if held is None else [np.concatenate(c) for c in zip(held, own, strict=True)]
             last = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0  # the last shingle may go on in the next batch
             if last:
-                yield from pairs([c[:last] for c in held])
+                yield from emitted([c[:last] for c in held])
                 held = [c[last:] for c in held]
         if held is not None:
-            yield from pairs(held)
+            yield from emitted(held)
 
     return run
 
@@ -251,25 +312,22 @@ def _set_bytes(words: int):
     return run
 
 
-def _not_ruled_out(least: Fraction):
-    """A function over ``a, b``, the sizes and the bitmaps of their sets: the pairs that may be similar."""
+def _differences(least: Fraction):
+    """A function over ``a, b``, the sizes and the bitmaps of their sets: the pairs that may be similar, with the lower bound of their difference."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in batches:
-            good = []
-            for n, m, x, y in zip(piece.column(2).to_pylist(), piece.column(3).to_pylist(), piece.column(4), piece.column(5), strict=True):
-                both = -(-least.numerator * (n + m) // (least.numerator + least.denominator))
-                good.append(least_difference(*(np.frombuffer(v.as_buffer(), np.uint8) for v in (x, y))) <= n + m - 2 * both)
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in piece.columns[:2]], names=["a", "b"])
+            n, m = (piece.column(i).to_numpy() for i in (2, 3))
+            maps = [np.frombuffer(v.as_buffer(), np.uint8) for i in (4, 5) for v in piece.column(i)]
+            far = np.array([least_difference(x, y) for x, y in zip(maps[: len(n)], maps[len(n) :], strict=True)], np.int64)
+            good = pa.array(far <= most_difference(n, m, least))
+            yield pa.RecordBatch.from_arrays([c.filter(good) for c in (*piece.columns[:2], pa.array(far))], names=["a", "b", "far"])
 
     return run
 
 
 def _similar(pairs: DataFrame, maps: DataFrame, texts: DataFrame, words: int, least: Fraction) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose sets are similar, from ``maps(fp, key, size, bitmap)`` and, for what these leave, ``texts(key, text)``."""
-    left, right = (maps.select(F.col("fp").alias(k), F.col("size").alias(f"size_{k}"), F.col("bitmap").alias(f"bitmap_{k}")) for k in "ab")
-    known = pairs.join(left, "a").join(right, "b").select("a", "b", "size_a", "size_b", "bitmap_a", "bitmap_b")
-    pairs = durable(known.mapInArrow(_not_ruled_out(least), "a long, b long"))
+    """Those of ``pairs(a, b)`` whose sets are similar, from ``maps(fp, key)`` and ``texts(key, text)``."""
     needed = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
     # a text of each set is known by a hash that needs no cutting into shingles
     keys = durable(maps.select("fp", "key").join(needed, "fp", "left_semi").select("key"))
@@ -303,25 +361,55 @@ def frequent_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndar
     return known[order], rank[order]
 
 
+def _closest(pairs: DataFrame) -> DataFrame:
+    """Of ``pairs(a, b, far)`` the one with the smallest difference for each set."""
+    either = pairs.select("a", "b", "far").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "far"))
+    best = either.groupBy("a").agg(F.min_by("b", F.struct("far", "b")).alias("b"))
+    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+#: Times that sets are compared with the closest ones of other components before all that are left are.
+CLOSEST_ROUNDS = 1
+
+
 def similar_links(described: DataFrame, maps: DataFrame, texts: DataFrame, *, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """Links ``(a, b)`` that connect all shingle sets of at least the similarity, from what ``similar_documents`` knows of them.
 
-    First the pairs that fuzzy hashing brings together and the sets next to each
-    other (by size) under a shared shingle are compared; then all that meet and
-    aren't connected yet.
+    Sets are compared as a whole only if they aren't connected yet: first each
+    with the closest of those that fuzzy hashing and some shared shingles put
+    beside it, then with the closest of other components under each shared
+    shingle, and at last with all of other components that meet it and that
+    bitmaps don't rule out. A large group of copies is thereby connected by about
+    as many comparisons as it has sets.
     """
     least = Fraction(str(similarity))
+    ordered = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     keyed = described.filter("size IS NOT NULL").select(F.posexplode("prefix").alias("place", "token"), "fp", "size").select("token", "fp", "size", "place")
     met = durable(keyed.repartition("token").sortWithinPartitions("token", "size", "fp").mapInArrow(_meetings(least), "token long, fp long, size int, place int, before long"))
 
-    close = met.filter("before IS NOT NULL").select(F.col("before").alias("a"), F.col("fp").alias("b")).unionByName(fuzzy_pairs(maps))
-    tried = durable(close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    beside = met.filter("before IS NOT NULL").groupBy("fp").agg(F.array(*[F.min_by("before", F.xxhash64("token", F.lit(i))) for i in range(3)]).alias("others"))
+    close = beside.select(F.explode("others").alias("a"), F.col("fp").alias("b")).unionByName(fuzzy_pairs(maps)).select(*ordered("a", "b")).distinct()
+    left, right = (maps.select(F.col("fp").alias(k), F.col("size").alias(f"size_{k}"), F.col("bitmap").alias(f"bitmap_{k}")) for k in "ab")
+    known = close.join(left, "a").join(right, "b").select("a", "b", "size_a", "size_b", "bitmap_a", "bitmap_b")
+    maybe = known.mapInArrow(_differences(least), "a long, b long, far long")
+    tried = durable(_closest(maybe))
     found = _similar(tried, maps, texts, words, least)
-    members = durable(connected_components(found))
-    named = met.join(members, met["fp"] == members["node"], "left").select("token", "fp", "size", "place", F.coalesce("component", "fp").alias("component"))
-    across = named.repartition("token").sortWithinPartitions("token", "size", "fp").mapInArrow(_across(least), "a long, b long")
-    more = durable(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
-    return found if more.isEmpty() else found.unionByName(_similar(more, maps, texts, words, least))
+
+    rows = met.select("token", "fp", "size", "place")
+    for nth in range(CLOSEST_ROUNDS + 1):
+        members = durable(connected_components(found))
+        named = rows.join(members, rows["fp"] == members["node"], "left").select("token", "fp", "size", "place", F.coalesce("component", "fp").alias("component"))
+        group = Window.partitionBy("token")
+        rows = durable(named.withColumns({"low": F.min("component").over(group), "high": F.max("component").over(group)}).filter("low < high").select("token", "fp", "size", "place", "component"))
+        with_maps = rows.join(maps.select("fp", "bitmap"), "fp").select("token", "fp", "size", "place", "component", "bitmap")
+        last = nth == CLOSEST_ROUNDS
+        met_again = with_maps.repartition("token").sortWithinPartitions("token", "size", "fp").mapInArrow(_across(least, not last), "a long, b long, far long")
+        more = met_again.select(*ordered("a", "b"), "far").distinct().join(tried, ["a", "b"], "left_anti")
+        more = more.select("a", "b") if last else _closest(more)
+        more, rows = durable(more), rows.select("token", "fp", "size", "place")
+        if not more.isEmpty():
+            tried, found = tried.unionByName(more), found.unionByName(_similar(more, maps, texts, words, least))
+    return found
 
 
 def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
