@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -50,6 +51,16 @@ def discarded(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def forget(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files and checkpoints of plans that nothing refers to any more.
+
+    It does so when the driver collects garbage, which an idle driver may put off
+    while a job of many steps fills the disks.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """A table scan dealt out evenly if it has fewer partitions than there are cores.
 

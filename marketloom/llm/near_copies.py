@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketloom.llm._shared import durable
+from marketloom.llm._shared import durable, forget
 from marketloom.llm.simhash import connected_components, fingerprint_of, keep_least, links, shingles, with_components
 
 #: Words of a shingle and the similarity of a link.
@@ -334,6 +334,7 @@ def _similar(pairs: DataFrame, maps: DataFrame, texts: DataFrame, words: int, le
     few = keys.count() <= MOST_BROADCAST
     own = texts.join(F.broadcast(keys) if few else keys, "key", "left_semi").select("text")
     sets = durable(own.mapInArrow(_set_bytes(words), "fp long, members binary").dropDuplicates(["fp"]))
+    forget(sets.sparkSession)
     left, right = sets.select(F.col("fp").alias("a"), F.col("members").alias("x")), sets.select(F.col("fp").alias("b"), F.col("members").alias("y"))
     return durable(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verified(least), "a long, b long"))
 
@@ -387,7 +388,8 @@ def similar_links(described: DataFrame, maps: DataFrame, texts: DataFrame, *, wo
     keyed = described.filter("size IS NOT NULL").select(F.posexplode("prefix").alias("place", "token"), "fp", "size").select("token", "fp", "size", "place")
     met = durable(keyed.repartition("token").sortWithinPartitions("token", "size", "fp").mapInArrow(_meetings(least), "token long, fp long, size int, place int, before long"))
 
-    beside = met.filter("before IS NOT NULL").groupBy("fp").agg(F.array(*[F.min_by("before", F.xxhash64("token", F.lit(i))) for i in range(3)]).alias("others"))
+    forget(met.sparkSession)
+    beside = met.filter("before IS NOT NULL").groupBy("fp").agg(F.array(*[F.min_by("before", F.xxhash64("token", F.lit(i))) for i in range(2)]).alias("others"))
     close = beside.select(F.explode("others").alias("a"), F.col("fp").alias("b")).unionByName(fuzzy_pairs(maps)).select(*ordered("a", "b")).distinct()
     left, right = (maps.select(F.col("fp").alias(k), F.col("size").alias(f"size_{k}"), F.col("bitmap").alias(f"bitmap_{k}")) for k in "ab")
     known = close.join(left, "a").join(right, "b").select("a", "b", "size_a", "size_b", "bitmap_a", "bitmap_b")
@@ -401,6 +403,8 @@ def similar_links(described: DataFrame, maps: DataFrame, texts: DataFrame, *, wo
         named = rows.join(members, rows["fp"] == members["node"], "left").select("token", "fp", "size", "place", F.coalesce("component", "fp").alias("component"))
         group = Window.partitionBy("token")
         rows = durable(named.withColumns({"low": F.min("component").over(group), "high": F.max("component").over(group)}).filter("low < high").select("token", "fp", "size", "place", "component"))
+        del named
+        forget(rows.sparkSession)
         with_maps = rows.join(maps.select("fp", "bitmap"), "fp").select("token", "fp", "size", "place", "component", "bitmap")
         last = nth == CLOSEST_ROUNDS
         met_again = with_maps.repartition("token").sortWithinPartitions("token", "size", "fp").mapInArrow(_across(least, not last), "a long, b long, far long")
@@ -430,6 +434,7 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     rows = described.select("id", "fp")
     maps = durable(described.filter("size IS NOT NULL").select("fp", "key", "size", "bitmap", "print").dropDuplicates(["fp"]))
     classes = durable(rows.groupBy("fp").agg(F.min("id").alias("first_id")))
+    forget(docs.sparkSession)
     found = similar_links(described, maps, texts.select("key", "text"), words=words, similarity=similarity)
     return with_components(rows, classes, found).select(F.col("id").alias(id_col), "component_id")
 
