@@ -16,9 +16,10 @@ import hashlib
 import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import pairwise
 
+import ahocorasick
 import pandas as pd
 import pyarrow as pa
 import xxhash
@@ -178,6 +179,17 @@ def _count_meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     yield _batch(_MET, ((*k, n) for k, n in seen.items()))
 
 
+def may_hold(terms: Iterable[str]) -> Callable[[str], bool]:
+    """Whether any of the terms stands anywhere in a text, by one automaton: most texts hold none and needn't be cut into words."""
+    automaton = ahocorasick.Automaton()
+    for t in terms:
+        automaton.add_word(t.replace("ς", "σ"), True)  # the one letter whose lower case hangs on what follows
+    if not len(automaton):
+        return lambda text: False
+    automaton.make_automaton()
+    return lambda text: next(automaton.iter(text.lower().replace("ς", "σ")), None) is not None
+
+
 _TERM = pa.schema([("term", pa.string()), ("n", pa.int64())])
 
 
@@ -186,7 +198,10 @@ def _count_terms(wanted):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, seen = wanted.value if wanted else None, Counter()
+        may = (lambda text: True) if known is None else may_hold(known)
         for text in _texts(batches):
+            if not may(text):
+                continue
             own = terms_among(text, words_of(text, base_spans(text)))
             seen.update(own if known is None else own & known)
             if len(seen) > HELD:
@@ -304,8 +319,10 @@ def find_personal_data(docs: DataFrame, *, text_col: str = "text", with_text: bo
 
         @F.pandas_udf(_FOUND)
         def find(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            own = shared.value
+            may = may_hold(own)
             for batch in batches:
-                yield pd.DataFrame([_found(t, shared.value, with_text) for t in batch], columns=_FOUND_NAMES)
+                yield pd.DataFrame([_found(t, own if t and may(t) else {}, with_text) for t in batch], columns=_FOUND_NAMES)
 
         held = with_columns(docs, __found=find(text))
     else:
