@@ -369,6 +369,13 @@ def _closest(pairs: DataFrame) -> DataFrame:
     return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def component_tasks(found: DataFrame) -> int:
+    """Tasks for the components of some links: a partition is worth its files from so many links on."""
+    return max(1, -(-found.count() // LINKS_IN_TASK))
+
+
+#: Links of a task that looks for components.
+LINKS_IN_TASK = 50_000
 #: Times that sets are compared with the closest ones of other components before all that are left are.
 CLOSEST_ROUNDS = 1
 
@@ -399,7 +406,7 @@ def similar_links(described: DataFrame, maps: DataFrame, texts: DataFrame, *, wo
 
     rows = met.select("token", "fp", "size", "place")
     for nth in range(CLOSEST_ROUNDS + 1):
-        members = durable(connected_components(found))
+        members = durable(connected_components(found, tasks=component_tasks(found)))
         named = rows.join(members, rows["fp"] == members["node"], "left").select("token", "fp", "size", "place", F.coalesce("component", "fp").alias("component"))
         group = Window.partitionBy("token")
         rows = durable(named.withColumns({"low": F.min("component").over(group), "high": F.max("component").over(group)}).filter("low < high").select("token", "fp", "size", "place", "component"))
@@ -436,7 +443,7 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     classes = durable(rows.groupBy("fp").agg(F.min("id").alias("first_id")))
     forget(docs.sparkSession)
     found = similar_links(described, maps, texts.select("key", "text"), words=words, similarity=similarity)
-    return with_components(rows, classes, found).select(F.col("id").alias(id_col), "component_id")
+    return with_components(rows, classes, found, component_tasks(found)).select(F.col("id").alias(id_col), "component_id")
 
 
 def drop_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

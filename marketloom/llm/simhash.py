@@ -281,24 +281,26 @@ def links(prints: DataFrame, most_in_bucket: int = MOST_IN_BUCKET) -> DataFrame:
 # --- components -------------------------------------------------------------
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame, most_rounds: int = 50, tasks: int | None = None) -> DataFrame:
     """``(node, component)`` for the nodes of ``edges(a, b)``: the smallest node that each can reach.
 
     Alternates two steps until nothing changes. Large step: a node hands its
     smallest neighbour to its larger neighbours. Small step: a node hands it to
     its smaller ones. Paths halve, so the rounds grow with the logarithm of the
     longest one. Every round is written to the shared checkpoint folder.
+    ``tasks``: in how many tasks its small tables are held, if not as Spark sees fit.
     """
-    both = durable(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    fit = lambda df: df.coalesce(tasks) if tasks else df
+    both = durable(fit(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()))
     before = None
     for _ in range(most_rounds):
         way = both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = way.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = way.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = fit(way.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
+        large = fit(way.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
+        low = fit(large.groupBy("u").agg(F.min("v").alias("m")))
         joined = large.join(low, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        both = durable(small.filter("u <> v").distinct())
+        both = durable(fit(small.filter("u <> v").distinct()))
         state = both.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break
@@ -309,12 +311,12 @@ def connected_components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     return members.unionByName(both.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def with_components(rows: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
+def with_components(rows: DataFrame, classes: DataFrame, found: DataFrame, tasks: int | None = None) -> DataFrame:
     """``rows(id, fp)`` plus ``component_id``, from ``classes(fp, first_id)`` and the links ``found(a, b)`` between values of ``fp``."""
     # rows of one id with different texts hold their classes together
     again = Window.partitionBy("id")
     same = rows.filter("id IS NOT NULL").distinct().withColumn("least", F.min("fp").over(again)).filter("least <> fp").select(F.col("least").alias("a"), F.col("fp").alias("b"))
-    members = durable(connected_components(found.unionByName(same)))
+    members = durable(connected_components(found.unionByName(same), tasks=tasks))
     named = classes.join(members, classes["fp"] == members["node"])
     ids = named.groupBy("component").agg(F.min("first_id").alias("least_id"))
     linked = members.join(ids, "component").select("node", "least_id")
