@@ -1,6 +1,6 @@
 """DuckDB SQL that gives the same rows as the queries, where SQL can express them."""
 
-from marketloom.llm.url_filter import RULES, SOFT, SOFT_LIMIT, STRICT
+from marketloom.llm.url_filter import RULES, SOFT, SOFT_LIMIT, STRICT, TRACKING, UNSPACED
 
 OP1 = """
 WITH sized AS (
@@ -83,22 +83,28 @@ SELECT doc_id, size, text_crc32, 'bytes' AS law, shard::INT AS shard,
 FROM sized JOIN placed USING (key) JOIN crcs USING (key)
 """
 
-#: The vocabulary of the URL filter: strict terms, then soft ones.
-_STRICT = "|".join(STRICT)
-_SOFT = " + ".join(rf"{weight} * regexp_matches(low, '(^|[^\pL\pN]){term}([^\pL\pN]|$)')::INT" for term, weight in SOFT.items())
+
+
+def _found(term: str) -> str:
+    """Whether a term of the URL filter's vocabulary stands in ``low``."""
+    return f"contains(low, '{term}')" if term >= UNSPACED else rf"regexp_matches(low, '(^|[^\pL\pN]){term}([^\pL\pN]|$)')"
+
+
+_STRICT = " OR ".join(_found(term) for term in STRICT)
+_SOFT = " + ".join(f"{weight} * {_found(term)}::INT" for term, weight in SOFT.items())
 
 OP3 = rf"""
 WITH cut AS (
-  SELECT page_id, lower(coalesce(url, '')) AS low,
+  SELECT page_id, lower(coalesce(try(url_decode(bare)), bare)) AS low,
          translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
-  FROM pages),
+  FROM (SELECT *, regexp_replace(coalesce(url, ''), '{TRACKING}', '\1', 'g') AS bare FROM pages)),
 rules AS (SELECT * FROM (VALUES {", ".join(f"('{rule}', '{rule.partition('/')[0]}', '/{rule.partition('/')[2]}', '{verdict}')" for verdict, rule in RULES)}) t(rule, rule_host, rule_path, verdict)),
 fits AS (
   SELECT page_id, max_by(rule, length(rule)) AS rule, max_by(verdict, length(rule)) AS rule_verdict
   FROM cut JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY page_id),
 hits AS (
-  SELECT page_id, {_SOFT} AS soft_weight, regexp_matches(low, '(^|[^\pL\pN])({_STRICT})([^\pL\pN]|$)') AS is_strict FROM cut)
+  SELECT page_id, {_SOFT} AS soft_weight, ({_STRICT}) AS is_strict FROM cut)
 SELECT page_id, host, path, rule,
        coalesce(rule_verdict, CASE WHEN is_strict OR soft_weight >= {SOFT_LIMIT} THEN 'block' ELSE 'allow' END) AS verdict,
        soft_weight::INT AS soft_weight

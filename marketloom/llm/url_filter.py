@@ -1,14 +1,17 @@
 """URL filtering: host and path rules first, then a weighted vocabulary of terms.
 
-The vocabulary is matched by one Aho-Corasick automaton. A hit counts only if it
-stands between characters that are neither letters nor digits (or the ends of
-the URL). One strict term rejects a URL; soft terms reject it when the weights of
-the distinct ones found add up to a threshold.
+The vocabulary is matched by one Aho-Corasick automaton over the URL without
+tracking parameters, its ``%xx`` decoded. A hit counts only if it stands between
+characters that are neither letters nor digits (or the ends of the URL), but for
+terms of scripts that don't space words. One strict term rejects a URL; soft terms
+reject it when the weights of the distinct ones found add up to a threshold that
+none has alone.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import ahocorasick
 import pandas as pd
@@ -26,16 +29,36 @@ RULES = (
     ("block", "net/fr/"),
 )
 #: Terms that reject a URL on their own.
-STRICT = ("adult", "casino", "escort", "hentai", "malware", "phishing", "porn", "porno", "sex", "spam", "viagra", "warez", "xxx")
-#: Terms that reject a URL together, with their weights.
-SOFT = {
-    "ad": 1, "ads": 1, "affiliate": 1, "bet": 1, "bets": 1, "betting": 1, "bonus": 1, "cam": 1, "cams": 1, "cash": 1, "cheap": 1,
-    "clickbait": 1, "crack": 1, "dating": 1, "deal": 1, "discount": 1, "download": 1, "farm": 1, "free": 1, "gambling": 1, "jackpot": 1,
-    "keygen": 1, "loan": 1, "loans": 1, "lottery": 1, "meds": 1, "nude": 1, "nulled": 1, "payday": 1, "pharmacy": 1, "pill": 1,
-    "pills": 1, "poker": 1, "popup": 1, "promo": 1, "replica": 1, "slots": 1, "torrent": 1, "track": 1, "tracker": 1, "win": 1, "x": 1,
+STRICT = tuple(
+    """
+    adult camgirl camgirls casino casinos escort escorts hardcore hentai malware milf phishing porn porno pornos spam viagra cialis warez xxx
+    kasino spielautomaten pornofilme erotikfilme sexkontakte
+    pornographie videoporno tragamonedas apuestas pornografia cassino
+    gokkasten pornofilmy kasyno kumar bahis
+    порно казино эскорт проститутки
+    色情 赌博 賭博 赌场 賭場 成人视频 アダルト動画 出会い系 카지노 야동
+    """.split()
+)
+#: Soft terms by weight: 3 for trades that filters exist for, 2 for their wares and lures, 1 for words that are common elsewhere too.
+SOFT_BY_WEIGHT = {
+    3: """ads adserver adclick affiliates bets betting clickbait gambling jackpot keygen meds nude nudes nulled payday pharmacy pills poker
+          popunder roulette sex slots torrent torrents
+          wetten glücksspiel erotik schlüsseldienst medikamente paris-sportifs érotique apuesta erótica scommesse apostas gokken zakłady
+          секс ставки таблетки""",
+    2: """affiliate bet bonus cams crack cracked dating freebie girls gratis keno loan loans lottery pill popup promo replica serial
+          steroids tracker weightloss
+          kredit kredite potenzmittel gewinnspiel rencontres crédit prêt préstamo citas prestito incontri empréstimo lening kredyt
+          бонус кредит знакомства""",
+    1: """ad bargain cam cash cheap coupon deal deals discount download farm free hot instant offer offers rich track win winner
+          billig kostenlos rabatt gratuit promotion barato descuento grátis sconto goedkoop tani дешево скидка бесплатно""",
 }
-#: Weight of distinct soft terms from which a URL is rejected.
-SOFT_LIMIT = 2
+SOFT = {term: weight for weight, terms in SOFT_BY_WEIGHT.items() for term in terms.split()}
+#: Weight of distinct soft terms from which a URL is rejected; no term has it alone.
+SOFT_LIMIT = 4
+#: Parameters that name where a visitor came from and say nothing of the page.
+TRACKING = r"([?&])(utm_[A-Za-z0-9_]*|ref|gclid|fbclid|msclkid)=[^&#]*"
+#: From this character on scripts write words without spaces or with endings: their terms count inside longer runs too.
+UNSPACED = "\u2e80"
 
 
 def host_of(url: Column) -> Column:
@@ -70,10 +93,10 @@ def build_automaton(strict=STRICT, soft=SOFT) -> ahocorasick.Automaton:
 
 def term_hits(url: str | None, automaton: ahocorasick.Automaton) -> tuple[list[str], list[str], int]:
     """Distinct strict and soft terms of a URL, and the weight of the soft ones."""
-    low, strict, soft = (url or "").lower(), set(), {}
+    low, strict, soft = unquote(url or "").lower(), set(), {}
     for end, (term, weight) in automaton.iter(low):
         begin = end - len(term)
-        if (begin < 0 or not low[begin].isalnum()) and (end + 1 == len(low) or not low[end + 1].isalnum()):
+        if term >= UNSPACED or (begin < 0 or not low[begin].isalnum()) and (end + 1 == len(low) or not low[end + 1].isalnum()):
             if weight is None:
                 strict.add(term)
             else:
@@ -90,7 +113,7 @@ def vocabulary_column(url_col: str, strict=STRICT, soft=SOFT) -> Column:
         for batch in urls:
             yield pd.DataFrame([term_hits(u, automaton) for u in batch], columns=["strict_terms", "soft_terms", "soft_weight"])
 
-    return hits(F.col(url_col))
+    return hits(F.regexp_replace(url_col, TRACKING, "$1"))
 
 
 def judge_urls(pages: DataFrame, *, url_col: str = "url", rules=RULES, strict=STRICT, soft=SOFT, soft_limit: int = SOFT_LIMIT) -> DataFrame:

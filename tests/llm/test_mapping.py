@@ -125,6 +125,22 @@ def test_rules_and_vocabulary(spark):
     assert url_filter.judge_urls(pages.limit(0)).count() == 0
 
 
+def test_weights_languages_and_harmless_urls(spark):
+    blocked = [
+        "http://a.org/cheap%20pills", "http://a.org/?q=free+bets", "http://ads.track.a.org/", "http://a.org/%D0%9F%D0%9E%D0%A0%D0%9D%D0%9E", "http://a.org/最新色情片",
+        "http://a.org/online-wetten/bonus", "http://a.org/crédit-rencontres", "http://a.org/" + "x/" * 100_000 + "porn",
+    ]
+    clean = [
+        "https://a.example.org/download?ref=x", "http://a.org/?utm_source=ads&utm_medium=affiliate&utm_campaign=casino", "http://a.org/poker", "http://a.org/sex-education", "http://middlesex.org/pornic",
+        "http://a.org/free-download-cheap", "http://a.org/cheap/cheap/pill", "http://a.org/%zz%", "http://a.org/" + "x/" * 100_000,
+    ]
+    twice = [(1, u, True, "a") for u in blocked] + [(2, u, False, "b") for u in clean] * 2
+    pages = spark.createDataFrame(twice, "page_id long, url string, bad boolean, SOFT_weight string")
+    rows = url_filter.judge_urls(pages).collect()
+    assert len(rows) == len(twice) and [r.url for r in rows if (r.verdict == "block") != r.bad] == []
+    assert all(w < url_filter.SOFT_LIMIT for w in url_filter.SOFT.values()) and len(url_filter.SOFT) == sum(len(t.split()) for t in url_filter.SOFT_BY_WEIGHT.values())
+
+
 # --- tokens -----------------------------------------------------------------
 
 
