@@ -1,17 +1,21 @@
 """Exact deduplication of arriving documents against immutable snapshots.
 
-A snapshot is a table of digests that no longer changes. For each of its ranges
-a static binary-fuse filter is built once. Arriving digests are first reduced to
+A snapshot is a table of digests that no longer changes, stored with the static
+binary-fuse filters that are built once for its ranges. A new snapshot holds what
+none of the earlier ones does, so that a batch is screened against all of them in
+turn. Arriving digests are first reduced to
 one row per digest, then screened by the filter of their range: a negative is
 certainly new, a positive joins the snapshot's exact bucket and counts as known
-only if digest bytes and length agree. New digests are grouped among themselves.
+only if all bytes of the SHA-256 and the length agree. New digests are grouped among themselves.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketloom.llm._shared import durable, text_or_empty, with_columns
@@ -137,30 +141,88 @@ def distinct_texts(rows: DataFrame) -> DataFrame:
     The aggregation combines before its shuffle, so that copies of one text cost
     one row per task however many there are.
     """
-    best = F.max(F.struct(F.col("chars"), F.negative(F.col("id")).alias("minus_id")))
+    best = F.min(F.struct(F.negative(F.col("chars")).alias("minus_chars"), F.col("id").isNull().alias("no_id"), "id"))
     return rows.groupBy("digest", "sha", "bytes").agg(F.count(F.lit(1)).alias("n"), best.alias("best"))
 
 
-def dedup_arriving(arriving: DataFrame, snapshot: DataFrame, *, parts: int | None = None, keys_per_filter: int = 200_000) -> DataFrame:
-    """Merge the distinct texts of a batch into a snapshot (both as ``distinct_texts`` gives them).
+#: What makes a text known.
+_EXACT = ["digest", "sha", "bytes"]
+
+
+@dataclass(frozen=True)
+class Snapshot:
+    """Distinct texts as ``distinct_texts`` gives them, the filters of their digests and the number of filters."""
+
+    texts: DataFrame
+    filters: DataFrame
+    parts: int
+
+
+def _parts_of(texts: DataFrame, parts: int | None, keys_per_filter: int) -> int:
+    return parts or max(1, -(-texts.count() // keys_per_filter))
+
+
+def build_snapshot(texts: DataFrame, *, parts: int | None = None, keys_per_filter: int = 200_000) -> Snapshot:
+    """A snapshot for this job. ``parts``: filters, by default so many that each holds about ``keys_per_filter`` digests."""
+    parts = _parts_of(texts, parts, keys_per_filter)
+    return Snapshot(texts, durable(snapshot_filters(texts.select("digest").distinct(), parts)), parts)
+
+
+def save_snapshot(texts: DataFrame, path: str, *, parts: int | None = None, keys_per_filter: int = 200_000) -> Snapshot:
+    """Store texts and filters under ``path``, once: a snapshot that is there already is an error, as it never changes."""
+    texts.write.parquet(f"{path}/texts")
+    stored = texts.sparkSession.read.parquet(f"{path}/texts")
+    parts = _parts_of(stored, parts, keys_per_filter)
+    snapshot_filters(stored.select("digest").distinct(), parts).withColumn("parts", F.lit(parts)).write.parquet(f"{path}/filters")
+    return load_snapshot(texts.sparkSession, path)
+
 
-    Returns one row per text of either side, ``digest, sha, bytes, n, best``,
-    with counts and the staying row over both. ``parts`` is the number of
-    filters; by default so many that each holds about ``keys_per_filter`` digests.
+def load_snapshot(spark: SparkSession, path: str) -> Snapshot:
+    """A stored snapshot; one without texts has no filter."""
+    filters = spark.read.parquet(f"{path}/filters")
+    parts = filters.agg(F.max("parts")).first()[0] or 1
+    return Snapshot(spark.read.parquet(f"{path}/texts"), filters.drop("parts"), parts)
+
+
+def _screened(arriving: DataFrame, snapshot: Snapshot) -> DataFrame:
+    tested = screen(arriving.select("digest").distinct(), snapshot.filters, snapshot.parts)
+    return durable(arriving.join(tested, "digest"))
+
+
+def _unknown(screened: DataFrame, snapshot: Snapshot) -> DataFrame:
+    """What the filter is sure of, and the false positives: nothing of the snapshot is behind them either."""
+    false = screened.filter("maybe_known").join(snapshot.texts.select(*_EXACT), _EXACT, "left_anti")
+    return screened.filter("NOT maybe_known").unionByName(false).select(*_EXACT, "n", "best")
+
+
+def new_texts(arriving: DataFrame, snapshots: list[Snapshot]) -> DataFrame:
+    """The texts of a batch (as ``distinct_texts`` gives them) that no snapshot holds: the next snapshot."""
+    for snapshot in snapshots:
+        arriving = _unknown(_screened(arriving, snapshot), snapshot)
+    return arriving
+
+
+def dedup_against(arriving: DataFrame, snapshots: list[Snapshot]) -> DataFrame:
+    """Merge the distinct texts of a batch into snapshots that share no text.
+
+    Returns one row per text of any side, ``digest, sha, bytes, n, best``, with
+    counts and the staying row over all.
     """
-    if parts is None:
-        parts = max(1, -(-snapshot.count() // keys_per_filter))
-    filters = durable(snapshot_filters(snapshot.select("digest").distinct(), parts))
-    tested = screen(arriving.select("digest").distinct(), filters, parts)
-    screened = durable(arriving.join(tested, "digest"))
-    positives = screened.filter("maybe_known").select("digest", "sha", "bytes", F.col("n").alias("n2"), F.col("best").alias("best2"))
-    # the exact bucket: same digest, then every byte of the hash and the length
-    known = snapshot.join(positives, ["digest", "sha", "bytes"], "left")
-    merged = known.select("digest", "sha", "bytes", (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n"), F.greatest("best", "best2").alias("best"))
-    # nothing of the snapshot is behind a false positive either
-    false = screened.filter("maybe_known").join(snapshot.select("digest", "sha", "bytes"), ["digest", "sha", "bytes"], "left_anti")
-    new = screened.filter("NOT maybe_known").unionByName(false).select("digest", "sha", "bytes", "n", "best")
-    return merged.unionByName(new)
+    sides = []
+    for snapshot in snapshots:
+        screened = _screened(arriving, snapshot)
+        positives = screened.filter("maybe_known").select(*_EXACT, F.col("n").alias("n2"), F.col("best").alias("best2"))
+        known = snapshot.texts.join(positives, _EXACT, "left")
+        sides.append(known.select(*_EXACT, (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n"), F.least("best", "best2").alias("best")))
+        arriving = _unknown(screened, snapshot)
+    for side in sides:
+        arriving = arriving.unionByName(side)
+    return arriving
+
+
+def dedup_arriving(arriving: DataFrame, snapshot: DataFrame, *, parts: int | None = None, keys_per_filter: int = 200_000) -> DataFrame:
+    """``dedup_against`` one snapshot whose filters are built for it."""
+    return dedup_against(arriving, [build_snapshot(snapshot, parts=parts, keys_per_filter=keys_per_filter)])
 
 
 def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -168,7 +230,8 @@ def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     The rows are taken as two batches, by the parity of a hash of their id: the
     first makes the snapshot, the second arrives. Groups and counts cover both.
-    Of equal texts the row with the most code points stays, then the smallest id.
+    Of equal texts the row with the most code points stays, then the smallest id,
+    which may be of any type that has an order.
 
     Nulls: a null text is an empty one; a row without an id belongs to its
     group, and ``keep_id`` is null only if no row of the longest form has an id;
@@ -178,7 +241,7 @@ def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     rows = durable(digests(docs, id_col=id_col, text_col=text_col).withColumn("second", F.pmod(F.xxhash64("id"), F.lit(2)) == 1))
     groups = dedup_arriving(distinct_texts(rows.filter("second")), durable(distinct_texts(rows.filter("NOT second"))))
-    stays = groups.select("sha", F.negative(F.col("best.minus_id")).alias("keep_id"), F.col("n").alias("group_size"), F.col("best.chars").alias("keep_chars"))
+    stays = groups.select("sha", F.col("best.id").alias("keep_id"), F.col("n").alias("group_size"), F.negative(F.col("best.minus_chars")).alias("keep_chars"))
     # a hot text is one row on the right: adaptive execution splits the left side
     joined = rows.select("id", "chars", "sha").join(stays.hint("merge"), "sha")
     kept = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("chars") == F.col("keep_chars"))

@@ -197,10 +197,38 @@ def test_arriving_batch_against_a_snapshot(spark):
 
     old, new = texts([(1, "a"), (2, "a"), (3, "b")]), texts([(4, "a "), (5, "c"), (6, "c"), (7, "d")])
     for parts in (1, 3):
-        got = {(r.n, -r.best.minus_id) for r in exact_dedup.dedup_arriving(new, old, parts=parts).collect()}
+        got = {(r.n, r.best.id) for r in exact_dedup.dedup_arriving(new, old, parts=parts).collect()}
         assert got == {(3, 4), (1, 3), (2, 5), (1, 7)}
 
 
+def test_stored_snapshots(spark, tmp_path):
+    """Batches one after the other: each is screened against all snapshots stored before it."""
+
+    def texts(rows):
+        return exact_dedup.distinct_texts(exact_dedup.digests(spark.createDataFrame(rows, "doc_id string, text string")))
+
+    batches = [[("a1", "a"), ("b1", "b b"), ("a0", "a")], [], [("b0", "bb"), ("c1", "c"), (None, None)], [("c0", "c "), ("a9", "a"), ("d", "d"), ("e", "")]]
+    stored = []
+    for k, batch in enumerate(batches[:-1]):
+        exact_dedup.save_snapshot(exact_dedup.new_texts(texts(batch), stored), f"{tmp_path}/{k}", parts=2 if k else None)
+        stored = [exact_dedup.load_snapshot(spark, f"{tmp_path}/{i}") for i in range(k + 1)]
+    assert [s.texts.count() for s in stored] == [2, 0, 2] and [s.parts for s in stored] == [1, 1, 2]
+    last = texts(batches[-1])
+    assert [r.best.id for r in exact_dedup.new_texts(last, stored).collect()] == ["d"]
+    got = {(r.n, r.best.id) for r in exact_dedup.dedup_against(last, stored).collect()}
+    assert got == {(3, "a0"), (1, "b1"), (2, "c0"), (2, "e"), (1, "d")}
+    with pytest.raises(Exception, match="(?i)exist"):
+        exact_dedup.save_snapshot(last, f"{tmp_path}/0")
+
+
+def test_ids_that_are_strings(spark):
+    docs = spark.createDataFrame([("z", "x y"), ("b", "x  y"), ("a", "x  y"), (None, "xy   "), ("q", "other")], "doc_id string, text string")
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_duplicates(docs.filter("doc_id IS NOT NULL")).collect()}
+    assert got == {"z": ("a", 3, False), "b": ("a", 3, False), "a": ("a", 3, True), "q": ("q", 1, True)}
+    assert {(r.doc_id, r.keep_id, r.kept) for r in exact_dedup.exact_duplicates(docs).collect()} == {("z", None, False), ("b", None, False), ("a", None, False), (None, None, True), ("q", "q", True)}
+    assert {r.doc_id for r in exact_dedup.drop_duplicates(docs.filter("doc_id IS NOT NULL")).collect()} == {"a", "q"}
+
+
 # --- near duplicates --------------------------------------------------------
 
 
