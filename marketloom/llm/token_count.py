@@ -49,12 +49,26 @@ def byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
+def refuse_other_kinds(held: dict) -> None:
+    """Raise for a vocabulary file whose library cuts or merges texts in a way that isn't counted here."""
+    cut, model = held.get("pre_tokenizer") or {}, held["model"]
+    plain = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")
+    if held.get("normalizer") or not plain:
+        raise ValueError("only vocabularies without normalizer, cut by the byte-level pattern alone, can be counted")
+    odd = [k for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(k)]
+    if model.get("type") != "BPE" or odd:
+        raise ValueError(f"not a plain byte-pair model: {model.get('type')} {odd}")
+    if any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in held["added_tokens"]):
+        raise ValueError("added tokens that take in or ask for what is beside them can't be counted")
+
+
 class Vocabulary:
     """Merge ranks by pair and the strings that are tokens of their own."""
 
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
             held = json.load(f)
+        refuse_other_kinds(held)
         ids = held["model"]["vocab"]
         self.bytes = np.array([ids[c] for c in byte_letters()], np.int64)
         merges = [m if isinstance(m, list) else m.split(" ") for m in held["model"]["merges"]]
@@ -162,6 +176,7 @@ class Counter:
 def token_count_column(text_col: str, path: str | None = None) -> Column:
     """Tokens of each text; texts are taken a few megabytes at a time."""
     file = path or default_vocabulary()
+    vocabulary(file)  # an unfit file fails here, not in a task
 
     @F.pandas_udf("long")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -184,7 +199,8 @@ def count_tokens(docs: DataFrame, *, text_col: str = "text", limit: int = 512, p
 
     Counts are those of the vocabulary's library for the whole text: no begin or
     end tokens, no truncation; a special string inside a text is one token. A
-    null text is an empty one (no tokens). Input columns named like an added one
+    null text is an empty one (no tokens). A vocabulary that needs other cutting
+    or merging raises ``ValueError``. Input columns named like an added one
     give way; empty tables stay empty. Nothing is shuffled.
     """
     size = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long")

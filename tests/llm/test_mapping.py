@@ -144,6 +144,17 @@ def test_weights_languages_and_harmless_urls(spark):
 # --- tokens -----------------------------------------------------------------
 
 
+def test_vocabularies_cut_otherwise_are_refused(documents, tmp_path):
+    with pytest.raises(ValueError, match="normalizer"):
+        token_count.count_tokens(documents, path=token_count.default_vocabulary().replace("byte_bpe_50k", "word_bpe_49k"))
+    cut = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+    plain = {"normalizer": None, "pre_tokenizer": cut, "model": {"type": "BPE"}, "added_tokens": []}
+    token_count.refuse_other_kinds(plain)
+    for other in ({"pre_tokenizer": cut | {"add_prefix_space": True}}, {"pre_tokenizer": None}, {"model": {"type": "WordPiece"}}, {"model": {"type": "BPE", "end_of_word_suffix": "</w>"}}, {"added_tokens": [{"content": "x", "lstrip": True}]}):
+        with pytest.raises(ValueError):
+            token_count.refuse_other_kinds(plain | other)
+
+
 def test_token_counts_equal_the_library(spark, documents, odd_documents, clashing):
     tokenizers = pytest.importorskip("tokenizers")
     lib = tokenizers.Tokenizer.from_file(token_count.default_vocabulary())
