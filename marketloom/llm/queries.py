@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from marketloom.llm import decontam, exact_dedup, html_text, mixing, pii, pipeline as stages, quality, sharding, simhash, token_count, url_filter
+from marketloom.llm import decontam, exact_dedup, html_text, mixing, packing, periodic_runs, pii, pipeline as stages, quality, sharding, simhash, token_count, url_filter
 from marketloom.llm._shared import spread
 from marketloom.llm.queries_sql import ORACLES
 
@@ -62,6 +63,21 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(spread(_documents(spark, sf_dir)))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic_runs.with_planted_runs(spread(_documents(spark, sf_dir).select("doc_id", "text")))
+    found = periodic_runs.find_runs(docs).withColumn("best", periodic_runs.strongest(F.col("runs")))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"), F.col("best.length").alias("length"), F.col("best.period").alias("period"),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(listed, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"), F.sha2("collapsed_text", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(spread(_documents(spark, sf_dir).select("doc_id", "text")), keep_ids=False)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stages.run(spark, sf_dir)
 
@@ -77,5 +93,7 @@ QUERIES: dict[str, Query] = {
     "op8_quality": op8_quality,
     "op9_decontaminate": op9_decontaminate,
     "op10_simhash": op10_simhash,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_pack_sequences": op13_pack_sequences,
     "pipeline": pipeline,
 }
