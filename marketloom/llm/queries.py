@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import decontam, exact_dedup, html_text, mixing, packing, periodic_runs, pii, pipeline as stages, quality, sharding, simhash, token_count, url_filter
+from marketloom.llm import decontam, exact_dedup, html_text, mixing, packing, periodic_runs, phrases, pii, pipeline as stages, quality, sharding, simhash, token_count, url_filter
 from marketloom.llm._shared import spread
 from marketloom.llm.queries_sql import ORACLES
 
@@ -63,6 +63,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(spread(_documents(spark, sf_dir)))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(spread(_documents(spark, sf_dir).select("text", "lang")))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = periodic_runs.with_planted_runs(spread(_documents(spark, sf_dir).select("doc_id", "text")))
     found = periodic_runs.find_runs(docs).withColumn("best", periodic_runs.strongest(F.col("runs")))
@@ -93,6 +97,7 @@ QUERIES: dict[str, Query] = {
     "op8_quality": op8_quality,
     "op9_decontaminate": op9_decontaminate,
     "op10_simhash": op10_simhash,
+    "op11_collocations": op11_collocations,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_pack_sequences": op13_pack_sequences,
     "pipeline": pipeline,
