@@ -19,6 +19,7 @@ Scores, the phrases inside longer ones and the ranks are joins over the counted
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,13 +31,13 @@ from pyspark.sql import functions as F
 from marketloom.llm._shared import discarded, durable, written
 
 #: Bytes of text whose words make one block of codes; a longer document is a block of its own.
-BLOCK_BYTES = 1 << 22
+BLOCK_BYTES = 1 << 20
 #: log2 of the buckets of a level; a bitmap takes an eighth of that in bytes (4 MB).
 BUCKET_BITS = 25
 #: Phrases of one trie, about.
 MOST_IN_TRIE = 1 << 18
-#: Words a task remembers; the memory is emptied beyond that.
-REMEMBERED = 400_000
+#: Codes a task remembers to have told the words of; the memory is emptied beyond that.
+REMEMBERED = 300_000
 #: Seeds tried until no two words share a code.
 SEEDS = range(8)
 
@@ -52,40 +53,39 @@ def words_of(text: str | None) -> list[bytes]:
 
 # --- codes ------------------------------------------------------------------
 
-CODES = "ids array<int>, codes array<long>, new_codes array<long>, new_words array<struct<lang: string, word: string>>"
+CODES = "ids array<int>, codes array<long>, new_codes array<long>, new_langs array<string>, new_words array<string>"
 
 
 class _Coder:
-    """Codes of words of one language after another, remembering those met before."""
+    """Numbers the words of a block of texts, and tells which codes are new to the task."""
 
     def __init__(self, seed: int) -> None:
-        self.seed, self.known, self.size = seed, {}, 0
-
-    def block(self, texts: list[tuple[str, str | None]]) -> tuple:
-        """Word numbers of a block of texts (0 between pieces), the code of each number, and words that are new to this task."""
-        if self.size > REMEMBERED:
-            self.known, self.size = {}, 0
-        numbers, ids, codes, fresh = {}, [], [0], []
+        self.seed, self.told = seed, set()
+
+    def block(self, texts: Iterator[tuple[str, str | None]]) -> tuple:
+        """Word numbers (0 between pieces), the code of each number, and the words whose codes weren't told before."""
+        if len(self.told) > REMEMBERED:
+            self.told = set()
+        numbers: dict[str, dict[bytes, int]] = {}
+        ids, codes, fresh = array("i"), [0], []
         for lang, text in texts:
             words = words_of(text)
-            known = self.known.setdefault(lang, {})
             of = numbers.setdefault(lang, {b".": 0})
-            for w in {*words} - of.keys():
+            for w in [w for w in {*words} if w not in of]:
                 of[w] = len(codes)
-                code = known.get(w)
-                if code is None:
-                    code = known[w] = xxhash.xxh64_intdigest(lang.encode() + b"\0" + w, self.seed) or 1
-                    self.size += 1
-                    fresh.append((code, lang, w))
+                code = xxhash.xxh64_intdigest(lang.encode() + b"\0" + w, self.seed) or 1
                 codes.append(code)
-            ids += map(of.__getitem__, words)
+                if code not in self.told:
+                    self.told.add(code)
+                    fresh.append((code, lang, w))
+            ids.extend(map(of.__getitem__, words))
             ids.append(0)
-        return np.array(ids, np.int32), np.array(codes, np.uint64).view(np.int64), fresh
+        return np.frombuffer(ids, np.int32), np.array(codes, np.uint64).view(np.int64), fresh
 
 
 def encoded(docs: DataFrame, seed: int, *, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Blocks of texts as numbers of words, the code of each number, and the words behind codes new to the task."""
-    schema = pa.schema([("ids", pa.list_(pa.int32())), ("codes", pa.list_(pa.int64())), ("new_codes", pa.list_(pa.int64())), ("new_words", pa.list_(pa.struct([("lang", pa.string()), ("word", pa.string())])))])
+    kinds = {"ids": pa.int32(), "codes": pa.int64(), "new_codes": pa.int64(), "new_langs": pa.string(), "new_words": pa.string()}
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _Coder(seed)
@@ -93,17 +93,20 @@ def encoded(docs: DataFrame, seed: int, *, text_col: str = "text", lang_col: str
         def row(texts: list) -> pa.RecordBatch:
             ids, codes, fresh = coder.block(texts)
             new = np.array([c for c, _, _ in fresh], np.uint64).view(np.int64)
-            words = [{"lang": lang, "word": w.decode("utf-8", "replace")} for _, lang, w in fresh]
-            return pa.RecordBatch.from_arrays([pa.array([x], t.type) for x, t in zip((ids, codes, new, words), schema, strict=True)], schema=schema)
+            held = (ids, codes, new, [lang for _, lang, _ in fresh], [w.decode("utf-8", "replace") for _, _, w in fresh])
+            flat = [pa.array(x, kind) for x, kind in zip(held, kinds.values(), strict=True)]
+            return pa.RecordBatch.from_pydict({name: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for name, x in zip(kinds, flat, strict=True)})
 
         held, size = [], 0
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held.append((lang, text))
-                size += len(text or "")
-                if size >= BLOCK_BYTES:
-                    yield row(held)
-                    held, size = [], 0
+            for at in range(0, batch.num_rows, 64):  # few texts at once become Python strings
+                some = batch.slice(at, 64)
+                for lang, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
+                    held.append((lang, text))
+                    size += len(text or "")
+                    if size >= BLOCK_BYTES:
+                        yield row(held)
+                        held, size = [], 0
         if held:
             yield row(held)
 
@@ -366,8 +369,9 @@ def counted_phrases(docs: DataFrame, *, text_col: str = "text", lang_col: str =
     for seed in SEEDS:
         blocks, path = written(encoded(docs, seed, text_col=text_col, lang_col=lang_col), "phrases")
         counts = durable(code_counts(blocks))
-        named = blocks.select(F.explode(F.arrays_zip("new_codes", "new_words")).alias("new")).groupBy(F.col("new.new_codes").alias("code"))
-        words = durable(named.agg(F.min("new.new_words").alias("one"), F.max("new.new_words").alias("other")).join(counts, "code"))
+        named = blocks.select(F.explode(F.arrays_zip("new_codes", "new_langs", "new_words")).alias("new"))
+        named = named.select(F.col("new.new_codes").alias("code"), F.struct(F.col("new.new_langs").alias("lang"), F.col("new.new_words").alias("word")).alias("name")).groupBy("code")
+        words = durable(named.agg(F.min("name").alias("one"), F.max("name").alias("other")).join(counts, "code"))
         if words.filter(F.col("one") != F.col("other")).isEmpty():
             break
         discarded(spark, path)
