@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketloom.operators.order_statistics import exact_quantile
 from marketloom.sources.tables import running
 
 _c = F.col
@@ -95,13 +96,15 @@ def regression_metrics(df: DataFrame, y: str, p: str) -> DataFrame:
 def calibrate_threshold(df: DataFrame, score: str, target: float, exact: bool = True) -> DataFrame:
     """``alpha``: the smallest score size such that at least the target share of ``|score|`` lies at or below it.
 
-    The exact form holds one counter per distinct score size in a task;
-    ``exact=False`` takes Spark's percentile sketch (accuracy 1/10,000 of the
-    ranks) for more sizes than that.
+    The exact form refines counts in a few passes over ``df``, and no task holds the sizes;
+    ``exact=False`` takes Spark's percentile sketch (accuracy 1/10,000 of the ranks) in one pass.
     """
     size = df.select(F.abs(score).alias("a")).filter("a IS NOT NULL")
-    found = F.expr(f"percentile_disc({float(target)}) WITHIN GROUP (ORDER BY a)") if exact else F.percentile_approx("a", target, 10_000)
-    return size.agg(found.alias("alpha"))
+    if not exact:
+        return size.agg(F.percentile_approx("a", target, 10_000).alias("alpha"))
+    found = exact_quantile(size, "a", float(target))
+    kind = size.schema["a"].dataType.simpleString()
+    return df.sparkSession.range(1).select(F.lit(found).cast(kind).alias("alpha"))
 
 
 def threshold_outcome(df: DataFrame, score: str, alpha: float | Column) -> DataFrame:

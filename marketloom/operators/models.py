@@ -173,24 +173,111 @@ def _nearest_in(k: int):
     return find
 
 
-def nearest(train: DataFrame, test: DataFrame, k: int, vector: str = "embedding", label: str = "label", *, train_rows: int = TRAIN_ROWS, test_rows: int = TEST_ROWS) -> DataFrame:
-    """``id, neighbour, distance, label``: the ``k`` nearest training rows of each test row, ties to the smaller id.
+#: Most pivots; they and a table of their distances go to all tasks.
+PIVOTS = 256
+
+
+class _Cells:
+    """Pivots, the cells of training rows nearest to each, and which cells may hold a neighbour of a row."""
+
+    def __init__(self, pivots: np.ndarray) -> None:
+        self.pivots = pivots
+        self.apart = np.sqrt(np.maximum(((pivots[:, None] - pivots[None]) ** 2).sum(axis=2), 0.0))
+        self.count = np.zeros(len(pivots), np.int64)
+        self.nearest, self.furthest = np.zeros(len(pivots)), np.zeros(len(pivots))
+
+    def distances(self, x: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.stack([((x - p) ** 2).sum(axis=1) for p in self.pivots], axis=1))
+
+    def first(self, d: np.ndarray, k: int) -> np.ndarray:
+        """The cells of the nearest pivots that hold ``k`` rows together, as flags by row and cell."""
+        order = np.argsort(d, axis=1, kind="stable")
+        held = np.cumsum(self.count[order], axis=1)
+        flags = np.zeros(d.shape, bool)
+        np.put_along_axis(flags, order, held - self.count[order] < k, axis=1)
+        return flags & (self.count > 0)
+
+    def least(self, d: np.ndarray) -> np.ndarray:
+        """No row of a cell is nearer than this: by the cell's shell, and by the planes that part it from the other cells."""
+        bound = np.maximum(np.maximum(d - self.furthest, self.nearest - d), 0.0)
+        squares = d**2
+        for j in range(len(self.pivots)):
+            with np.errstate(divide="ignore", invalid="ignore"):
+                plane = (squares - squares[:, j : j + 1]) / (2 * self.apart[j])
+            bound = np.maximum(bound, np.where(self.apart[j] > 0, plane, 0.0))
+        return bound
+
+
+def _vectors_of(values: pd.Series) -> np.ndarray:
+    return np.array(values.tolist(), float)
+
+
+def _meet(left: DataFrame, visits: DataFrame, k: int, train_rows: int, test_rows: int) -> DataFrame:
+    """The ``k`` nearest of each visited cell: pieces of a cell meet blocks of the rows that visit it."""
+    sizes = {r["cell"]: (-(-r["n"] // train_rows), -(-r["m"] // test_rows)) for r in (
+        left.groupBy("cell").agg(F.count("*").alias("n")).join(visits.groupBy("cell").agg(F.count("*").alias("m")), "cell").collect()  # a row for each pivot
+    )}
+    table = left.sparkSession.createDataFrame([(c, n, m) for c, (n, m) in sizes.items()], "cell int, pieces int, blocks int")
+    known, asked = left.join(F.broadcast(table), "cell"), visits.join(F.broadcast(table), "cell")
+    cut = lambda of, n: F.pmod(F.xxhash64(of), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    known = known.withColumn("piece", cut("id", "pieces")).withColumn("block", every("blocks"))
+    asked = asked.withColumn("block", cut("asking", "blocks")).withColumn("piece", every("pieces"))
+    key = ["cell", "piece", "block"]
+    met = known.select("id", "v", "label", *key).groupBy(*key).cogroup(asked.select("asking", "w", *key).groupBy(*key))
+    return met.applyInPandas(_nearest_in(k), "id long, neighbour long, distance double, label int")
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("distance", "neighbour"))
+    return found.withColumn("__r", rank).filter(F.col("__r") <= k).drop("__r")
+
 
-    Both tables are cut into hashed blocks and each block of one meets each of
-    the other in a task of its own; the best of all blocks are ranked by Spark.
-    Nothing passes the driver.
+def nearest(
+    train: DataFrame, test: DataFrame, k: int, vector: str = "embedding", label: str = "label", *, train_rows: int = TRAIN_ROWS, test_rows: int = TEST_ROWS, pivots: int | None = None,
+) -> DataFrame:
+    """``id, neighbour, distance, label``: the ``k`` nearest training rows of each test row by squared distance, ties to the smaller id.
+
+    Training rows belong to the cell of the nearest of some pivots, rows drawn by a hash. A test row first
+    visits the nearest cells that hold ``k`` rows; the distance of the k-th there bounds its search, and it goes on only to cells that can
+    hold anything as near, by the triangle inequality. Cells are cut into pieces and their visitors
+    into blocks, so that no group grows with the tables. Nothing but pivots and cell sizes passes the driver.
     """
-    n_train, n_test = max(1, -(-train.count() // train_rows)), max(1, -(-test.count() // test_rows))
-    n_test = max(n_test, min(test.sparkSession.sparkContext.defaultParallelism, 64) // n_train)
-    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = train.select("id", F.col(vector).alias("v"), F.col(label).cast("int").alias("label"), block(n_train).alias("a")).withColumn("b", every(n_test))
-    right = test.select(F.col("id").alias("asking"), F.col(vector).alias("w"), block(n_test).alias("d")).withColumn("c", every(n_train))
-    best = left.groupBy("a", "b").cogroup(right.groupBy("c", "d")).applyInPandas(_nearest_in(k), "id long, neighbour long, distance double, label int")
-    if n_train == 1:
-        return best
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("distance", "neighbour"))
-    return best.withColumn("__r", rank).filter(F.col("__r") <= k).drop("__r")
+    n_train = train.count()
+    if not n_train:
+        return test.sparkSession.createDataFrame([], "id long, neighbour long, distance double, label int")
+    n_pivots = min(n_train, pivots or max(1, min(PIVOTS, int(n_train**0.5))))
+    drawn = train.select("id", F.col(vector).alias("v")).orderBy(F.xxhash64("id", F.lit(7)), "id").limit(n_pivots).collect()
+    cells = _Cells(np.unique(np.array([r["v"] for r in drawn], float), axis=0))
+
+    @F.pandas_udf("cell int, far double")
+    def own_cell(v: pd.Series) -> pd.DataFrame:
+        d = cells.distances(_vectors_of(v))
+        return pd.DataFrame({"cell": d.argmin(axis=1).astype(np.int32), "far": d.min(axis=1)})
+
+    left = durable(train.select("id", F.col(vector).alias("v"), F.col(label).cast("int").alias("label")).withColumn("own", own_cell("v")).select("id", "v", "label", "own.*"))
+    for r in left.groupBy("cell").agg(F.count("*").alias("n"), F.min("far").alias("low"), F.max("far").alias("high")).collect():
+        cells.count[r["cell"]], cells.nearest[r["cell"]], cells.furthest[r["cell"]] = r["n"], r["low"], r["high"]
+
+    @F.pandas_udf("array<int>")
+    def first_cells(w: pd.Series) -> pd.Series:
+        return pd.Series([np.flatnonzero(f).astype(np.int32) for f in cells.first(cells.distances(_vectors_of(w)), k)], dtype=object)
+
+    @F.pandas_udf("array<int>")
+    def more_cells(w: pd.Series, within: pd.Series) -> pd.Series:
+        d = cells.distances(_vectors_of(w))
+        tau = np.sqrt(within.fillna(np.inf).to_numpy(float))
+        slack = 1e-7 * (1 + d.max(axis=1) + np.where(np.isinf(tau), 0.0, tau))  # for rounding
+        flags = (cells.least(d) <= (tau + slack)[:, None]) & (cells.count > 0) & ~cells.first(d, k)
+        return pd.Series([np.flatnonzero(f).astype(np.int32) for f in flags], dtype=object)
+
+    asking = test.select(F.col("id").alias("asking"), F.col(vector).alias("w"))
+    visits = asking.withColumn("cell", F.explode(first_cells("w")))
+    near = durable(_best(_meet(left, visits, k, train_rows, test_rows), k))
+    bound = near.groupBy("id").agg(F.max("distance").alias("within"), F.count("*").alias("n"))
+    bounded = asking.join(bound.withColumnRenamed("id", "asking"), "asking", "left").withColumn("within", F.when(F.col("n") >= k, F.col("within")))
+    further = durable(bounded.select("asking", "w", F.explode(more_cells("w", F.col("within").cast("double"))).alias("cell")))
+    return _best(near.unionByName(_meet(left, further, k, train_rows, test_rows)), k)
 
 
 def knn_classify(train: DataFrame, test: DataFrame, k: int, vector: str = "embedding", label: str = "label") -> DataFrame:

@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketloom.operators.order_statistics import exact_quantile
+from marketloom.sources.durable import durable
+
 #: 1 / sqrt(2 pi)
 INV_SQRT_2PI = 0.3989422804014327
 #: Coefficients of West's double-precision rational approximation of the normal distribution function (fixed values).
@@ -142,10 +145,13 @@ def barrier_payoff(paths: DataFrame, strike: float, barrier: float, key: str = "
 def portfolio_var(pnl: DataFrame, weights: dict[str, float], level: float, key: str = "sim_id", exact: bool = True) -> DataFrame:
     """One row ``mean_pnl, value_at_risk``: weighted P&L by scenario and its (1 - level) percentile.
 
-    ``exact=False`` takes Spark's percentile sketch (accuracy 1/10,000 of the
-    ranks) for more scenarios than one task should sort.
+    The exact percentile is found by refining counts, no task holds the scenarios;
+    ``exact=False`` takes Spark's percentile sketch (accuracy 1/10,000 of the ranks) in one pass.
     """
     total = sum((F.col(c) * F.lit(float(w)) for c, w in weights.items()), F.lit(0.0))
     by_sim = pnl.groupBy(key).agg(F.sum(total).alias("pnl"))
-    quantile = F.percentile("pnl", 1 - level) if exact else F.percentile_approx("pnl", 1 - level, 10_000)
-    return by_sim.agg(F.avg("pnl").alias("mean_pnl"), quantile.alias("value_at_risk"))
+    if not exact:
+        return by_sim.agg(F.avg("pnl").alias("mean_pnl"), F.percentile_approx("pnl", 1 - level, 10_000).alias("value_at_risk"))
+    by_sim = durable(by_sim)
+    at_risk = exact_quantile(by_sim, "pnl", 1 - level, interpolated=True)
+    return by_sim.agg(F.avg("pnl").alias("mean_pnl")).withColumn("value_at_risk", F.lit(at_risk).cast("double"))

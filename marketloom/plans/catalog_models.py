@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.operators import aggregate, evaluate, models
+from marketloom.operators import aggregate, boosting, evaluate, models
 from marketloom.plans import datasets
 from marketloom.plans.registry import Views, query
 from marketloom.sources.durable import new_path
@@ -166,6 +166,20 @@ def l2_classes(v: Views):
     return models.fit_boosted(stop, _E, "kind", rounds=4, depth=3, classes=3, validation="validation").transform(test).select("id", "prediction")
 
 
+_SUMMARY = [f"{c}_{k}" for c in ("price", "bid_size", "ask_size", "flux") for k in ("mean", "std", "min", "max")]
+
+
+@query("l2_softmax_boosted")
+def l2_softmax(v: Views):
+    """Series summaries to 24 classes; a summary of exactly 0 counts as missing."""
+    kinds = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    series = aggregate.series_aggregate(v("order_flow"), ["price", "bid_size", "ask_size", "flux"], kinds).join(v("series_label"), "obs_id")
+    series = series.withColumns({c: F.when(F.col(c) != 0, F.col(c)) for c in _SUMMARY})
+    train, test = series.filter("obs_id % 5 > 0").withColumn("stop", F.col("obs_id") % 7 == 0), series.filter("obs_id % 5 = 0")
+    model = boosting.fit_softmax_boosted(train, _SUMMARY, "eqt_code_cat", 24, rounds=5, depth=2, validation="stop")
+    return model.transform(test).select("obs_id", "prediction")
+
+
 @query("l3_svm")
 def l3_svm(v: Views):
     train, test = (d.withColumn("kind", F.col("label") % 2) for d in _halves(v))
