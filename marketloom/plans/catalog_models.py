@@ -244,18 +244,22 @@ def l8_sweep(v: Views):
 # --- streams ----------------------------------------------------------------
 
 
-def run_stream(v: Views, source: DataFrame, job, mode: str = "append") -> DataFrame:
-    """Write a table as files, run a streaming job over them until all are read, and read its result."""
+def run_stream(v: Views, source: DataFrame, job, keys: list[str] | None = None) -> DataFrame:
+    """Write a table as files, run a streaming job over them until all are read, and read its result.
+
+    With ``keys`` the job's result is a table by these keys, changed in each batch.
+    """
     spark = v.spark
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     files, out, state = (new_path(spark, f"stream-{n}") for n in ("in", "out", "state"))
     source.write.parquet(files)
     stream = job(spark.readStream.schema(source.schema).parquet(files))
-    writer = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", state).outputMode(mode)
-    if mode == "append":
-        writer.format("parquet").start(out).awaitTermination()
-    else:  # the last batch holds the complete result
-        writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out)).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    writer = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", state)
+    if not keys:
+        writer.outputMode("append").format("parquet").start(out).awaitTermination()
+        return spark.read.schema(stream.schema).parquet(out)
+    writer.outputMode("update").foreachBatch(jobs.upsert_by_batch(out, keys)).start().awaitTermination()
+    return jobs.latest(spark, out, keys, stream.schema)
 
 
 def _zones(v: Views) -> DataFrame:
@@ -275,7 +279,7 @@ def m2(v: Views):
 
 @query("m3_stream_trade_state", "SELECT instrument, arg_max(price, {t: ts, i: id}) AS last_price, count(*) AS n_trades, sum(qty)::BIGINT AS volume FROM trades GROUP BY instrument")
 def m3(v: Views):
-    return run_stream(v, v("trades"), jobs.stream_trade_state, "complete")
+    return run_stream(v, v("trades"), jobs.stream_trade_state, ["instrument"])
 
 
 @query("m4_stream_stop_triggers")
