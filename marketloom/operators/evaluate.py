@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom.operators.order_statistics import exact_quantile
+from marketloom.operators.pricing import norm_cdf
 from marketloom.sources.tables import running
 
 _c = F.col
@@ -118,16 +120,44 @@ def run_summary(df: DataFrame, model: str = "model", score: str = "score") -> Da
     return df.groupBy(model).agg(F.avg(score).alias("mean"), F.stddev_pop(score).alias("std"), F.count(F.lit(1)).alias("n"))
 
 
+#: Up to so many differences without ties the exact distribution of the rank sum is used.
+EXACT_RANKS = 50
+
+
+def rank_sum_shares(most: int) -> list[tuple[int, int, float]]:
+    """``n, statistic, p``: for up to ``most`` ranks with random signs, twice the chance of a rank sum at most the statistic (1 at most)."""
+    ways, out = np.array([1.0]), []
+    for n in range(1, most + 1):
+        longer = np.zeros(len(ways) + n)
+        longer[: len(ways)] += ways
+        longer[n:] += ways
+        ways = longer
+        below = np.cumsum(ways) / 2.0**n
+        out += [(n, t, min(1.0, 2 * float(below[t]))) for t in range(n * (n + 1) // 4 + 1)]
+    return out
+
+
 def wilcoxon(df: DataFrame, a: str, b: str, by: list[str] | None = None) -> DataFrame:
-    """Signed-rank statistic of paired scores: the smaller sum of average ranks of ``|a - b|``; zero differences are left out."""
+    """Signed-rank test of paired scores: ``statistic``, ``n`` and the two-sided ``p_value``; zero differences are left out.
+
+    The statistic is the smaller sum of average ranks of ``|a - b|``. Without ties and up to ``EXACT_RANKS`` differences the
+    p-value comes from the exact distribution, otherwise from the normal form with the variance corrected for ties; without any spread it is null.
+    """
     by = by or []
     d = df.select(*by, (_c(a) - _c(b)).alias("d")).filter("d <> 0")
     # ties share the mean of their ranks: one row per size of difference is ranked, by a running count
     sizes = d.groupBy(*by, F.abs("d").alias("size")).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(_c("d") > 0, 1)).alias("n_up"))
     ranked = running(sizes, by, ["size"], sums={"upto": "n"})
     rank = _c("upto") - (_c("n") - 1) / F.lit(2.0)
-    up, down = F.sum(rank * _c("n_up")), F.sum(rank * (_c("n") - _c("n_up")))
-    return ranked.groupBy(*by).agg(F.least(up, down).alias("statistic"), F.sum("n").alias("n"))
+    up, down, m = F.sum(rank * _c("n_up")), F.sum(rank * (_c("n") - _c("n_up"))), _c("n").cast("double")
+    summed = ranked.groupBy(*by).agg(F.least(up, down).alias("statistic"), F.sum("n").alias("n"), F.sum(m * m * m - m).alias("__ties"))
+    # a table of at most EXACT_RANKS ** 3 / 12 rows
+    table = df.sparkSession.createDataFrame(rank_sum_shares(EXACT_RANKS), "__n int, __t int, __exact double")
+    joined = summed.join(F.broadcast(table), (_c("n") == _c("__n")) & (_c("statistic") == _c("__t")) & (_c("__ties") == 0), "left")
+    n = _c("n").cast("double")
+    spread = F.sqrt((n * (n + 1) * (2 * n + 1) - _c("__ties") / 2) / 24)
+    z = F.try_divide(F.lit(0.0) - F.abs(_c("statistic") - n * (n + 1) / 4), spread)
+    return joined.select(*by, "statistic", "n", F.coalesce("__exact", F.least(F.lit(1.0), 2 * norm_cdf(z))).alias("p_value"))
 
 
 def multilabel_targets(pixels: DataFrame, annotated: DataFrame, n: int) -> DataFrame:

@@ -103,7 +103,7 @@ def _pdf(x: str) -> str:
     return f"({pricing.INV_SQRT_2PI!r}::DOUBLE * exp(-({x}) * ({x}) / 2))"
 
 
-def _cdf(x: str) -> str:
+def cdf(x: str) -> str:
     """The same rational formula as SQL text."""
     a = f"abs({x})"
 
@@ -119,7 +119,7 @@ def _cdf(x: str) -> str:
     return f"(CASE WHEN {x} > 0 THEN 1 - ({below}) ELSE {below} END)"
 
 
-@query("j1_normal", f"SELECT event_id, {_pdf('z')} AS pdf, {_cdf('z')} AS cdf FROM (SELECT event_id, flux / 200 AS z FROM order_flow) x", "pdf cdf", 9)
+@query("j1_normal", f"SELECT event_id, {_pdf('z')} AS pdf, {cdf('z')} AS cdf FROM (SELECT event_id, flux / 200 AS z FROM order_flow) x", "pdf cdf", 9)
 def j1(v: Views):
     z = F.col("flux") / 200
     return v("order_flow").select("event_id", pricing.norm_pdf(z).alias("pdf"), pricing.norm_cdf(z).alias("cdf"))
@@ -127,7 +127,7 @@ def j1(v: Views):
 
 def _priced(table: str) -> str:
     d = f"(SELECT *, (ln(s / k) + (r + sigma * sigma / 2) * t) / (sigma * sqrt(t)) AS d1 FROM {table})"
-    return f"(SELECT *, {_cdf('d1')} AS n1, {_cdf('(d1 - sigma * sqrt(t))')} AS n2, {_pdf('d1')} AS p1, d1 - sigma * sqrt(t) AS d2, exp(-r * t) AS disc FROM {d} c)"
+    return f"(SELECT *, {cdf('d1')} AS n1, {cdf('(d1 - sigma * sqrt(t))')} AS n2, {_pdf('d1')} AS p1, d1 - sigma * sqrt(t) AS d2, exp(-r * t) AS disc FROM {d} c)"
 
 
 _PRICE = "CASE WHEN option_type = 'call' THEN s * n1 - k * disc * n2 ELSE k * disc * (1 - n2) - s * (1 - n1) END"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marketloom.operators import aggregate, boosting, evaluate, models
 from marketloom.plans import datasets
+from marketloom.plans.catalog_market import cdf
 from marketloom.plans.registry import Views, query
 from marketloom.sources.durable import new_path
 from marketloom.streaming import jobs
@@ -95,9 +96,13 @@ def k12(v: Views):
     return evaluate.run_summary(v("order_flow").select(F.col("venue").alias("model"), F.col("price").alias("score")))
 
 
-@query("k12_wilcoxon", """WITH d AS (SELECT venue, bid_size - ask_size AS d FROM order_flow WHERE bid_size <> ask_size),
-r AS (SELECT *, rank() OVER (PARTITION BY venue ORDER BY abs(d)) + (count(*) OVER (PARTITION BY venue, abs(d)) - 1) / 2 AS r FROM d)
-SELECT venue, least(coalesce(sum(r) FILTER (d > 0), 0), coalesce(sum(r) FILTER (d < 0), 0)) AS statistic, count(*) AS n FROM r GROUP BY venue""", "statistic", 3)
+_Z = "(-abs(statistic - n * (n + 1) / 4) / sqrt((n * (n + 1) * (2 * n + 1) - ties / 2) / 24))"
+
+
+@query("k12_wilcoxon", f"""WITH d AS (SELECT venue, bid_size - ask_size AS d FROM order_flow WHERE bid_size <> ask_size),
+r AS (SELECT *, rank() OVER (PARTITION BY venue ORDER BY abs(d)) + (count(*) OVER (PARTITION BY venue, abs(d)) - 1) / 2 AS r, count(*) OVER (PARTITION BY venue, abs(d))::DOUBLE AS same FROM d),
+s AS (SELECT venue, least(coalesce(sum(r) FILTER (d > 0), 0), coalesce(sum(r) FILTER (d < 0), 0)) AS statistic, count(*) AS n, sum(same * same - 1) AS ties FROM r GROUP BY venue)
+SELECT venue, statistic, n, least(1, 2 * {cdf(_Z)}) AS p_value FROM s""", "statistic p_value", 3)
 def k12_wilcoxon(v: Views):
     return evaluate.wilcoxon(v("order_flow"), "bid_size", "ask_size", ["venue"])
 
@@ -195,7 +200,7 @@ def l3(v: Views):
 @query("l4_bagging")
 def l4(v: Views):
     train, test = _halves(v)
-    return models.bagging_errors(train, test, _E[1:], "e0", [2, 5], share=0.25, depth=4)
+    return models.bagging_errors(train, test, _E[1:], "e0", [1, 2, 3, 5, 8], share=0.25, depth=4)
 
 
 @query("l5_grid_search")
@@ -203,6 +208,12 @@ def l5(v: Views):
     return models.grid_search(_halves(v)[0], _E, "label", depths=[2, 4], trees=[5], folds=2)[1]
 
 
+@query("l5_random_search")
+def l5_random(v: Views):
+    drawn = {"maxDepth": (2, 5), "numTrees": [3, 5, 8], "subsamplingRate": (0.5, 1.0)}
+    return models.random_search(_halves(v)[0], _E, "label", drawn, key="id", draws=3, folds=2)[1]
+
+
 @query("l6_impute_forest")
 def l6(v: Views):
     gaps = _vectors(v).withColumn("e0", F.when(F.col("id") % 4 > 0, F.col("e0")))
@@ -282,11 +293,17 @@ def m3(v: Views):
     return run_stream(v, v("trades"), jobs.stream_trade_state, ["instrument"])
 
 
-@query("m4_stream_stop_triggers")
+@query("m4_stream_stop_triggers", """WITH last AS (SELECT instrument, ts, arg_max(price, id) AS price FROM trades GROUP BY ALL),
+judged AS (SELECT s.*, (SELECT arg_max(price, ts) FROM last l WHERE l.instrument = s.instrument AND l.ts <= s.ts) AS before,
+    (SELECT min(ts) FROM last l WHERE l.instrument = s.instrument AND l.ts > s.ts AND CASE WHEN s.side = 'buy' THEN l.price >= s.stop_price ELSE l.price <= s.stop_price END) AS later FROM stops s),
+found AS (SELECT *, CASE WHEN coalesce(CASE WHEN side = 'buy' THEN before >= stop_price ELSE before <= stop_price END, FALSE) THEN ts ELSE later END AS t FROM judged)
+SELECT f.instrument, f.id, f.side, f.stop_price, strftime(t, '%Y-%m-%d %H:%M:%S') AS trigger_ts, CASE WHEN later IS NULL OR t < later THEN before ELSE l.price END AS trade_price
+FROM found f LEFT JOIN last l ON l.instrument = f.instrument AND l.ts = f.t WHERE t IS NOT NULL""")
 def m4(v: Views):
     stops = v("stops").select("instrument", F.lit("stop").alias("kind"), "id", F.col("ts").cast("timestamp").alias("ts"), "side", F.col("stop_price").alias("price"))
     trades = v("trades").select("instrument", F.lit("trade").alias("kind"), "id", F.col("ts").cast("timestamp").alias("ts"), "side", "price")
-    return run_stream(v, stops.unionByName(trades), jobs.stream_stop_triggers)
+    found = run_stream(v, stops.unionByName(trades), jobs.stream_stop_triggers)
+    return found.withColumn("trigger_ts", F.date_format("trigger_ts", "yyyy-MM-dd HH:mm:ss"))
 
 
 # --- datasets ---------------------------------------------------------------

@@ -149,3 +149,36 @@ def test_poisson_steps_cover_what_the_hash_can_tell():
     for mean in (0.0, 0.3, 20.0, 5000.0):
         first, steps = scale.poisson_steps(mean)
         assert steps[-1] > 1 - 2.0**-32 and len(steps) < 60 * math.sqrt(mean + 1) and first >= 0
+
+
+def test_bagging_errors_come_from_one_fit(rows):
+    train, test = rows
+    counts = [1, 2, 4, 6]
+    got = {r["trees"]: r["mse"] for r in models.bagging_errors(train, test, X, "target", counts, depth=6).collect()}
+    *before, forest = models.fit_bagging(train, X, "target", trees=6, depth=6).stages
+    vectors = before[0].transform(test).orderBy("id").collect()
+    each = np.array([[t.predict(r.features) for r in vectors] for t in forest.trees])
+    y = np.array([r.target for r in vectors])
+    for t in counts:
+        assert got[t] == pytest.approx(((each[:t].mean(axis=0) - y) ** 2).mean())
+    assert got[6] == pytest.approx(squared(models.fit_bagging(train, X, "target", trees=6, depth=6).transform(test), "target"))
+
+
+def test_random_search_repeats_and_takes_the_best(rows):
+    train, test = rows
+    drawn = {"maxDepth": (1, 6), "numTrees": [2, 5], "subsamplingRate": (0.5, 1.0)}
+    assert models.drawn_parameters(drawn, 5, 1) == models.drawn_parameters(drawn, 5, 1) != models.drawn_parameters(drawn, 5, 2)
+    assert all(1 <= p["maxDepth"] <= 6 and p["numTrees"] in (2, 5) and 0.5 <= p["subsamplingRate"] <= 1 for p in models.drawn_parameters(drawn, 30, 3))
+    assert len(models.drawn_parameters({"maxDepth": [1, 2]}, 9, 1)) == 2
+    model, scores = models.random_search(train, X, "three", {"maxDepth": [0, 5], "numTrees": [5]}, key="id", draws=4, folds=3)
+    found = {r.params: r.score for r in scores.collect()}
+    assert found['{"maxDepth": 5, "numTrees": 5}'] > found['{"maxDepth": 0, "numTrees": 5}'] and len(found) == 2
+    assert model.stages[-1].getOrDefault("maxDepth") == 5 and hit(model.transform(test), "three") > 0.93
+    fold = F.pmod(F.xxhash64("id", F.lit(42)), F.lit(3))
+    by_hand = []
+    for f in range(3):
+        fitted = models.fit_forest(train.filter(fold != f), X, "three", trees=5, depth=5)
+        by_hand.append(hit(fitted.transform(train.filter(fold == f)), "three"))
+    assert found['{"maxDepth": 5, "numTrees": 5}'] == pytest.approx(np.mean(by_hand), abs=0.02)
+    _, errors = models.random_search(train, X, "target", {"maxDepth": [1, 6]}, key="id", draws=2, folds=2, regression=True)
+    assert all(r.score < 0 for r in errors.collect()) and errors.count() == 2

@@ -1,5 +1,7 @@
 """Order statistics by refined brackets, and nearest neighbours by pivots, against sorting."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -78,3 +80,29 @@ def test_cells_leave_most_rows_out():
     q = d[:200]
     tau = np.sqrt(np.sort(((x[:200, None] - x[None]) ** 2).sum(axis=2), axis=1)[:, 4])
     assert (cells.least(q) <= tau[:, None] + 1e-9).mean() < 0.2
+
+
+# --- signed ranks -----------------------------------------------------------
+
+
+def test_signed_rank_p_values(spark):
+    from itertools import product
+
+    exact = {(n, t): p for n, t, p in evaluate.rank_sum_shares(9)}
+    for n in (1, 4, 9):
+        sums = np.array([sum(r for r, s in zip(range(1, n + 1), signs, strict=True) if s) for signs in product((0, 1), repeat=n)])
+        for t in range(n * (n + 1) // 4 + 1):
+            assert exact[n, t] == pytest.approx(min(1.0, 2 * (sums <= t).mean()))
+    d = [1.1, -2.3, 3.7, 4.2, -5.9, 6.1, 7.8, 8.4]  # ranks 2 and 5 are negative
+    tied = [1.0, 1.0, -1.0, 2.0, 3.0, 3.0, 0.0]
+    many = [(-1.0 if i % 3 == 0 else 1.0) * (i + 0.5) for i in range(60)]
+    rows = [("exact", x, 0.0) for x in d] + [("tied", x, 0.0) for x in tied] + [("many", x, 0.0) for x in many] + [("none", 1.0, 1.0)]
+    got = {r.g: r for r in evaluate.wilcoxon(spark.createDataFrame(rows, "g string, a double, b double"), "a", "b", ["g"]).collect()}
+    assert "none" not in got
+    assert (got["exact"].statistic, got["exact"].n) == (7.0, 8) and got["exact"].p_value == pytest.approx(0.1484375)
+    cdf = lambda z: 0.5 * (1 + math.erf(z / math.sqrt(2)))
+    # six differences of which three share rank 2 and two rank 5.5
+    assert got["tied"].statistic == 2.0
+    assert got["tied"].p_value == pytest.approx(2 * cdf(-(abs(2 - 10.5)) / math.sqrt((6 * 7 * 13 - (24 + 6) / 2) / 24)))
+    down = sum(i + 1 for i in range(60) if i % 3 == 0)
+    assert got["many"].p_value == pytest.approx(2 * cdf(-abs(down - 60 * 61 / 4) / math.sqrt(60 * 61 * 121 / 24)))
