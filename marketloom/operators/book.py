@@ -131,10 +131,8 @@ def uncross(orders: DataFrame) -> DataFrame:
     order = F.struct("id", "price", "end")
     of = lambda side: F.first(F.when(_c("side") == side, order), ignorenulls=True)
     cuts = ends.groupBy("instrument", "end").agg(of("buy").alias("b"), of("sell").alias("s"))
-    # from the far end: the order whose end comes next holds the segment
-    filled = running(cuts, ["instrument"], [F.desc("end")], lasts={"bid": "b", "ask": "s"})
-    # a segment begins where the one before it ended
-    segments = running(filled, ["instrument"], ["end"], lags={"before": "end"}).withColumn("begin", F.coalesce("before", F.lit(0)))
+    # the order whose end comes next holds the segment, which begins where the one before it ended
+    segments = running(cuts, ["instrument"], ["end"], nexts={"bid": "b", "ask": "s"}, lags={"before": "end"}).withColumn("begin", F.coalesce("before", F.lit(0)))
     crossing = segments.filter("bid.price >= ask.price")
     # what each order still has where the segment begins
     initiator = F.when(_c("bid.end") >= _c("ask.end"), "buy").otherwise("sell")

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.functions.clean import prefix_columns
 from marketloom.operators.aggregate import class_stats
+from marketloom.sources.tables import running
 
 
 def with_labels(df: DataFrame, labels: DataFrame, key: str = "obs_id") -> DataFrame:
@@ -77,13 +78,10 @@ def interpolate(curve: DataFrame, points: DataFrame, key: str, x: str, y: str) -
     """Linear interpolation of a curve at query points by key; ends are held. Curve points win ties."""
     own = curve.select(key, F.col(x).alias("__x"), F.col(y).alias("__y"), F.lit(0).alias("__q"), F.lit(None).cast("long").alias("point_id"))
     ask = points.select(key, F.col(x).alias("__x"), F.lit(None).cast("double").alias("__y"), F.lit(1).alias("__q"), "point_id")
-    w = Window.partitionBy(key).orderBy("__x", "__q")
     pair = F.when(F.col("__y").isNotNull(), F.struct("__x", "__y"))
-    both = own.unionByName(ask).withColumn("__p", pair)
-    both = both.withColumn("__a", F.last("__p", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    # from the far end, so that the frame grows row by row
-    back = Window.partitionBy(key).orderBy(F.desc("__x"), "__q").rowsBetween(Window.unboundedPreceding, 0)
-    both = both.withColumn("__b", F.last("__p", ignorenulls=True).over(back)).filter("__q = 1")
+    both = own.unionByName(ask).withColumn("__point", pair)
+    # a point at the query's own x comes before it: it is then the left end, and its share of the right one is 0
+    both = running(both, [key], ["__x", "__q"], lasts={"__a": "__point"}, nexts={"__b": "__point"}).filter("__q = 1")
     x0, y0, x1, y1 = F.col("__a.__x"), F.col("__a.__y"), F.col("__b.__x"), F.col("__b.__y")
     between = y0 + (y1 - y0) * F.coalesce(F.try_divide(F.col("__x") - x0, x1 - x0), F.lit(0.0))
     return both.select(key, "point_id", F.col("__x").alias(x), F.when(F.col("__a").isNull(), y1).when(F.col("__b").isNull(), y0).otherwise(between).alias(y))

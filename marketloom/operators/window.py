@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom.functions.clean import EPS, signed_log
-from marketloom.sources.tables import number_rows
+from marketloom.sources.tables import number_rows, running
 
 #: Rows at the ends of partitions that a whole-table difference broadcasts; more are joined by a shuffle.
 MOST_TAILS = 1 << 18
@@ -168,22 +168,17 @@ def log_returns(df: DataFrame, key: str, ts: str, close: str) -> DataFrame:
 
 
 def ffill_bfill(df: DataFrame, key: str | list[str], ts: str, cols: list[str]) -> DataFrame:
-    """Fill nulls with the last value before, and at the start with the first one after.
-
-    Where nothing stands before, the first value after is the first of all: a
-    frame over the whole series, which Spark evaluates once (one that begins at
-    the current row would be evaluated anew for each).
-    """
-    w = series(key, ts)
-    back, whole = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return df.withColumns({c: F.coalesce(F.last(c, ignorenulls=True).over(back), F.first(c, ignorenulls=True).over(whole)) for c in cols})
+    """Fill nulls with the last value before, and at the start with the first one after, however long a series is."""
+    keys = [key] if isinstance(key, str) else key
+    filled = running(df, keys, [ts], lasts={f"__before_{c}": c for c in cols}, nexts={f"__after_{c}": c for c in cols})
+    return filled.select(*[F.coalesce(f"__before_{c}", f"__after_{c}").alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
 def _complete(df: DataFrame, key: str, ts: str, col: str, step: str) -> DataFrame:
     span = df.groupBy(key).agg(F.min(ts).alias("__a"), F.max(ts).alias("__b"))
     grid = span.select(key, F.explode(F.sequence("__a", "__b", F.expr(step))).alias(ts))
     joined = grid.join(df.select(key, ts, col), [key, ts], "left")
-    return joined.withColumn(col, F.last(col, ignorenulls=True).over(series(key, ts).rowsBetween(Window.unboundedPreceding, 0)))
+    return running(joined, [key], [ts], lasts={"__known": col}).select(key, ts, F.col("__known").alias(col))
 
 
 def resample_hourly_ffill(df: DataFrame, key: str, ts: str, col: str) -> DataFrame:

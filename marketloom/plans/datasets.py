@@ -36,7 +36,8 @@ def build_features(df: DataFrame, preset: str = "full", *, log_skewed: bool | li
     All windows share the series key, so that one exchange and one sort serve
     them. ``log_skewed`` adds log copies of the columns whose skewness exceeds
     ``skew_limit``, or of those in a list, as found on other rows; it and
-    ``corr_threshold`` read back one row of statistics, which takes a pass.
+    ``corr_threshold`` read back one row of statistics, for which the rows are written
+    to the checkpoint folder once.
     Infinities become 0.
     """
     on = [g for g in GROUPS if switches.get(g, g in PRESETS[preset])]
@@ -59,6 +60,10 @@ def build_features(df: DataFrame, preset: str = "full", *, log_skewed: bool | li
     if "logs" in on:
         df = features.log_levels(df, ["bid_size", "ask_size", "flux"])
     names = [c for g in on for c in GROUPS[g]]
+    held = [c for c in (*BASE, *keep) if c in df.columns]
+    if log_skewed is True or corr_threshold:
+        # the statistics and the caller read the rows: windows are computed once
+        df = durable(df.select(*dict.fromkeys([*held, *names])))
     if log_skewed:
         can = [c for c in SCREENED if c in names]
         screened = aggregate.skew_screen(df, can, skew_limit) if log_skewed is True else [c for c in can if c in log_skewed]
@@ -67,7 +72,7 @@ def build_features(df: DataFrame, preset: str = "full", *, log_skewed: bool | li
     if corr_threshold:
         dropped = aggregate.correlation_prune(df, names, corr_threshold)
         names = [c for c in names if c not in dropped]
-    out = list(dict.fromkeys([*(c for c in (*BASE, *keep) if c in df.columns), *names]))
+    out = list(dict.fromkeys([*held, *names]))
     return clean.inf_to(df.select(*out), [c for c, kind in df.select(*names).dtypes if kind in ("double", "float")], 0.0), out
 
 
@@ -81,8 +86,7 @@ def prepare_dataset(train: DataFrame, labels: DataFrame, test: DataFrame, *, pre
     train, test = clean.apply_ordinal(train, codes, categories), clean.apply_ordinal(test, codes, categories)
     train = join.with_labels(train, labels)
     train = join.remove_outlier_series(train, "eqt_code_cat", ["price", "bid", "ask"], limits[0], enabled=remove_outliers)
-    own, names = build_features(train, preset, keep=("eqt_code_cat",))
-    own = durable(own)  # read for statistics, scaling and the second outlier pass
+    own, names = build_features(train, preset, keep=("eqt_code_cat",))  # written; read for statistics, scaling and the second outlier pass
     other, _ = build_features(test, preset, log_skewed=[c for c in SCREENED if f"log_{c}" in names])
     scaled = [c for c in names if c not in (*BASE, "eqt_code_cat", "order_event_count")]
     train_z, test_z = scale.zscore_train(own, own, scaled), scale.zscore_train(own, other, scaled)

@@ -68,28 +68,32 @@ def rank_within(df: DataFrame, keys: list[str], order_cols: list, name: str) ->
     return ranked.withColumn(name, F.col("__row") - F.col("__first")).drop("__row", "__first", *[f"__key_{i}" for i in range(len(keys))])
 
 
-def running(df: DataFrame, keys: list[str], order_cols: list, *, sums: dict[str, str] | None = None, lasts: dict[str, str] | None = None, lags: dict[str, str] | None = None) -> DataFrame:
-    """Running values inside each group in an order: sums and last known values up to a row, values of the row before.
+def running(df: DataFrame, keys: list[str], order_cols: list, *, sums: dict[str, str] | None = None, lasts: dict[str, str] | None = None, nexts: dict[str, str] | None = None, lags: dict[str, str] | None = None) -> DataFrame:
+    """Running values inside each group in an order: sums and last known values up to a row, next known values from it on, values of the row before.
 
-    ``sums``, ``lasts`` and ``lags`` map new names to columns. No window is wider
-    than a range partition: what a group has gathered in earlier partitions, one
-    row per group and partition, is added to the partition's own running value.
+    ``sums``, ``lasts``, ``nexts`` and ``lags`` map new names to columns. No window is wider
+    than a range partition: what a group has gathered in earlier partitions (for ``nexts`` in later
+    ones), one row per group and partition, is added to the partition's own running value. One sort serves both directions.
     """
-    sums, lasts, lags = sums or {}, lasts or {}, lags or {}
+    sums, lasts, nexts, lags = sums or {}, lasts or {}, nexts or {}, lags or {}
     ranged = _ranged(df, [*keys, *order_cols])
     inside = Window.partitionBy("__part", *keys).orderBy("__place")
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    fromon = Window.partitionBy("__part", *keys).orderBy(F.desc("__place")).rowsBetween(Window.unboundedPreceding, 0)
     earlier = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    known = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("__place")))
+    later = Window.partitionBy(*keys).orderBy(F.desc("__part")).rowsBetween(Window.unboundedPreceding, -1)
+    known = lambda c, by=F.max_by: by(c, F.when(F.col(c).isNotNull(), F.col("__place")))
     totals = ranged.groupBy("__part", *keys).agg(
         F.count(F.lit(1)).alias("__rows"),
         *[F.sum(c).alias(f"__sum_{n}") for n, c in sums.items()], *[known(c).alias(f"__last_{n}") for n, c in lasts.items()],
+        *[known(c, F.min_by).alias(f"__next_{n}") for n, c in nexts.items()],
         *[F.max_by(F.struct(F.col(c).alias("v")), "__place").alias(f"__lag_{n}") for n, c in lags.items()],
     )
     carried = totals.select(
         F.col("__part").alias("__p"), *[F.col(k).alias(f"__key_{i}") for i, k in enumerate(keys)],
         *[F.sum(f"__sum_{n}").over(earlier).alias(f"__sum_{n}") for n in sums],
         *[F.last(f"__last_{n}", ignorenulls=True).over(earlier).alias(f"__last_{n}") for n in lasts],
+        *[F.last(f"__next_{n}", ignorenulls=True).over(later).alias(f"__next_{n}") for n in nexts],
         *[F.last(f"__lag_{n}").over(earlier).alias(f"__lag_{n}") for n in lags],
     )
     same = F.col("__part") == F.col("__p")
@@ -98,6 +102,7 @@ def running(df: DataFrame, keys: list[str], order_cols: list, *, sums: dict[str,
     own = ranged.withColumns(
         {f"__own_{n}": F.sum(c).over(upto) for n, c in sums.items()}
         | {f"__own_{n}": F.last(c, ignorenulls=True).over(upto) for n, c in lasts.items()}
+        | {f"__own_{n}": F.last(c, ignorenulls=True).over(fromon) for n, c in nexts.items()}
         | {f"__own_{n}": F.lag(c).over(inside) for n, c in lags.items()}
         | ({"__nth": F.row_number().over(inside)} if lags else {})
     )
@@ -106,6 +111,7 @@ def running(df: DataFrame, keys: list[str], order_cols: list, *, sums: dict[str,
     added = lambda n: F.when(F.col(f"__own_{n}").isNull() & F.col(f"__sum_{n}").isNull(), None).otherwise(
         F.coalesce(f"__own_{n}", zero) + F.coalesce(f"__sum_{n}", zero))
     out = {n: added(n) for n in sums} | {n: F.coalesce(f"__own_{n}", f"__last_{n}") for n in lasts}
+    out |= {n: F.coalesce(f"__own_{n}", f"__next_{n}") for n in nexts}
     out |= {n: F.when(F.col("__nth") == 1, F.col(f"__lag_{n}.v")).otherwise(F.col(f"__own_{n}")) for n in lags}
     return joined.select(*df.columns, *[c.alias(n) for n, c in out.items()])
 

@@ -64,7 +64,7 @@ def test_splits_of_one_large_class(spark, few_rows_a_partition):
 def test_signed_ranks_with_ties(spark, few_rows_a_partition):
     df = spark.createDataFrame([(float(a), float(b)) for a, b in [(1, 2), (3, 1), (2, 2), (5, 4), (1, 4), (9, 2)]], "a double, b double")
     # sizes 1, 2, 1, 3, 7: ranks 1.5 down, 3 up, 1.5 up, 4 down, 5 up
-    assert tuple(evaluate.wilcoxon(df, "a", "b").first()) == (5.5, 5)
+    assert tuple(evaluate.wilcoxon(df, "a", "b").select("statistic", "n").first()) == (5.5, 5)
 
 
 def test_correlations_leave_out_missing_pairs(spark):
@@ -131,3 +131,41 @@ def test_log_copies_of_skewed_columns(spark):
     df = spark.createDataFrame([(x, -x) for x in [0.0, 1.0, 1.0, 1.0, 500.0]], "a double, b double")
     assert aggregate.skew_screen(df, ["a", "b"], 1.0) == ["a", "b"] and aggregate.skew_screen(df, ["a"], 3.0) == []
     assert round(aggregate.log_skewed(df, ["b"]).collect()[-1]["log_b"], 6) == -6.216606
+
+
+def test_next_known_values_across_partitions(spark, few_rows_a_partition):
+    r = random.Random(7)
+    data = [(r.choice(["x", "x", "x", "y", None]), i, r.choice([None, None, 1, 2])) for i in range(200)]
+    df = spark.createDataFrame(data, "k string, i int, v int").repartition(5)
+    got = {row["i"]: (row["n"], row["l"], row["b"]) for row in running(df, ["k"], ["i"], nexts={"n": "v"}, lasts={"l": "v"}, lags={"b": "i"}).collect()}
+    coming, want = {}, {}
+    for k, i, v in reversed(data):
+        coming[k] = coming.get(k) if v is None else v
+        want[i] = coming[k]
+    assert {i: n for i, (n, _, _) in got.items()} == want
+    filled = {row["i"]: row["v"] for row in window.ffill_bfill(df, "k", "i", ["v"]).collect()}
+    assert filled == {i: last if last is not None else n for i, (n, last, _) in got.items()}
+
+
+def test_hours_of_one_zone_across_partitions(spark, few_rows_a_partition):
+    r = random.Random(9)
+    kept = sorted(r.sample(range(150), 60))
+    df = spark.createDataFrame([("z", h, float(h)) for h in kept] + [("w", 3, 1.0)], "zone string, h int, v double").selectExpr("zone", "timestamp'2024-01-01' + make_interval(0, 0, 0, 0, h) AS ts", "h", "v")
+    got = {int((row["ts"] - row["ts"].replace(month=1, day=1, hour=0)).total_seconds() // 3600): row["v"] for row in window.resample_hourly_ffill(df, "zone", "ts", "v").filter("zone = 'z'").collect()}
+    assert got == {h: float(max(x for x in kept if x <= h)) for h in range(kept[0], kept[-1] + 1)}
+    years = window.complete_years(df.withColumn("y", F.lit(1900) + F.col("h")), "zone", "y", "v").filter("zone = 'z'").collect()
+    assert {row["y"] - 1900: row["v"] for row in years} == got
+
+
+def test_curve_of_many_points_across_partitions(spark, few_rows_a_partition):
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    x = np.sort(r.choice(1000, 80, replace=False)).astype(float)
+    y = r.normal(size=80)
+    ask = np.concatenate((r.uniform(-50, 1050, 100), x[::9]))
+    curve = spark.createDataFrame([("c", float(a), float(b)) for a, b in zip(x, y, strict=True)], "k string, x double, y double").repartition(4)
+    points = spark.createDataFrame([("c", float(a), i) for i, a in enumerate(ask)] + [("none", 1.0, 999)], "k string, x double, point_id long")
+    got = {row["point_id"]: row["y"] for row in join.interpolate(curve, points, "k", "x", "y").collect()}
+    assert got.pop(999) is None
+    assert [got[i] for i in range(len(ask))] == pytest.approx(np.interp(ask, x, y).tolist())
