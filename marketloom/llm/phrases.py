@@ -53,7 +53,12 @@ def words_of(text: str | None) -> list[bytes]:
 
 # --- codes ------------------------------------------------------------------
 
-CODES = "ids array<int>, codes array<long>, new_codes array<long>, new_langs array<string>, new_words array<string>"
+#: Numbers and codes are packed: little-endian codes of 64 bits, numbers of 16 bits if there are codes for no more, of 32 otherwise.
+CODES = "ids binary, codes binary, new_codes array<long>, new_langs array<string>, new_words array<string>"
+
+
+def _number_kind(n_codes: int) -> str:
+    return "<u2" if n_codes <= 1 << 16 else "<u4"
 
 
 class _Coder:
@@ -80,12 +85,12 @@ class _Coder:
                     fresh.append((code, lang, w))
             ids.extend(map(of.__getitem__, words))
             ids.append(0)
-        return np.frombuffer(ids, np.int32), np.array(codes, np.uint64).view(np.int64), fresh
+        return np.frombuffer(ids, np.int32).astype(_number_kind(len(codes))), np.array(codes, np.uint64), fresh
 
 
 def encoded(docs: DataFrame, seed: int, *, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Blocks of texts as numbers of words, the code of each number, and the words behind codes new to the task."""
-    kinds = {"ids": pa.int32(), "codes": pa.int64(), "new_codes": pa.int64(), "new_langs": pa.string(), "new_words": pa.string()}
+    lists = {"new_codes": pa.int64(), "new_langs": pa.string(), "new_words": pa.string()}
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _Coder(seed)
@@ -93,9 +98,10 @@ def encoded(docs: DataFrame, seed: int, *, text_col: str = "text", lang_col: str
         def row(texts: list) -> pa.RecordBatch:
             ids, codes, fresh = coder.block(texts)
             new = np.array([c for c, _, _ in fresh], np.uint64).view(np.int64)
-            held = (ids, codes, new, [lang for _, lang, _ in fresh], [w.decode("utf-8", "replace") for _, _, w in fresh])
-            flat = [pa.array(x, kind) for x, kind in zip(held, kinds.values(), strict=True)]
-            return pa.RecordBatch.from_pydict({name: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for name, x in zip(kinds, flat, strict=True)})
+            held = (new, [lang for _, lang, _ in fresh], [w.decode("utf-8", "replace") for _, _, w in fresh])
+            flat = [pa.array(x, kind) for x, kind in zip(held, lists.values(), strict=True)]
+            packed = {"ids": pa.array([ids.tobytes()], pa.binary()), "codes": pa.array([codes.tobytes()], pa.binary())}
+            return pa.RecordBatch.from_pydict(packed | {name: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for name, x in zip(lists, flat, strict=True)})
 
         held, size = [], 0
         for batch in batches:
@@ -120,8 +126,9 @@ def _of_blocks(work, schema: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                ids, codes = (batch.column(c)[i].values.to_numpy() for c in (0, 1))
-                yield pa.RecordBatch.from_pydict(work(ids, codes.view(np.uint64)))
+                packed, codes = (batch.column(c)[i].as_buffer() for c in (0, 1))
+                codes = np.frombuffer(codes, "<u8")
+                yield pa.RecordBatch.from_pydict(work(np.frombuffer(packed, _number_kind(len(codes))), codes))
 
     return lambda blocks: blocks.select("ids", "codes").mapInArrow(run, schema)
 

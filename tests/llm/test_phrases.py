@@ -77,9 +77,11 @@ def test_words_sharing_a_code_take_another_seed(documents, monkeypatch):
 
     def clumsy(docs, seed, **options):
         tried.append(seed)
-        short = lambda c: F.when(c == 0, c).otherwise(c.bitwiseAND(F.lit(1023)).bitwiseOR(F.lit(1)))
-        out = coded(docs, seed, **options)
-        return out if seed else out.withColumns({c: F.transform(c, short) for c in ("codes", "new_codes")})
+        if seed:
+            return coded(docs, seed, **options)
+        one = F.udf(lambda raw: (np.frombuffer(raw, "<u8") & np.uint64(1023) | np.uint64(1)).tobytes()[8:].rjust(len(raw), b"\0"), "binary")
+        short = lambda c: c.bitwiseAND(F.lit(1023)).bitwiseOR(F.lit(1))
+        return coded(docs, seed, **options).withColumns({"codes": one("codes"), "new_codes": F.transform("new_codes", short)})
 
     monkeypatch.setattr(phrases, "encoded", clumsy)
     assert mined(documents.limit(20), least=15) == plain_collocations([(r.lang, r.text) for r in documents.limit(20).collect()], least=15)
