@@ -4,27 +4,29 @@ Words are 64-bit codes, hashed from language and word, so that phrases of differ
 languages never meet. One pass over the texts writes blocks of codes; the other passes read
 those only:
 
-1. Each level from 2 words up counts hashed buckets of its phrases, over the places where
-   both phrases of one word less may be frequent, and keeps the buckets that reach
-   the least count as a bitmap of fixed size. A phrase is a candidate if it and all its
-   parts are in kept buckets: no frequent phrase is lost.
-2. The candidates that occur are gathered and dealt to blocks by their first two words.
-   Each block becomes a double-array trie, built on the driver and broadcast.
+1. Each level from 2 words up counts its phrases by a 64-bit hash, over the places where
+   both phrases of one word less may be frequent (bitmaps of fixed size say so), and
+   keeps the hashes that reach the least count. No frequent phrase is lost.
+2. Each kept hash is given to one of the blocks that hold it, drawn at random, which spells out its phrase. These
+   candidates, with all their parts, are dealt to tries by their first two words.
+   Each trie is a double array, built on the driver and broadcast.
 3. Numpy moves the states of all places of a text block through a trie together, one level
-   after another, and bincounts the accepting states; Spark sums the shards. That
-   count is exact whatever the buckets let through.
+   after another, and bincounts the accepting states; Spark sums the shards. Where
+   the exact counts of a hash don't add up to its count, two phrases share it, and all is hashed anew by another seed.
 
 Scores, the phrases inside longer ones and the ranks are joins over the counted phrases.
 """
 
 from __future__ import annotations
 
+import itertools
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,17 +34,19 @@ from marketloom.llm._shared import discarded, durable, written
 
 #: Bytes of text whose words make one block of codes; a longer document is a block of its own.
 BLOCK_BYTES = 1 << 20
-#: log2 of the buckets of a level; a bitmap takes an eighth of that in bytes (4 MB).
+#: log2 of the bits of a level's bitmap (4 MB).
 BUCKET_BITS = 25
 #: Phrases of one trie, about.
 MOST_IN_TRIE = 1 << 18
 #: Codes a task remembers to have told the words of; the memory is emptied beyond that.
 REMEMBERED = 300_000
-#: Seeds tried until no two words share a code.
+#: Seeds tried until no two words share a code and no two phrases a hash.
 SEEDS = range(8)
 
 #: All bytes that end a piece become a full stop, which then stands in no word; letters go lower, tabs become spaces.
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + b"." * 9)
+#: Bits of a block's number: half for its task, half for its place among the task's blocks.
+_BLOCK_BITS = 42
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -54,7 +58,7 @@ def words_of(text: str | None) -> list[bytes]:
 # --- codes ------------------------------------------------------------------
 
 #: Numbers and codes are packed: little-endian codes of 64 bits, numbers of 16 bits if there are codes for no more, of 32 otherwise.
-CODES = "ids binary, codes binary, new_codes array<long>, new_langs array<string>, new_words array<string>"
+CODES = "block long, ids binary, codes binary, new_codes array<long>, new_langs array<string>, new_words array<string>"
 
 
 def _number_kind(n_codes: int) -> str:
@@ -93,14 +97,14 @@ def encoded(docs: DataFrame, seed: int, *, text_col: str = "text", lang_col: str
     lists = {"new_codes": pa.int64(), "new_langs": pa.string(), "new_words": pa.string()}
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _Coder(seed)
+        coder, part, made = _Coder(seed), TaskContext.get().partitionId(), itertools.count()
 
         def row(texts: list) -> pa.RecordBatch:
             ids, codes, fresh = coder.block(texts)
             new = np.array([c for c, _, _ in fresh], np.uint64).view(np.int64)
             held = (new, [lang for _, lang, _ in fresh], [w.decode("utf-8", "replace") for _, _, w in fresh])
             flat = [pa.array(x, kind) for x, kind in zip(held, lists.values(), strict=True)]
-            packed = {"ids": pa.array([ids.tobytes()], pa.binary()), "codes": pa.array([codes.tobytes()], pa.binary())}
+            packed = {"block": pa.array([part << _BLOCK_BITS // 2 | next(made)], pa.int64()), "ids": pa.array([ids.tobytes()], pa.binary()), "codes": pa.array([codes.tobytes()], pa.binary())}
             return pa.RecordBatch.from_pydict(packed | {name: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for name, x in zip(lists, flat, strict=True)})
 
         held, size = [], 0
@@ -120,17 +124,18 @@ def encoded(docs: DataFrame, seed: int, *, text_col: str = "text", lang_col: str
     return docs.select(lang.alias("lang"), F.col(text_col).alias("text")).mapInArrow(encode, CODES)
 
 
-def _of_blocks(work, schema: str):
-    """``mapInArrow`` over blocks: ``work`` takes word numbers and codes and gives columns."""
+def _of_blocks(work, schema: str, *more: str):
+    """``mapInArrow`` over blocks: ``work`` takes word numbers, codes and the values of ``more`` columns and gives columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 packed, codes = (batch.column(c)[i].as_buffer() for c in (0, 1))
                 codes = np.frombuffer(codes, "<u8")
-                yield pa.RecordBatch.from_pydict(work(np.frombuffer(packed, _number_kind(len(codes))), codes))
+                others = [batch.column(2 + c)[i] for c in range(len(more))]
+                yield pa.RecordBatch.from_pydict(work(np.frombuffer(packed, _number_kind(len(codes))), codes, *others))
 
-    return lambda blocks: blocks.select("ids", "codes").mapInArrow(run, schema)
+    return lambda blocks: blocks.select("ids", "codes", *more).mapInArrow(run, schema)
 
 
 def code_counts(blocks: DataFrame) -> DataFrame:
@@ -142,12 +147,12 @@ def code_counts(blocks: DataFrame) -> DataFrame:
     return _of_blocks(count, "code long, n long")(blocks).groupBy("code").agg(F.sum("n").alias("count"))
 
 
-# --- buckets ----------------------------------------------------------------
+# --- candidates -------------------------------------------------------------
 
 
-def hashed(codes: np.ndarray, k: int, at: np.ndarray) -> np.ndarray:
+def hashed(codes: np.ndarray, k: int, at: np.ndarray, seed: int = 0) -> np.ndarray:
     """A hash of the ``k`` codes from each place on."""
-    h = np.full(len(at), k, np.uint64)
+    h = np.full(len(at), k + 16 * seed, np.uint64)
     for d in range(k):
         h ^= codes[at + d]
         h *= _STEP
@@ -155,44 +160,21 @@ def hashed(codes: np.ndarray, k: int, at: np.ndarray) -> np.ndarray:
     return h
 
 
-def bucket_of(hashes: np.ndarray, bits: int) -> np.ndarray:
-    return hashes >> np.uint64(64 - bits)
-
-
-def may_be_frequent(codes: np.ndarray, bitmaps: list[np.ndarray]) -> np.ndarray:
-    """Places whose phrase of ``len(bitmaps)`` words, with all its parts, is in kept buckets. Code 0 ends a piece."""
-    places = None
+def may_be_frequent(codes: np.ndarray, bitmaps: list[np.ndarray], seed: int = 0) -> np.ndarray:
+    """Places whose phrase of ``len(bitmaps)`` words, with all its parts, is in the bitmaps. Code 0 ends a piece."""
+    places = np.flatnonzero(codes)
     for k, bits in enumerate(bitmaps, 1):
-        if places is None:
-            places = np.flatnonzero(codes)
-        else:
+        if k > 1:
             places = places[:-1][np.diff(places) == 1]
-        at = bucket_of(hashed(codes, k, places), (8 * len(bits)).bit_length() - 1)
+        at = hashed(codes, k, places, seed) >> np.uint64(64 - ((8 * len(bits)).bit_length() - 1))
         places = places[(bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1]
     return places
 
 
-def distinct_phrases(text: np.ndarray, k: int, places: np.ndarray, key: np.ndarray, width: int) -> np.ndarray:
-    """The phrases of ``k`` codes at ``places``, at least once each: rows of ``width`` codes, 0 behind the last.
-
-    One place is taken for each ``key``, a hash of the phrase, and those whose phrase differs from it.
-    """
-    _, first, of = np.unique(key, return_index=True, return_inverse=True)
-    mine = places[first][of]
-    odd = np.zeros(len(places), bool)
-    for d in range(k):
-        odd |= text[mine + d] != text[places + d]
-    at = np.concatenate((places[first], places[odd]))
-    out = np.zeros((len(at), width), np.int64)
-    for d in range(k):
-        out[:, d] = text[at + d].view(np.int64)
-    return out
-
-
-def _bitmap(counts: DataFrame, least: int, bucket_bits: int) -> np.ndarray:
-    """Bits of the buckets whose count reaches ``least``; the driver gets one row for each 32,768 bits at most."""
-    kept = counts.groupBy("bucket").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    parts = kept.groupBy(F.expr("bitmap_bucket_number(bucket)").alias("part")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bucket))").alias("bits")).collect()
+def _bitmap(kept: DataFrame, bucket_bits: int) -> np.ndarray:
+    """Bits of the buckets of the kept hashes, by their leading bits; the driver gets one row for each 32,768 bits at most."""
+    bucket = kept.select((F.shiftrightunsigned("hash", 64 - bucket_bits) + 1).alias("bucket"))
+    parts = bucket.groupBy(F.expr("bitmap_bucket_number(bucket)").alias("part")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bucket))").alias("bits")).collect()
     bits = np.zeros(1 << (bucket_bits - 3), np.uint8)
     for r in parts:  # Spark's buckets begin with 1 at bit 0
         held = np.frombuffer(r["bits"], np.uint8)
@@ -200,48 +182,64 @@ def _bitmap(counts: DataFrame, least: int, bucket_bits: int) -> np.ndarray:
     return bits
 
 
-def _word_buckets(counts: DataFrame, bucket_bits: int) -> DataFrame:
-    """Counts of the buckets of single words."""
+def _word_hashes(words: DataFrame, seed: int) -> DataFrame:
+    """Hashes of single words."""
 
-    def bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             codes = batch.column(0).to_numpy().view(np.uint64)
-            found = bucket_of(hashed(codes, 1, np.arange(len(codes))), bucket_bits)
-            yield pa.RecordBatch.from_pydict({"bucket": found.astype(np.int64) + 1, "n": batch.column(1)})
+            yield pa.RecordBatch.from_pydict({"hash": hashed(codes, 1, np.arange(len(codes)), seed).view(np.int64)})
 
-    return counts.select("code", "count").mapInArrow(bucket, "bucket long, n long")
+    return words.select("code").mapInArrow(work, "hash long")
 
 
-def _buckets(blocks: DataFrame, shared: list, k: int, bucket_bits: int) -> DataFrame:
-    """Counts of the buckets of ``k`` words, over places where both parts of one word less may be frequent."""
+def _kept(blocks: DataFrame, shared: list, k: int, least: int, seed: int) -> DataFrame:
+    """``hash, n, block`` of the hashes of ``k`` words that occur ``least`` times: the block is one of those that hold it, drawn by a hash."""
 
-    def count(ids: np.ndarray, codes: np.ndarray) -> dict:
+    def count(ids: np.ndarray, codes: np.ndarray, block) -> dict:
         text = codes[ids]
-        places = may_be_frequent(text, [b.value for b in shared])
+        places = may_be_frequent(text, [b.value for b in shared], seed)
         places = places[:-1][np.diff(places) == 1]
-        found, n = np.unique(bucket_of(hashed(text, k, places), bucket_bits), return_counts=True)
-        return {"bucket": found.astype(np.int64) + 1, "n": n}
+        found, n = np.unique(hashed(text, k, places, seed), return_counts=True)
+        return {"hash": found.view(np.int64), "n": n, "block": np.full(len(found), block.as_py(), np.int64)}
 
-    return _of_blocks(count, "bucket long, n long")(blocks)
+    counts = _of_blocks(count, "hash long, n long, block long", "block")(blocks)
+    drawn = F.shiftleft(F.pmod(F.xxhash64("hash", "block"), F.lit(1 << 20)), _BLOCK_BITS).bitwiseOR(F.col("block"))
+    kept = counts.groupBy("hash").agg(F.sum("n").alias("n"), F.min(drawn).alias("drawn")).filter(F.col("n") >= least)
+    return kept.select("hash", "n", F.col("drawn").bitwiseAND(F.lit((1 << _BLOCK_BITS) - 1)).alias("block"))
 
 
-def _candidates(blocks: DataFrame, shared: list) -> DataFrame:
-    """Phrases of 2 words or more that occur and may be frequent, with all their parts: ``c1, c2, ...``, 0 behind the last word."""
-    most = len(shared)
+def phrases_of_hashes(text: np.ndarray, most: int, own: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Phrases of 2 to ``most`` codes in a text whose hash is among ``own``, and these hashes: rows of codes, 0 behind the last.
+
+    All different phrases of a hash are there.
+    """
+    rows, hashes = [], []
+    places, own = np.flatnonzero(text), np.sort(own)
+    for k in range(2, most + 1):
+        places = places[:-1][np.diff(places) == 1]
+        if not len(places) or not len(own):
+            break
+        key = hashed(text, k, places, seed)
+        wanted = own[np.minimum(np.searchsorted(own, key), len(own) - 1)] == key
+        out = np.zeros((int(wanted.sum()), most), np.int64)
+        for d in range(k):
+            out[:, d] = text[places[wanted] + d].view(np.int64)
+        out, first = np.unique(out, axis=0, return_index=True)
+        rows.append(out)
+        hashes.append(key[wanted][first])
+    return (np.concatenate(rows), np.concatenate(hashes)) if rows else (np.zeros((0, most), np.int64), np.zeros(0, np.uint64))
 
-    def find(ids: np.ndarray, codes: np.ndarray) -> dict:
-        text = codes[ids]
-        rows = []
-        for k in range(2, most + 1):
-            places = may_be_frequent(text, [b.value for b in shared[:k]])
-            if not len(places):
-                break
-            rows.append(distinct_phrases(text, k, places, hashed(text, k, places), most))
-        out = np.concatenate(rows) if rows else np.zeros((0, most), np.int64)
-        return {f"c{d + 1}": np.ascontiguousarray(out[:, d]) for d in range(most)}
 
-    columns = [f"c{d + 1}" for d in range(most)]
-    return _of_blocks(find, ", ".join(f"{c} long" for c in columns))(blocks).distinct()
+def _candidates(blocks: DataFrame, kept: DataFrame, most: int, seed: int) -> DataFrame:
+    """``hash, c1, c2, ...``: the phrase of each kept hash, spelled out by the block it was given to; 0 behind the last word."""
+
+    def find(ids: np.ndarray, codes: np.ndarray, own) -> dict:
+        rows, hashes = phrases_of_hashes(codes[ids], most, own.values.to_numpy().view(np.uint64), seed)
+        return {"hash": hashes.view(np.int64)} | {f"c{d + 1}": np.ascontiguousarray(rows[:, d]) for d in range(most)}
+
+    given = kept.groupBy("block").agg(F.collect_list("hash").alias("own"))  # no more than the block's own phrases
+    return _of_blocks(find, "hash long, " + ", ".join(f"c{d + 1} long" for d in range(most)), "own")(blocks.join(given, "block"))
 
 
 # --- tries ------------------------------------------------------------------
@@ -348,7 +346,7 @@ def _trie_counts(blocks: DataFrame, candidates: DataFrame, n_candidates: int, co
     if tries > 1:
         dealt = durable(dealt.repartition("trie"))
     for t in range(tries):
-        rows = dealt.filter(F.col("trie") == t).select(*columns).toArrow()
+        rows = dealt.filter(F.col("trie") == t).select("hash", *columns).toArrow()
         phrases = np.stack([rows.column(c).to_numpy() for c in columns], axis=1)
         if not len(phrases):
             continue
@@ -360,8 +358,8 @@ def _trie_counts(blocks: DataFrame, candidates: DataFrame, n_candidates: int, co
             states = np.flatnonzero(counts)
             return {"state": states, "n": counts[states]}
 
-        named = spark.createDataFrame(pa.table([rows.column(c) for c in columns] + [pa.array(trie.accepting)], names=[*columns, "state"]))
-        summed = durable(_of_blocks(count, "state long, n long")(blocks).groupBy("state").agg(F.sum("n").alias("count")).join(named, "state").select(*columns, "count"))
+        named = spark.createDataFrame(pa.table([rows.column(c) for c in ("hash", *columns)] + [pa.array(trie.accepting)], names=["hash", *columns, "state"]))
+        summed = durable(_of_blocks(count, "state long, n long")(blocks).groupBy("state").agg(F.sum("n").alias("count")).join(named, "state").select("hash", *columns, "count"))
         shared.unpersist()
         out = summed if out is None else out.union(summed)
     return out
@@ -386,19 +384,29 @@ def counted_phrases(docs: DataFrame, *, text_col: str = "text", lang_col: str =
         raise ValueError("two words share a code under every seed")
     words = words.select("code", "one.lang", "one.word", "count")
     totals = words.groupBy("lang").agg(F.sum("count").alias("n"))
-    shared = [spark.sparkContext.broadcast(_bitmap(_word_buckets(counts, bucket_bits), least, bucket_bits))]
-    for k in range(2, most_words + 1):
-        shared.append(spark.sparkContext.broadcast(_bitmap(_buckets(blocks, shared, k, bucket_bits), least, bucket_bits)))
+    frequent = words.filter(F.col("count") >= least)
     columns = [f"c{d + 1}" for d in range(most_words)]
-    candidates = durable(_candidates(blocks, shared))
-    found = _trie_counts(blocks, candidates, candidates.count(), columns)
+    for seed in SEEDS:
+        shared = [spark.sparkContext.broadcast(_bitmap(_word_hashes(frequent, seed), bucket_bits))]
+        kept = None
+        for k in range(2, most_words + 1):
+            level = durable(_kept(blocks, shared, k, least, seed))
+            kept = level if kept is None else kept.union(level)
+            shared.append(spark.sparkContext.broadcast(_bitmap(level, bucket_bits)))
+        for b in shared:
+            b.unpersist()
+        candidates = durable(_candidates(blocks, kept, most_words, seed))
+        found = _trie_counts(blocks, candidates, candidates.count(), columns)
+        if found is None:
+            found = candidates.withColumn("count", F.lit(0).cast("long"))
+        summed = found.groupBy("hash").agg(F.sum("count").alias("count"))
+        if summed.join(kept, "hash", "full").filter(~F.col("count").eqNullSafe(F.col("n"))).isEmpty():
+            break
+    else:
+        raise ValueError("two phrases share a hash under every seed")
     discarded(spark, path)
-    for b in shared:
-        b.unpersist()
-    if found is None:
-        found = candidates.select(*columns, F.lit(0).cast("long").alias("count"))
     phrases = found.filter(F.col("count") >= least).select(F.filter(F.array(*columns), lambda c: c != 0).alias("phrase"), "count")
-    return phrases, words.filter(F.col("count") >= least), totals
+    return phrases, frequent, totals
 
 
 def collocations(
