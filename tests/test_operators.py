@@ -302,10 +302,12 @@ def test_calendar(spark):
 def test_all_features_share_one_exchange(spark, sf_dir):
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        df, _ = datasets.build_features(view(spark, sf_dir, "order_flow"))
-        plan = df._jdf.queryExecution().executedPlan().toString()
+        rows = view(spark, sf_dir, "order_flow")
+        plan, screened = (datasets.build_features(rows, log_skewed=on)[0]._jdf.queryExecution().executedPlan().toString() for on in (False, True))
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert plan.count(" Exchange ") == 1
+    # the skew screen has had the windows written: nothing is computed again
+    assert screened.count(" Exchange ") == 0 and "Window" not in screened
     # columns that no feature needs stay in the file
     assert "props" not in plan
