@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 
-from marketloom.operators import aggregate, join, rank, scale, window
+from marketloom.operators import aggregate, join, rank, scale, wide_pca, window
 from marketloom.plans.registry import Views, query
 
 K = ("obs_id", "event_idx")
@@ -233,6 +233,11 @@ def g5(v: Views):
     return scale.pca_variance(df, [f"e{i}" for i in range(64)], 0.97)
 
 
+@query("g5_wide_pca")
+def g5_wide(v: Views):
+    return wide_pca.wide_pca_variance(v("embeddings"), "embedding", 0.97)
+
+
 @query("g6_sequences", """WITH x AS (SELECT obs_id, count(*) AS n, list([round(price, 6), bid_size] ORDER BY event_idx) AS s FROM order_flow WHERE event_idx < 60 GROUP BY obs_id)
 SELECT obs_id, list_concat(s, list_transform(range(60 - n), lambda i: [0.0::DOUBLE, 0.0::DOUBLE])) AS sequence FROM x""")
 def g6(v: Views):
