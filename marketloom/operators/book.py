@@ -96,18 +96,28 @@ def _fills(judged: DataFrame, orders: DataFrame) -> DataFrame:
     return ranked.withColumn("fill", fill).filter("fill > 0").select("instrument", "taker_id", _c("id").alias("resting_id"), "price", "fill")
 
 
+def _one_taker_each(judged: DataFrame) -> DataFrame:
+    """The takers themselves, if no instrument has two."""
+    crowded = judged.filter("instrument IS NOT NULL").groupBy("instrument").count().filter("count > 1").first()
+    if crowded:
+        raise ValueError(f"{crowded['count']} takers of instrument {crowded['instrument']}: sweep them one after another")
+    return judged
+
+
 def sweep_fills(takers: DataFrame, orders: DataFrame) -> DataFrame:
     """Fills of one taker per instrument: ``instrument, taker_id, resting_id, price, fill``.
 
     A running sum in price-time priority says what is ahead of each resting order
     that the taker's limit reaches; those before it in priority are reached too.
+    A second taker of an instrument would meet what the first one left, which one
+    sum can't say: it is an error.
     """
-    return _fills(judged_takers(takers, orders), orders)
+    return _fills(_one_taker_each(judged_takers(takers, orders)), orders)
 
 
 def sweep(takers: DataFrame, orders: DataFrame) -> DataFrame:
     """Outcome per taker: quantity filled, mean price, remainder, and ``filled``, ``rests`` (the remainder stays), ``cancelled``, ``rejected`` or ``killed``."""
-    judged = judged_takers(takers, orders)
+    judged = _one_taker_each(judged_takers(takers, orders))
     sums = _fills(judged, orders).groupBy("taker_id").agg(F.sum("fill").alias("filled_qty"), F.sum(_c("fill") * _c("price")).alias("paid"))
     out = judged.join(sums, judged["id"] == sums["taker_id"], "left").withColumn("filled_qty", F.coalesce("filled_qty", F.lit(0)))
     status = (

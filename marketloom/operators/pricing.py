@@ -107,7 +107,7 @@ def gbm_paths(df: DataFrame, n_sims: int, n_steps: int, seed: int = 42, id_col:
             parts = []
             for row in batch.itertuples():
                 n = min(block, n_sims - row.block * block)
-                rng = np.random.default_rng([seed, abs(int(row.id)), row.block])
+                rng = np.random.default_rng([seed, int(row.id) % 2**64, row.block])
                 dt = row.t / n_steps
                 x = rng.standard_normal((n_steps, n))
                 x *= row.sigma * np.sqrt(dt)

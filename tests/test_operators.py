@@ -140,6 +140,10 @@ def test_sweep_equals_taking_orders_one_by_one(spark):
         o = outcome[taker["id"]]
         assert o.filled_qty == (0 if blocked else total) and o.filled_qty + o.remainder == taker["qty"]
         assert (o.status in ("rejected", "killed")) == blocked
+    crowd = t.unionByName(t.filter("instrument = 3").withColumn("id", F.lit(1).cast("long")))
+    for taken in (book.sweep, book.sweep_fills):
+        with pytest.raises(ValueError, match="2 takers of instrument 3"):
+            taken(crowd, r)
 
 
 def test_uncross_fills_until_prices_no_longer_meet(spark):
@@ -206,6 +210,8 @@ def test_paths_have_the_right_mean_and_repeat(spark):
     a = pricing.gbm_paths(c, 20_000, 20)
     mean = a.agg(F.avg("last")).first()[0]
     assert mean == pytest.approx(100 * math.exp(0.05), rel=0.01) and pricing.gbm_paths(c.repartition(3), 20_000, 20).agg(F.avg("last")).first()[0] == pytest.approx(mean)
+    signs = pricing.gbm_paths(c.unionByName(c.withColumn("contract_id", -F.col("contract_id"))), 50, 20)
+    assert signs.select("last").distinct().count() == 100
 
 
 def test_global_order_without_one_task(spark):
