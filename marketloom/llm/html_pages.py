@@ -2,8 +2,9 @@
 
 Pages are put together from a seed: frames with headers, menus, sidebars,
 notices, adverts, forms, comments and footers around an article, in the common
-shapes and under the common names of such parts. Words are made up, so that a
-model learns from structure, not from topics.
+shapes and under the common names of such parts in several languages, or under
+names that say nothing. Words are made up, so that a model learns from structure,
+not from topics.
 """
 
 from __future__ import annotations
@@ -13,21 +14,25 @@ import random
 #: Names under which sites keep their parts (class or id words).
 MAIN_NAMES = ("content", "article", "post", "entry", "story", "main", "body", "text", "page", "blog", "news", "single", "hentry", "prose", "markdown")
 PART_NAMES = {
-    "menu": ("nav", "menu", "navbar", "navigation", "breadcrumb", "breadcrumbs", "topbar", "toolbar", "pagination", "pager", "tabs", "toc", "links", "skip"),
-    "head": ("header", "masthead", "banner", "logo", "branding", "tagline", "site", "top", "search"),
-    "side": ("sidebar", "side", "widget", "aside", "rail", "related", "recommended", "popular", "trending", "archive", "tags", "categories", "teaser", "more", "author", "meta", "byline"),
-    "notice": ("cookie", "cookies", "consent", "notice", "alert", "gdpr", "privacy", "warning", "message", "popup", "modal", "overlay", "paywall", "disclaimer"),
-    "advert": ("ad", "ads", "advert", "advertisement", "sponsor", "sponsored", "promo", "promotion", "adsense", "banner", "offer", "outbrain"),
-    "form": ("form", "newsletter", "subscribe", "signup", "login", "search", "contact", "share", "social", "follow", "poll", "survey", "register"),
-    "comment": ("comment", "comments", "commentlist", "reply", "replies", "respond", "discussion", "disqus", "feedback", "reviews", "thread"),
-    "foot": ("footer", "foot", "copyright", "bottom", "colophon", "legal", "imprint", "credits", "sitemap"),
+    "menu": ("nav", "menu", "navbar", "navigation", "breadcrumb", "breadcrumbs", "topbar", "toolbar", "pagination", "pager", "tabs", "toc", "links", "skip", "hauptmenue", "brotkrumen", "navegacion", "ariane", "navigatie"),
+    "head": ("header", "masthead", "banner", "logo", "branding", "tagline", "site", "top", "search", "kopfzeile", "kopfbereich", "entete", "cabecera", "intestazione", "encabezado"),
+    "side": ("sidebar", "side", "widget", "aside", "rail", "related", "recommended", "popular", "trending", "archive", "tags", "categories", "teaser", "more", "author", "meta", "byline", "seitenleiste", "randspalte", "verwandt", "laterale", "relacionados", "connexes", "colonne"),
+    "notice": ("cookie", "cookies", "consent", "notice", "alert", "gdpr", "privacy", "warning", "message", "popup", "modal", "overlay", "paywall", "disclaimer", "hinweis", "einwilligung", "aviso", "avviso", "avertissement", "datenschutz", "consentement"),
+    "advert": ("ad", "ads", "advert", "advertisement", "sponsor", "sponsored", "promo", "promotion", "adsense", "banner", "offer", "outbrain", "werbung", "anzeige", "reklame", "publicite", "publicidad", "anuncio", "pubblicita", "annonce"),
+    "form": ("form", "newsletter", "subscribe", "signup", "login", "search", "contact", "share", "social", "follow", "poll", "survey", "register", "formular", "anmeldung", "formulaire", "formulario", "inscription", "suscribirse", "teilen", "umfrage"),
+    "comment": ("comment", "comments", "commentlist", "reply", "replies", "respond", "discussion", "disqus", "feedback", "reviews", "thread", "kommentar", "kommentare", "commentaire", "commentaires", "comentario", "comentarios", "commenti", "antworten", "reacties"),
+    "foot": ("footer", "foot", "copyright", "bottom", "colophon", "legal", "imprint", "credits", "sitemap", "fusszeile", "fussbereich", "impressum", "pied", "pie", "piedipagina", "mentions"),
 }
 #: The HTML elements that such parts have of their own, if any.
-PART_TAGS = {"menu": "nav", "head": "header", "side": "aside", "form": "form", "foot": "footer"}
+PART_TAGS = {"menu": "nav", "head": "header", "side": "aside", "form": "form", "foot": "footer", "notice": "dialog"}
 UI_WORDS = (
     "home about contact news login register share tweet like reply subscribe newsletter cookies accept privacy policy terms menu search "
     "next previous more read comments posted by copyright all rights reserved sponsored advertisement related popular sign up follow us email "
-    "submit send cancel close"
+    "submit send cancel close "
+    "startseite kontakt anmelden teilen antworten datenschutz impressum suche weiter kommentar kommentare anzeige werbung rechte vorbehalten akzeptieren newsletter "
+    "accueil connexion partager répondre confidentialité mentions recherche suivant commentaires publicité droits réservés accepter "
+    "inicio contacto entrar compartir responder privacidad buscar siguiente comentarios publicidad derechos reservados aceptar suscribirse "
+    "accetta accedi condividi rispondi cerca commenti pubblicità diritti riservati"
 ).split()
 
 

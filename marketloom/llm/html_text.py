@@ -1,8 +1,8 @@
 """Main text of web pages: a recurrent labeller over the blocks of a page.
 
 A page is cut into leaf blocks, runs of text between block-level tags. Each block
-becomes a vector of its tag path (elements, class and id words) and one of all
-its hashed words. A bidirectional LSTM reads the blocks of the whole page in order
+becomes a vector of its whole tag path (elements, class and id words; summed from
+element to element, so that deep pages stay linear) and one of all its hashed words. A bidirectional LSTM reads the blocks of the whole page in order
 and back again, and labels each block as main text or not from everything around
 it. The model is numpy only; it is trained from a seed on made-up pages
 (``html_pages``) whose labels are known, once per driver process.
@@ -35,7 +35,10 @@ INLINE |= ANNOTATIONS | frozenset("math maction menclose merror mfenced mfrac mi
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no text of the page.
 DROPPED = frozenset("script style noscript template title svg iframe object textarea select option canvas audio video head".split())
-#: Of these, the ones whose content isn't markup.
+#: Of these, the ones that leave a sentence whole around them; the content of buttons is left out likewise.
+PASSED_OVER = DROPPED - {"head"} | {"button"}
+DROPPED |= PASSED_OVER
+#: Those whose content isn't markup.
 RAW = frozenset("script style title textarea iframe".split())
 #: Elements that may stand in a head; any other one, or a text, ends it.
 _HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
@@ -55,13 +58,23 @@ VECTOR, STATE = 24, 20
 TRAIN_PAGES, PASSES, STEP_PAGES = 900, 3, 12
 #: Blocks times pages that are labelled at once, and words whose vectors are summed at once.
 AT_ONCE, WORDS_AT_ONCE = 1 << 15, 1 << 17
-#: Open elements whose tokens make a block's path: so many from the outside and from the inside.
-OUTER, INNER = 200, 100
 
 
-@dataclass
+@dataclass(slots=True, eq=False)
+class Element:
+    """An open element: the tokens that no element around it has, and the last two of its path."""
+
+    parent: "Element | None"
+    tokens: tuple[str, ...]
+    tail: tuple[str, ...]
+
+
+@dataclass(slots=True)
 class Block:
-    path: tuple[str, ...]
+    """A text, the element that it stands in, and whether most of it is links."""
+
+    inside: Element | None
+    linked: bool
     text: str
 
 
@@ -69,11 +82,12 @@ def blocks_of(html: str | None) -> list[Block]:
     """Leaf blocks of a page in order: texts with single spaces, character references decoded."""
     html = html or ""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, tuple[str, ...], Element]] = []
     opened: Counter[str] = Counter()  # how often each element is on the stack
+    known: Counter[str] = Counter()  # and each token
     held: list[str] = []
     linked = plain = dropped = 0
-    path: tuple[str, ...] = ()
+    inside: Element | None = None
     quoted, annotated = True, True
 
     def flush() -> None:
@@ -81,25 +95,34 @@ def blocks_of(html: str | None) -> list[Block]:
         if held:
             text = " ".join(html_lib.unescape("".join(held)).split())
             if text:
-                out.append(Block((*path, "a") if linked > plain else path, text))
+                out.append(Block(inside, linked > plain, text))
             held.clear()
         linked = plain = 0
 
+    def push(tag: str, tokens: tuple[str, ...]) -> None:
+        nonlocal dropped
+        parent = stack[-1][2] if stack else None
+        new = tuple(t for t in dict.fromkeys(tokens) if not known[t])
+        known.update(tokens)
+        stack.append((tag, tokens, Element(parent, new, ((parent.tail if parent else ()) + tokens)[-2:])))
+        opened[tag] += 1
+        dropped += tag in DROPPED
+
     def pop() -> str:
         nonlocal dropped
-        tag = stack.pop()[0]
+        tag, tokens, _ = stack.pop()
         opened[tag] -= 1
+        known.subtract(tokens)
         dropped -= tag in DROPPED
         return tag
 
     def text_run(a: int, b: int) -> None:
-        nonlocal linked, plain, path
+        nonlocal linked, plain, inside
         if dropped and stack[-1][0] == "head" and html[a:b].strip():
             pop()
         if b > a and not dropped:
             if not held:
-                shown = stack if len(stack) <= OUTER + INNER else [*stack[:OUTER], *stack[-INNER:]]
-                path = tuple(t for _, tokens in shown for t in tokens)
+                inside = stack[-1][2] if stack else None
             held.append(html[a:b])
             n = len(html[a:b].strip())
             if links:
@@ -139,13 +162,13 @@ def blocks_of(html: str | None) -> list[Block]:
         tag, at = name.group().lower(), end
         if tag[0] == "/":
             tag = tag[1:]
-            if tag not in INLINE:
-                flush()
-            if tag == "a":
+            if tag == "a" and not dropped:
                 links = max(0, links - 1)
             if tag not in INLINE and opened[tag]:
                 while pop() != tag:
                     pass
+            if tag not in INLINE and tag not in PASSED_OVER and not dropped:
+                flush()
             continue
         if dropped and stack[-1][0] == "head" and tag not in _HEAD:
             pop()
@@ -160,19 +183,20 @@ def blocks_of(html: str | None) -> list[Block]:
         if tag in RAW:
             close = re.compile(rf"</{tag}\b", re.I).search(html, end)
             at = n if not close else (html.find(">", close.end()) + 1 or n)
-            if tag not in INLINE:
-                flush()
             continue
-        if tag == "a":
+        if tag == "a" and not dropped:
             links += 1
         if tag in INLINE:
             continue
-        flush()
-        links = 0
-        if tag == "body":
-            dropped = 0
-            stack = [s for s in stack if s[0] not in DROPPED]
-            opened = Counter(s[0] for s in stack)
+        if tag == "body" and dropped:
+            kept = [s[:2] for s in stack if s[0] not in DROPPED]
+            while stack:
+                pop()
+            for own in kept:
+                push(*own)
+        if tag not in PASSED_OVER and not dropped:
+            flush()
+            links = 0
         if tag in _ENDS_P:
             while stack and stack[-1][0] == "p":
                 pop()
@@ -184,9 +208,7 @@ def blocks_of(html: str | None) -> list[Block]:
         if tag in VOID or html[end - 2 : end] == "/>":
             continue
         names = [a or b or c for a, b, c in _CLASS.findall(html[name.end() : end - 1])]
-        stack.append((tag, (tag, *(f".{w}" for x in names for w in _PLAIN.findall(x.lower())))))
-        opened[tag] += 1
-        dropped += tag in DROPPED
+        push(tag, (tag, *(f".{w}" for x in names for w in _PLAIN.findall(x.lower()))))
     flush()
     return out
 
@@ -204,19 +226,38 @@ def _code(token: str) -> int:
 
 
 def block_codes(block: Block) -> tuple[list[int], list[int]]:
-    """Rows of the table for the path and for the words of a block; the shape of the text counts as words."""
+    """Rows of the table for the end of the path and for the words of a block; the shape of the text counts as words."""
     words = block.text.lower().split()
-    path = [_code(f"<{p}") for p in dict.fromkeys(block.path)] + [_code(f"<<{p}") for p in block.path[-2:]]
+    tail = block.inside.tail if block.inside else ()
+    path = [_code("<a"), *(_code(f"<<{p}") for p in (*tail[-1:], "a"))] if block.linked else [_code(f"<<{p}") for p in tail]
     shape = [_code(f"#long{len(words).bit_length()}"), _code(f"#end{block.text[-1]}" if block.text[-1] in ".?!:" else "#end")]
     # the shape keeps its share of the mean however many words there are
     return path, [*map(_code, words), *shape * max(3, len(words) // 13)]
 
 
 def page_codes(blocks: list[Block]):
-    """Flat codes of all blocks of a page with their lengths, for paths and words."""
+    """Flat codes of all blocks of a page with their lengths, for ends of paths and for words; then the elements.
+
+    Of the elements, outer ones first, there are codes and lengths, the place of
+    each one's parent and that of each block's element (-1: none).
+    """
+    places: dict[int, int] = {}
+    parents: list[int] = []
+    opened: list[list[int]] = []
+    for block in blocks:
+        above, node = [], block.inside
+        while node is not None and id(node) not in places:
+            above.append(node)
+            node = node.parent
+        for node in reversed(above):
+            places[id(node)] = len(parents)
+            parents.append(places[id(node.parent)] if node.parent else -1)
+            opened.append([_code(f"<{t}") for t in node.tokens])
     paths, words = zip(*map(block_codes, blocks), strict=True) if blocks else ((), ())
     flat = lambda lists: np.fromiter((c for x in lists for c in x), np.int64)
-    return flat(paths), np.array([len(p) for p in paths], np.int64), flat(words), np.array([len(w) for w in words], np.int64)
+    sizes = lambda lists: np.array([len(x) for x in lists], np.int64)
+    inside = np.array([places[id(b.inside)] if b.inside else -1 for b in blocks], np.int64)
+    return flat(paths), sizes(paths), flat(words), sizes(words), flat(opened), sizes(opened), parents, inside
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -247,8 +288,12 @@ class Labeller:
         self.p["bias"] = np.zeros(1)
 
     def vectors(self, codes) -> np.ndarray:
-        paths, path_sizes, words, word_sizes = codes
-        return np.hstack([_sums(self.p["table"], paths, path_sizes, False), _sums(self.p["table"], words, word_sizes, True)])
+        paths, path_sizes, words, word_sizes, opened, opened_sizes, parents, inside = codes
+        # the last row stands for no element
+        whole = np.vstack([_sums(self.p["table"], opened, opened_sizes, False), np.zeros((1, VECTOR))])
+        for at, parent in enumerate(parents):
+            whole[at] += whole[parent]
+        return np.hstack([_sums(self.p["table"], paths, path_sizes, False) + whole[inside], _sums(self.p["table"], words, word_sizes, True)])
 
     def _run(self, x: np.ndarray, mask: np.ndarray, d: str, keep: bool):
         """States of one direction over x (time, pages, width); padded steps pass the state on."""
@@ -330,9 +375,14 @@ class Labeller:
             g[f"w{d}"], g[f"c{d}"] = dw, dgates.sum((0, 1))
             dx += dgates @ w[:width].T
         table = np.zeros_like(self.p["table"])
-        for k, (paths, path_sizes, words, word_sizes) in enumerate(pages):
+        for k, (paths, path_sizes, words, word_sizes, opened, opened_sizes, parents, inside) in enumerate(pages):
             own = dx[: len(path_sizes), k]
             np.add.at(table, paths, np.repeat(own[:, :VECTOR], path_sizes, axis=0))
+            whole = np.zeros((len(parents) + 1, VECTOR))
+            np.add.at(whole, inside, own[:, :VECTOR])
+            for at in range(len(parents) - 1, -1, -1):
+                whole[parents[at]] += whole[at]
+            np.add.at(table, opened, np.repeat(whole[:-1], opened_sizes, axis=0))
             np.add.at(table, words, np.repeat(own[:, VECTOR:] / word_sizes[:, None], word_sizes, axis=0))
         g["table"] = table
         return loss, g
@@ -345,7 +395,7 @@ def made_up_pages(n: int, seed: int) -> list[tuple[tuple, np.ndarray]]:
         blocks = blocks_of(maker.page())
         if blocks:
             labels = np.array([float(PageMaker.MARK in b.text) for b in blocks])
-            clean = [Block(b.path, b.text.replace(PageMaker.MARK, "").strip() or "x") for b in blocks]
+            clean = [Block(b.inside, b.linked, b.text.replace(PageMaker.MARK, "").strip() or "x") for b in blocks]
             out.append((page_codes(clean), labels))
     return out
 
@@ -390,8 +440,9 @@ def extract_text(pages: DataFrame, *, html_col: str = "html", model: Labeller |
     ``text`` is the page's main text: its main blocks in order, joined by empty
     lines, each with single spaces and decoded character references. Pages are
     read whole and independently; nothing is shuffled. A null or empty page, or
-    one without a main block, has the empty text. Input columns named like an
-    added one give way; empty tables stay empty.
+    one without a main block, has the empty text; rows that repeat give the same
+    text each. Input columns named like an added one give way; empty tables stay
+    empty.
     """
     shared = pages.sparkSession.sparkContext.broadcast((model or trained()).p)
 

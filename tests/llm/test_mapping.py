@@ -45,6 +45,36 @@ def test_deep_and_unclosed_elements_hide_nothing():
     assert texts("<svg>" * 30_000 + "</svg>" * 30_000 + "<p>article") == ["article"]
 
 
+def test_sentences_run_on_around_what_is_passed_over():
+    for k in ("<script>x('</p>')</script>", "<svg><g><p>x</p></g></svg>", "<noscript><p>no</p></noscript>", "<button><div>Share</div></button>", "<select><option>a<option>b</select>", "<style>p{}</style>", "<template><p>q</p></template>"):
+        assert [b.text for b in html_text.blocks_of(f"<p>First part {k} goes on here.<p>next")] == ["First part goes on here.", "next"]
+    assert [b.text for b in html_text.blocks_of("<div><p>one <noscript>no</p>two</div>three")] == ["one", "two", "three"]
+
+
+_RIVER = "<p>The river runs through the old town and down to the sea, where the boats lie.</p>" * 3
+
+
+def test_comments_behind_many_open_elements():
+    model = html_text.trained()
+    comment = "<p>I think this is wrong, says one reader.</p><p>So do I, and I have said so before.</p><p>Thanks for the post!</p>"
+    for n in (90, 120, 150, 250, 3000):
+        page = "<div>" * 205 + "<div class='comments'><div class='comment'>" + "<div>" * n + comment + "</div>" * n + f"</div></div><article>{_RIVER}</article>"
+        assert html_text.main_texts([page], model)[0][1:] == (6, 3)
+    assert len(html_text.page_codes(html_text.blocks_of("<div class=a>x" * 30_000))[4]) == 2
+
+
+def test_parts_in_other_languages_and_open_dialogs():
+    model = html_text.trained()
+    german = (
+        f'<div id="kopfzeile"><a href="/">Startseite</a></div><article>{_RIVER}</article><div class="werbung"><p>Jetzt Boote kaufen, nur diese Woche.</p></div>'
+        '<div class="kommentare"><div class="kommentar"><p>Sehr guter Text, danke.</p></div></div><div id="fusszeile"><p>Impressum: Verlag Beispiel.</p></div>'
+    )
+    dialog = f"<dialog open><p>We use cookies. Accept all.</p></dialog><article>{_RIVER}</article>"
+    want = "\n\n".join(["The river runs through the old town and down to the sea, where the boats lie."] * 3)
+    for page in (german, german.replace("<article>", "<div class='x1'>").replace("</article>", "</div>"), dialog):
+        assert html_text.main_texts([f"<html><body>{page}</body></html>"], model)[0][0] == want
+
+
 def test_all_words_of_a_block_count():
     long, head = "<p>" + "menu " * 40 + "article " * 400, "<p>" + "menu " * 40
     a, b = (html_text.page_codes(html_text.blocks_of(x)) for x in (long, head))
