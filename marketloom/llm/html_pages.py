@@ -62,7 +62,7 @@ class PageMaker:
         """A class or id attribute, often with words that say nothing."""
         r = self.r
         pool = MAIN_NAMES if kind == "main" else PART_NAMES.get(kind, ())
-        own = [r.choice(pool)] if pool and (kind != "main" or r.random() < 0.7) else []
+        own = [r.choice(pool) if r.random() < 0.8 else self.word()] if pool and (kind != "main" or r.random() < 0.7) else []
         if r.random() < 0.4:
             own.append(r.choice(["col", "row", "box", "wrap", "container", "inner", "clearfix", "block", "section", "left", "right", "item", "css", "js"]))
         if r.random() < 0.2:

@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from marketloom.llm import decontam, html_text, pii, quality, token_count, url_filter
+from marketloom.llm import decontam, html_pages, html_text, pii, quality, token_count, url_filter
 
 
 # --- HTML -------------------------------------------------------------------
@@ -75,6 +75,16 @@ def test_parts_in_other_languages_and_open_dialogs():
         assert html_text.main_texts([f"<html><body>{page}</body></html>"], model)[0][0] == want
 
 
+def test_parts_whose_names_say_nothing(monkeypatch):
+    r = np.random.default_rng(9)
+    names = {k: tuple("".join(r.choice(list("abcdefghij"), 7)) for _ in range(9)) for k in html_pages.PART_NAMES}
+    monkeypatch.setattr(html_pages, "PART_NAMES", names)
+    held = html_text.made_up_pages(150, 78)
+    p = np.concatenate(html_text.trained().probabilities([c for c, _ in held]))
+    y = np.concatenate([y for _, y in held])
+    assert (p[y == 1] >= 0.5).mean() > 0.96 and (p[y == 0] < 0.5).mean() > 0.95
+
+
 def test_all_words_of_a_block_count():
     long, head = "<p>" + "menu " * 40 + "article " * 400, "<p>" + "menu " * 40
     a, b = (html_text.page_codes(html_text.blocks_of(x)) for x in (long, head))
