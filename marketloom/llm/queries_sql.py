@@ -1,6 +1,6 @@
 """DuckDB SQL that gives the same rows as the queries, where SQL can express them."""
 
-from marketloom.llm.url_filter import RULES, SOFT, SOFT_LIMIT, STRICT, TRACKING, UNSPACED
+from marketloom.llm.url_filter import AMBIGUOUS, AMBIGUOUS_WEIGHT, HARMLESS, RULES, SOFT, SOFT_LIMIT, STRICT, TRACKING, UNSPACED
 
 OP1 = """
 WITH sized AS (
@@ -85,17 +85,23 @@ FROM sized JOIN placed USING (key) JOIN crcs USING (key)
 
 
 
-def _found(term: str) -> str:
-    """Whether a term of the URL filter's vocabulary stands in ``low``."""
-    return f"contains(low, '{term}')" if term >= UNSPACED else rf"regexp_matches(low, '(^|[^\pL\pN]){term}([^\pL\pN]|$)')"
+def _found(term: str, of: str) -> str:
+    """Whether a term of the URL filter's vocabulary stands in a URL, or between digits in its host."""
+    if term >= UNSPACED:
+        return f"contains({of}, '{term}')"
+    return rf"(regexp_matches({of}, '(^|[^\pL\pN]){term}([^\pL\pN]|$)') OR regexp_matches({of}_host, '(^|[^\pL\pN]|\d){term}([^\pL\pN]|\d|$)'))"
 
 
-_STRICT = " OR ".join(_found(term) for term in STRICT)
-_SOFT = " + ".join(f"{weight} * {_found(term)}::INT" for term, weight in SOFT.items())
+_CERTAIN = " OR ".join(_found(term, "whole") for term in STRICT if term not in AMBIGUOUS)
+_DOUBTFUL = " OR ".join(_found(term, "whole") for term in sorted(AMBIGUOUS))
+_SOFTENED = " + ".join(f"{AMBIGUOUS_WEIGHT} * {_found(term, 'low')}::INT" for term in sorted(AMBIGUOUS))
+_HARMLESS = " OR ".join(_found(word, "low") for word in sorted(HARMLESS))
+_SOFT = " + ".join(f"{weight} * {_found(term, 'low')}::INT" for term, weight in SOFT.items())
 
+#: But for ``xn--`` labels, which SQL can't decode.
 OP3 = rf"""
 WITH cut AS (
-  SELECT page_id, lower(coalesce(try(url_decode(bare)), bare)) AS low,
+  SELECT page_id, lower(coalesce(try(url_decode(bare)), bare)) AS low, lower(coalesce(try(url_decode(url)), url, '')) AS whole,
          translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
   FROM (SELECT *, regexp_replace(coalesce(url, ''), '{TRACKING}', '\1', 'g') AS bare FROM pages)),
@@ -103,8 +109,11 @@ rules AS (SELECT * FROM (VALUES {", ".join(f"('{rule}', '{rule.partition('/')[0]
 fits AS (
   SELECT page_id, max_by(rule, length(rule)) AS rule, max_by(verdict, length(rule)) AS rule_verdict
   FROM cut JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY page_id),
+hosts AS (
+  SELECT *, regexp_extract(low, '://([^/?#]*)', 1) AS low_host, regexp_extract(whole, '://([^/?#]*)', 1) AS whole_host FROM cut),
+told AS (SELECT *, ({_HARMLESS}) AS is_harmless FROM hosts),
 hits AS (
-  SELECT page_id, {_SOFT} AS soft_weight, ({_STRICT}) AS is_strict FROM cut)
+  SELECT page_id, {_SOFT} + CASE WHEN is_harmless THEN {_SOFTENED} ELSE 0 END AS soft_weight, ({_CERTAIN}) OR NOT is_harmless AND ({_DOUBTFUL}) AS is_strict FROM told)
 SELECT page_id, host, path, rule,
        coalesce(rule_verdict, CASE WHEN is_strict OR soft_weight >= {SOFT_LIMIT} THEN 'block' ELSE 'allow' END) AS verdict,
        soft_weight::INT AS soft_weight

@@ -169,9 +169,12 @@ def test_weights_languages_and_harmless_urls(spark):
     blocked = [
         "http://a.org/cheap%20pills", "http://a.org/?q=free+bets", "http://ads.track.a.org/", "http://a.org/%D0%9F%D0%9E%D0%A0%D0%9D%D0%9E", "http://a.org/最新色情片",
         "http://a.org/online-wetten/bonus", "http://a.org/crédit-rencontres", "http://a.org/" + "x/" * 100_000 + "porn",
+        "https://a.org/?q=1&ref=https://casino.com/", "http://a.org/?utm_campaign=casino", "http://a.org/?ref=casino-porn", "http://casino1.org/", "http://24xxx7.org/",
+        "http://xn--80aodfsg.example/", "http://a.xn--m1abbbg.example/x", "http://spam-farm.org/", "http://adult-x.org/?ref=education",
     ]
     clean = [
-        "https://a.example.org/download?ref=x", "http://a.org/?utm_source=ads&utm_medium=affiliate&utm_campaign=casino", "http://a.org/poker", "http://a.org/sex-education", "http://middlesex.org/pornic",
+        "https://a.example.org/download?ref=x", "http://a.org/?utm_source=ads&utm_medium=affiliate&utm_campaign=deals", "http://adult-education.gov/", "http://spam-filter.org/docs", "http://a.org/malware-analysis", "http://a.org/phishing-awareness",
+        "https://en.a.org/wiki/Spam_(food)", "http://a.org/x1casino2", "http://xn--99999999999.org/", "http://xn--bcher-kva.example/", "http://a.org/poker", "http://a.org/sex-education", "http://middlesex.org/pornic",
         "http://a.org/free-download-cheap", "http://a.org/cheap/cheap/pill", "http://a.org/%zz%", "http://a.org/" + "x/" * 100_000,
     ]
     twice = [(1, u, True, "a") for u in blocked] + [(2, u, False, "b") for u in clean] * 2
