@@ -12,7 +12,9 @@ names, and an empty table gives an empty one.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from marketloom.llm import decontam, mixing, near_copies, quality, sharding
 from marketloom.llm._shared import discarded, spread, written
@@ -55,8 +57,18 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows with their shard and slot (operator 5). Equal texts share a shard; a column named like an added one gives way."""
-    return sharding.shard_documents(docs)
+    """All rows with their shard and slot (operator 5). Equal texts share a shard; a column named like an added one gives way.
+
+    Slots are in the order of a digest of each row's place in the stored table, so
+    that the copies that mixing made aren't neighbours. Retries read the same
+    places. Of a table that isn't stored the rows of one id are neighbours.
+    """
+    place = F.concat_ws(":", F.regexp_replace("_metadata.file_name", "-[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", ""), F.col("_metadata.row_index"))
+    try:
+        placed = docs.withColumn("__place", place)
+    except AnalysisException:
+        return sharding.shard_documents(docs)
+    return sharding.shard_documents(placed, order_col="__place")
 
 
 STAGES = [

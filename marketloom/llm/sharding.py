@@ -122,7 +122,7 @@ def minimax_cuts(groups: DataFrame, k: int) -> list[str]:
     return begins
 
 
-def shard_documents(docs: DataFrame, k: int = 24, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard_documents(docs: DataFrame, k: int = 24, *, id_col: str = "doc_id", text_col: str = "text", order_col: str | None = None) -> DataFrame:
     """All columns of ``docs`` plus ``size, text_crc32, law, shard, slot, grown_shard``.
 
     Law ``bytes``: shard sizes (UTF-8 bytes of the text plus 8 per row) are as
@@ -132,7 +132,9 @@ def shard_documents(docs: DataFrame, k: int = 24, *, id_col: str = "doc_id", tex
     gaps, in the order of the MD5 digest of the id (a random order, as training
     wants); it is numbered in chunks of that digest whose offsets are summed, so
     that no shard has to pass through one task, and a hot group is spread over
-    all chunks of its shard.
+    all chunks of its shard. Rows that repeat an id get neighbouring slots; where
+    that must not be, ``order_col`` names a column that tells them apart: slots
+    then follow the MD5 digest of it, and it is dropped.
 
     Nulls: a null text is an empty one, a null id is hashed as the empty string.
     Repeated rows are rows like others. Rows of one id in one shard are numbered
@@ -143,7 +145,7 @@ def shard_documents(docs: DataFrame, k: int = 24, *, id_col: str = "doc_id", tex
     docs = docs.select(*[docs[f"`{c}`"] for c in docs.columns if c.lower() not in ("size", "text_crc32", "law", "shard", "slot", "grown_shard")])
     text = text_or_empty(text_col)
     sized = with_columns(docs, __key=F.md5(text.cast("binary")), size=F.octet_length(text).cast("long") + F.lit(8))
-    order = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    order = F.md5(F.coalesce(F.col(order_col or id_col).cast("string"), F.lit("")))
     # what the search and the numbering need of a row; texts are read again only to be dealt out
     narrow = durable(sized.select("__key", "size", order.alias("__order")))
     groups = durable(narrow.groupBy(F.col("__key").alias("key")).agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n_rows")))
@@ -172,4 +174,4 @@ def shard_documents(docs: DataFrame, k: int = 24, *, id_col: str = "doc_id", tex
     joined = dealt.join(offsets, (F.col("shard") == F.col("__s")) & (F.col("__chunk") == F.col("__c")))
     place = F.row_number().over(Window.partitionBy("shard", "__chunk").orderBy("__order", id_col, "__key")) - 1
     slotted = joined.withColumn("slot", (F.col("__before") + place).cast("long")).withColumn("grown_shard", F.lit(None).cast("int"))
-    return slotted.drop("__key", "__order", "__chunk", "__s", "__c", "__before")
+    return slotted.drop("__key", "__order", "__chunk", "__s", "__c", "__before", *[order_col] * bool(order_col))

@@ -348,6 +348,31 @@ def test_pipeline_equals_its_stages(spark, sf_dir):
     assert all(r.shard == shards[hashlib.md5(r.text.encode()).hexdigest()] for r in got)
 
 
+@pytest.mark.parametrize("share", [1.0, 20.0])
+def test_copies_are_no_neighbours_in_a_shard(spark, documents, sf_dir, tmp_path, share):
+    sources = sorted({r.source for r in documents.select("source").distinct().collect()})
+    weights = dict.fromkeys(sources, 1.0) | {sources[0]: share}
+    mixed = mixing.mix_sources(documents, weights).select(*documents.columns)
+    mixed.write.parquet(str(tmp_path / "mix"))
+    stored = spark.read.parquet(str(tmp_path / "mix"))
+    out = pipeline.shard(spark, stored, sf_dir)
+    assert out.columns == [*documents.columns, "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    rows = out.select("shard", "slot", "doc_id").collect()
+    shards = defaultdict(dict)
+    for r in rows:
+        assert shards[r.shard].setdefault(r.slot, r.doc_id) == r.doc_id
+    assert len(rows) == stored.count() == sum(map(len, shards.values()))
+    beside, chance, repeats = 0, 0.0, 0
+    for own in shards.values():
+        ids = [own[i] for i in range(len(own))]
+        beside += sum(a == b for a, b in zip(ids, ids[1:]))
+        chance += sum(c * (c - 1) for c in Counter(ids).values()) / len(ids)
+        repeats += len(ids) - len(set(ids))
+    assert repeats > 20 and beside <= chance + 4 * math.sqrt(chance) + 1
+    again = pipeline.shard(spark, stored, sf_dir).select("shard", "slot", "doc_id").collect()
+    assert sorted(rows) == sorted(again)
+
+
 @pytest.mark.parametrize("name,stage", pipeline.STAGES)
 def test_stages_on_odd_documents(spark, sf_dir, odd_documents, clashing, no_documents, name, stage):
     for table in (odd_documents, clashing):
