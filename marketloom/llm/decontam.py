@@ -31,12 +31,14 @@ from marketloom.llm._shared import discarded, durable, written
 
 #: Length classes: bytes from which an item belongs to it, steps of its walks and positions that a key samples.
 CLASSES = ((16, 16, 9), (32, 24, 12), (64, 32, 12))
-#: Recall that repetitions must reach in each class on probes with as many edits as the limit allows.
+#: Recall that repetitions must reach in each class on probes with as many edits as the limit allows, at random places.
 TARGET_RECALL = 0.99
+#: And, as a share of that, on probes with edits of one kind at even distances: they leave no clean run for a lucky window.
+EVEN_SHARE = 0.96
 #: Probes of a class at least; every item is probed.
 LEAST_PROBES = 400
 #: Repetitions, each with its own walk and positions: at least so many; so many without the target are an error.
-LEAST_REPETITIONS, MOST_REPETITIONS = 3, 64
+LEAST_REPETITIONS, MOST_REPETITIONS = 3, 128
 #: An item is found where the edit distance is at most this share of its length.
 MOST_EDITS = 0.2
 #: Bytes around a window whose edit distance screens a candidate, the share of them that may differ and how far they may lie aside.
@@ -95,7 +97,7 @@ class LengthClass:
     window_item: np.ndarray
     window_offset: np.ndarray
     repetitions: tuple[Repetition, ...]
-    recall: float  # on the probes
+    recall: tuple[float, ...]  # on the probes: edits at random places; deletions, substitutions, doublings at even distances
 
 
 @dataclass(frozen=True)
@@ -175,11 +177,12 @@ def _joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(r + b"\0" for r in raw) + b"\0" * (longest + 1), np.uint8), np.cumsum([0, *[len(r) + 1 for r in raw]])
 
 
-def _edited(text: str, edits: int, rng: np.random.Generator) -> str:
-    """So many characters, at random places, deleted, replaced by another of the text, or doubled."""
-    out = list(text)
-    for k in rng.choice(len(text), min(edits, len(text)), replace=False).tolist():
-        out[k] = ("", text[int(rng.integers(len(text)))], out[k] * 2)[int(rng.integers(3))]
+def _edited(text: str, edits: int, rng: np.random.Generator, evenly: int | None = None) -> str:
+    """So many characters deleted (0), replaced by another of the text (1) or doubled (2): any of these at random places, or one ``evenly`` spread."""
+    out, edits = list(text), min(edits, len(text))
+    places = rng.choice(len(text), edits, replace=False) if evenly is None else ((np.arange(edits) + rng.random()) * len(text) / max(edits, 1)).astype(int)
+    for k in places.tolist():
+        out[k] = ("", text[int(rng.integers(len(text)))], out[k] * 2)[int(rng.integers(3)) if evenly is None else evenly]
     return " ".join("".join(out).split())
 
 
@@ -187,7 +190,8 @@ def build_index(items: list[tuple[object, str]], *, classes: tuple = CLASSES, ta
     """LSH keys of a block of ``(item_id, text)``.
 
     In each length class repetitions are added until edited copies of its items
-    are found with the target recall; if that can't be reached, this raises.
+    are found with the target recall, those with evenly spread edits with
+    ``EVEN_SHARE`` of it; if that can't be reached, this raises.
     """
     ids, texts, short = [], [], {}
     for item, text in items:
@@ -217,7 +221,10 @@ def build_index(items: list[tuple[object, str]], *, classes: tuple = CLASSES, ta
 def _class_keys(index: Index, members: np.ndarray, item: np.ndarray, offset: np.ndarray, steps: int, samples: int, target_recall: float, most_edits: float, seed: int) -> LengthClass:
     rng, out = np.random.default_rng(seed), []
     truth = np.tile(members, -(-LEAST_PROBES // len(members)))
-    probes, probe_begins = _joined([_edited(index.texts[k], int(most_edits * len(index.texts[k])), rng) for k in truth.tolist()])
+    kinds = (None, 0, 1, 2)
+    probes, probe_begins = _joined([_edited(index.texts[k], int(most_edits * len(index.texts[k])), rng, kind) for kind in kinds for k in truth.tolist()])
+    truth = np.tile(truth, len(kinds))
+    wanted = target_recall * np.array([1.0, EVEN_SHARE, EVEN_SHARE, EVEN_SHARE])
     found, starts = np.zeros(len(truth), bool), index.begins[item] + offset
     none = np.zeros(0, np.uint64)
     while True:
@@ -231,14 +238,14 @@ def _class_keys(index: Index, members: np.ndarray, item: np.ndarray, offset: np.
         _, h = _walk(index.buffer, starts, Repetition(moves, chosen, (), none, none), False)
         order = np.argsort(h, kind="stable")
         out.append(Repetition(moves, chosen, tuple(maps), h[order], order))
-        own = LengthClass(item, offset, (out[-1],), 0.0)
+        own = LengthClass(item, offset, (out[-1],), ())
         hits = candidates(probes, probe_begins, Index(index.ids, index.texts, index.buffer, index.begins, (own,), {}))
         found[hits[truth[hits[:, 0]] == hits[:, 1], 0]] = True
-        recall = float(found.mean())
-        if len(out) >= LEAST_REPETITIONS and recall >= target_recall:
-            return LengthClass(item, offset, tuple(out), recall)
+        recall = found.reshape(len(kinds), -1).mean(axis=1)
+        if len(out) >= LEAST_REPETITIONS and (recall >= wanted).all():
+            return LengthClass(item, offset, tuple(out), tuple(recall.tolist()))
         if len(out) == MOST_REPETITIONS:
-            raise ValueError(f"items of {int(np.diff(index.begins)[members].min()) - 1} bytes and more are found with a recall of {recall:.3f} only: allow fewer edits")
+            raise ValueError(f"items of {int(np.diff(index.begins)[members].min()) - 1} bytes and more are found with a recall of {recall.min():.3f} only: allow fewer edits")
 
 
 def _near(buffer: np.ndarray, at: np.ndarray, index: Index, item: np.ndarray, offset: np.ndarray) -> np.ndarray:

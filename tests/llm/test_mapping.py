@@ -453,6 +453,19 @@ def test_edited_items_of_any_length_equal_brute_force(spark, documents, sf_dir,
     assert sum(got[k] == want[k] for k in got) >= 0.99 * len(got)
 
 
+@pytest.mark.parametrize("size", [31, 60, 400])
+def test_evenly_edited_items_are_found(spark, sf_dir, size):
+    rng = np.random.default_rng(size)
+    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    items = [(i, t) for i, x in enumerate(texts) if len((t := cut(x, size)).encode()) >= 16]
+    index = decontam.build_index(items)
+    for kind in (0, 1, 2):
+        # copies within the limit, by the edit distance itself
+        copies = [(i, e) for i, t in items * (-(-150 // len(items))) if decontam.edit_distance_within(t, e := decontam._edited(t, int(0.19 * len(t)), rng, kind))[0] <= 0.2 * len(t)]
+        got = {(k, item) for k, item, *_ in decontam.find_items([e for _, e in copies], index)}
+        assert sum((k, i) in got for k, (i, _) in enumerate(copies)) >= 0.92 * len(copies)
+
+
 def test_screen_holds_nothing_back():
     rng = np.random.default_rng(4)
     text = "".join(rng.choice(list("abcdefgh "), 4000))
