@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from marketloom.llm._shared import discarded, durable, written
 
 #: Length classes: bytes from which an item belongs to it, steps of its walks and positions that a key samples.
-CLASSES = ((16, 16, 9), (32, 24, 12), (64, 32, 12))
+CLASSES = ((16, 16, 9), (32, 24, 12), (64, 32, 10))
 #: Recall that repetitions must reach in each class on probes with as many edits as the limit allows, at random places.
 TARGET_RECALL = 0.99
 #: And, as a share of that, on probes with edits of one kind at even distances: they leave no clean run for a lucky window.
