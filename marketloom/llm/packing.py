@@ -34,8 +34,10 @@ from marketloom.llm.token_count import PATTERN, byte_letters, default_vocabulary
 SEQUENCE = 2048
 #: Rows that are numbered together, about.
 CHUNK = 1000
-#: Pre-tokens whose ids a task remembers at first hand; beyond that those since the last time it was full.
+#: Pre-tokens whose ids a worker remembers at first hand, from one task to the next; beyond that those since the last time it was full.
 REMEMBERED = 400_000
+#: Characters of texts cut at once: few enough that their pre-tokens stay in a core's cache.
+CUT_AT_ONCE = 1 << 16
 #: A space before something else than white space begins a pre-token whatever stands before it.
 _CUT = re.compile(r" (?=\S)")
 _BEYOND_LATIN = re.compile("[^\x00-\u024f]")
@@ -108,15 +110,19 @@ class TokenIds:
     def __call__(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
             self.known, self.before = {}, self.known
+        known = self.known
         whole = [self.special is not None and self.special.search(t) is not None for t in texts]
         split = [[] if special else self.pieces(t) for t, special in zip(texts, whole, strict=True)]
-        found = [list(map(self.known.get, pieces)) for pieces in split]
-        short = [i for i, ids in enumerate(found) if None in ids]
-        if short:
-            self.learn(list({t for i in short for t, ids in zip(split[i], found[i], strict=True) if ids is None}))
-            for i in short:
-                found[i] = map(self.known.__getitem__, split[i])
-        return [self.whole(t) if special else b"".join(ids) for t, special, ids in zip(texts, whole, found, strict=True)]
+        new = {t for pieces in split for t in pieces if t not in known}
+        if new:
+            self.learn(list(new))
+        return [self.whole(t) if special else b"".join(map(known.__getitem__, pieces)) for t, special, pieces in zip(texts, whole, split, strict=True)]
+
+
+@lru_cache(1)
+def _encoder(path: str) -> TokenIds:
+    """The worker's own, so that a task needn't learn again what those before it on the same worker have met."""
+    return TokenIds(path)
 
 
 def cut_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sequence: int = SEQUENCE, end_id: int = 0, path: str | None = None) -> DataFrame:
@@ -138,14 +144,14 @@ def cut_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
     @F.pandas_udf("array<struct<start: long, ids: binary>>")
     def pieces(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = TokenIds(file)
+        encoder = _encoder(file)
         for batch in batches:
             out: list[list[dict]] = []
             held, size = [], 0
             for text in batch:
                 held.append(text or "")
                 size += len(held[-1])
-                if size > 1 << 21:
+                if size > CUT_AT_ONCE:
                     out += map(cut, encoder(held))
                     held, size = [], 0
             out += map(cut, encoder(held))

@@ -158,6 +158,27 @@ def test_ids_equal_the_library():
     assert ids(texts) == [ids.whole(t) for t in texts]
 
 
+def test_a_worker_learns_a_pre_token_once(monkeypatch):
+    """Also from one task to the next, and when its memory is full in between."""
+    library, learnt = packing.TokenIds(default_vocabulary()), []
+    learn = packing.TokenIds.learn
+
+    def counted(self, new):
+        learnt.append([t for t in new if t not in self.before])
+        learn(self, new)
+
+    packing._encoder.cache_clear()
+    monkeypatch.setattr(packing.TokenIds, "learn", counted)
+    monkeypatch.setattr(packing, "REMEMBERED", 40)
+    texts = [" ".join(f"word{'abcdefghij'[(i + j) % 10] * 3} it's" for j in range(9)) + ".\n" + "x" * (i % 4) for i in range(60)]
+    for _task in range(3):
+        ids = packing._encoder(default_vocabulary())
+        assert [ids([t])[0] for t in texts] == [library.whole(t) for t in texts]
+    flat = [t for some in learnt for t in some]
+    assert flat and len(flat) == len(set(flat))
+    packing._encoder.cache_clear()
+
+
 def check_packed(rows, texts, sequence):
     library = Tokenizer.from_file(default_vocabulary())
     by_doc, places = defaultdict(list), defaultdict(list)
