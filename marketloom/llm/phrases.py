@@ -11,7 +11,7 @@ those only:
    candidates, with all their parts, are dealt to tries by their first two words.
    Each trie is a double array, built on the driver and broadcast.
 3. Numpy moves the states of all places of a text block through a trie together, one level
-   after another, and bincounts the accepting states; Spark sums the shards. Where
+   after another, and bincounts the accepting states; a task sums its blocks, Spark the tasks. Where
    the exact counts of a hash don't add up to its count, two phrases share it, and all is hashed anew by another seed.
 
 Scores, the phrases inside longer ones and the ranks are joins over the counted phrases.
@@ -124,16 +124,21 @@ def encoded(docs: DataFrame, seed: int, *, text_col: str = "text", lang_col: str
     return docs.select(lang.alias("lang"), F.col(text_col).alias("text")).mapInArrow(encode, CODES)
 
 
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+    """Word numbers, codes and the values of further columns of each block."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            packed, codes = (batch.column(c)[i].as_buffer() for c in (0, 1))
+            codes = np.frombuffer(codes, "<u8")
+            yield [np.frombuffer(packed, _number_kind(len(codes))), codes, *(column[i] for column in batch.columns[2:])]
+
+
 def _of_blocks(work, schema: str, *more: str):
     """``mapInArrow`` over blocks: ``work`` takes word numbers, codes and the values of ``more`` columns and gives columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                packed, codes = (batch.column(c)[i].as_buffer() for c in (0, 1))
-                codes = np.frombuffer(codes, "<u8")
-                others = [batch.column(2 + c)[i] for c in range(len(more))]
-                yield pa.RecordBatch.from_pydict(work(np.frombuffer(packed, _number_kind(len(codes))), codes, *others))
+        for block in _unpacked(batches):
+            yield pa.RecordBatch.from_pydict(work(*block))
 
     return lambda blocks: blocks.select("ids", "codes", *more).mapInArrow(run, schema)
 
@@ -338,6 +343,24 @@ class Trie:
         return counts
 
 
+def _state_counts(blocks: DataFrame, shared, depth: int) -> DataFrame:
+    """``state, n`` of a broadcast trie: a task adds up all its blocks before it gives a row for each state it has met.
+
+    There is at most a task for each core, so that the rows follow the states, not states times blocks.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie = shared.value
+        counts = np.zeros(len(trie.check), np.int64)
+        for ids, codes in _unpacked(batches):
+            counts += trie.count(ids, codes, depth)
+        states = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_pydict({"state": states, "n": counts[states]})
+
+    cores = blocks.sparkSession.sparkContext.defaultParallelism
+    return blocks.select("ids", "codes").coalesce(cores).mapInArrow(run, "state long, n long")
+
+
 def _trie_counts(blocks: DataFrame, candidates: DataFrame, n_candidates: int, columns: list[str]) -> DataFrame:
     """The candidates with their exact ``count``, one trie after another."""
     spark, out = blocks.sparkSession, None
@@ -352,14 +375,8 @@ def _trie_counts(blocks: DataFrame, candidates: DataFrame, n_candidates: int, co
             continue
         trie = Trie(phrases)
         shared = spark.sparkContext.broadcast(trie)
-
-        def count(ids: np.ndarray, codes: np.ndarray, shared=shared) -> dict:
-            counts = shared.value.count(ids, codes, len(columns))
-            states = np.flatnonzero(counts)
-            return {"state": states, "n": counts[states]}
-
         named = spark.createDataFrame(pa.table([rows.column(c) for c in ("hash", *columns)] + [pa.array(trie.accepting)], names=["hash", *columns, "state"]))
-        summed = durable(_of_blocks(count, "state long, n long")(blocks).groupBy("state").agg(F.sum("n").alias("count")).join(named, "state").select("hash", *columns, "count"))
+        summed = durable(_state_counts(blocks, shared, len(columns)).groupBy("state").agg(F.sum("n").alias("count")).join(named, "state").select("hash", *columns, "count"))
         shared.unpersist()
         out = summed if out is None else out.union(summed)
     return out

@@ -120,6 +120,23 @@ def test_trie_counts_states():
     assert {p: n for p, n in zip(map(tuple, (r[r != 0].tolist() for r in rows)), counts[trie.accepting].tolist(), strict=True) if n} == want
 
 
+def test_a_task_gives_a_state_once(spark, documents):
+    """However many blocks it reads; the sums are those of all blocks."""
+    cores = spark.sparkContext.defaultParallelism
+    blocks = phrases.encoded(documents.limit(100).repartition(2 * cores), 0).localCheckpoint()
+    assert blocks.count() == 2 * cores
+    texts = [np.frombuffer(r.codes, "<u8")[np.frombuffer(r.ids, phrases._number_kind(len(r.codes) // 8))] for r in blocks.collect()]
+    pairs = Counter(p for t in texts for p in zip(t.tolist(), t[1:].tolist(), strict=False) if all(p))
+    common = np.array([p for p, _ in pairs.most_common(50)], np.uint64).view(np.int64)
+    trie = phrases.Trie(common)
+    rows = phrases._state_counts(blocks, spark.sparkContext.broadcast(trie), 2).select(F.spark_partition_id().alias("task"), "state", "n").collect()
+    assert {r.task for r in rows} == {*range(cores)} and len({(r.task, r.state) for r in rows}) == len(rows)
+    sums = Counter()
+    for r in rows:
+        sums[r.state] += r.n
+    assert [sums[s] for s in trie.accepting.tolist()] == [n for _, n in pairs.most_common(50)]
+
+
 def test_large_counts_stay_exact(spark):
     """1000 * a * n beyond 64 bits: the quotient of whole decimals."""
     a, n, left, right = 987_654_321_987, 12_345_678_901_234, 987_654_999_999, 999_999_999_999
