@@ -109,9 +109,11 @@ def signed_log(col: Column) -> Column:
 
 
 def log_shift(col: Column, absolute: bool) -> Column:
-    """``ln|x + 1|`` or ``ln(x + 1)``; null where the logarithm has no value."""
-    shifted = F.abs(col + 1) if absolute else col + 1
-    return F.when(shifted > 0, F.ln(shifted))
+    """``ln|x + 1|``, minus infinity at -1; or ``ln(x + 1)``, null from -1 down."""
+    if not absolute:
+        return F.when(col + 1 > 0, F.ln(col + 1))
+    shifted = F.abs(col + 1)
+    return F.when(shifted == 0, F.lit(float("-inf"))).otherwise(F.ln(shifted))  # Spark's ln(0) is null
 
 
 def stack_with_flag(train: DataFrame, test: DataFrame, flag: str = "_is_train") -> DataFrame:

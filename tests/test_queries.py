@@ -42,6 +42,19 @@ def test_query(spark, sf_dir, duck, name):
     assert rows == sorted((tuple(plain(r[i]) for i in at) for r in want.fetchall()), key=repr)
 
 
+def test_log_shift_where_it_is_infinite_or_missing(spark, tmp_path):
+    # ids that are 18, 19, 20 and 21 modulo 41 multiply the value by -2, -1, 0 and 1
+    values = {18: "0.5", 19: "1", 20: "1", 21: "-1", 59: "0.5", 60: "2", 61: "'Infinity'", 62: "'Infinity'", 101: "'Infinity'", 103: "'NaN'", 144: "NULL"}
+    rows = ", ".join(f"({i}::BIGINT, TIMESTAMP '2024-01-01 00:00:00', 1::BIGINT, 'click', {v}::DOUBLE)" for i, v in values.items())
+    con = duckdb.connect()
+    con.sql(f"COPY (SELECT * FROM (VALUES {rows}) e(event_id, ts, user_id, event_type, value)) TO '{tmp_path}/events.parquet'")
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    got = {r.event_id: (plain(r.log_abs), plain(r.log_plain)) for r in __spark_entry__.queries()["b15_log_shift"](spark, str(tmp_path)).collect()}
+    want = con.sql(__spark_entry__.oracle_sql()["b15_log_shift"]).select("event_id", "log_abs", "log_plain").fetchall()
+    assert got == {i: (plain(a), plain(b)) for i, a, b in want}
+    assert got[18] == got[19] == got[21] == (-math.inf, None)
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
 
